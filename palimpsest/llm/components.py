@@ -1,0 +1,39 @@
+"""Connected components of links between ids, as rounds of grouping and joining."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm.tables import written
+
+
+def state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """(id, component_id) for each id that occurs in a link; component_id is the smallest id it is joined to.
+
+    Alternates large-star and small-star steps until links no longer change:
+    each node's larger (then smaller) neighbours are linked to the smallest one
+    it knows. Minima are taken by aggregation and joined back, so no node's
+    neighbours are ever gathered. Links with a null end and loops are left out.
+    """
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
+    edges = written(edges, "links")
+    before = state(edges)
+    for _ in range(rounds):
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        edges = written(small, "links")
+        now = state(edges)
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
