@@ -89,7 +89,7 @@ def op7(spark: SparkSession, sf_dir: str, k: int = 10, every: int = 100) -> Data
 
 SQL = """
 WITH codes AS (
-  SELECT vec_id, list_aggregate(list_transform(range(64), i -> CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << i::UBIGINT) ELSE 0::UBIGINT END), 'bit_or') AS code FROM embeddings),
+  SELECT vec_id, (SELECT bit_or(1::UBIGINT << i::UBIGINT) FROM range(64) r(i) WHERE embedding[i + 1] > 0) AS code FROM embeddings),
 pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code)) AS distance FROM codes q, codes c WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank, vec_id, distance FROM (
