@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +31,23 @@ from palimpsest.llm.tables import documents, written
 ROOM = 4096
 #: Pieces that a group has on average.
 GROUP = 2048
-#: Entries of a worker's cache of words; it is emptied when full.
-CACHE = 400_000
+#: Entries of a worker's cache of words; it is emptied when full (it may pass this by the new words of STEP).
+CACHE = 500_000
 #: Words of a text that are encoded at a time.
 STEP = 100_000
 
 _workers: dict = {}
 
 
+#: Characters that stand for bytes in the vocabulary: printable Latin-1 for itself, others from U+0100 on.
+_own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_byte_chars = {b: chr(b) if b in _own else chr(256 + n) for n, b in enumerate([*(b for b in range(256) if b not in _own), *_own])}
+#: What the tokenizer splits words into.
+_parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
 class Words:
-    """Ids of texts. White space always ends a token here, so ids of words are kept and joined."""
+    """Ids of texts. White space always ends a token here, so ids of words, and of the parts of words, are kept and joined."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -47,26 +55,40 @@ class Words:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.merge = self.tokenizer.model.tokenize
         self.cache: dict[str, bytes] = {}
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def raw(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        out = []
+        for part in _parts.findall(word):
+            ids = self.cache.get(part)
+            if ids is None:
+                ids = array("I", [t.id for t in self.merge(part.encode().decode("latin-1").translate(_byte_chars))]).tobytes()
+                self.cache[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not SURE.fullmatch(text) or "Σ" in text or not unicodedata.is_normalized("NFC", text):
-            return self.raw([text])[0]
-        # the library lower-cases, but looks for special strings before
-        words, out = (text if "<|" in text else text.lower()).split(), []
+        """Little-endian unsigned 32-bit ids. Texts of rarer characters, and those that may hold special strings, go through the library whole."""
+        if "<|" in text or "Σ" in text or not SURE.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
+            return self.raw(text)
+        words, out = text.lower().split(), []
         for i in range(0, len(words), STEP):
             some = words[i : i + STEP]
             found = list(map(self.cache.get, some))
             if None in found:
-                new = [w for w in dict.fromkeys(some) if w not in self.cache]
-                if len(self.cache) + len(new) > CACHE:
-                    self.cache, new = {}, list(dict.fromkeys(some))
-                self.cache.update(zip(new, self.raw(new)))
-                found = map(self.cache.__getitem__, some)
+                if len(self.cache) > CACHE:
+                    self.cache = {}
+                for n, ids in enumerate(found):
+                    if ids is None:
+                        word = some[n]
+                        ids = self.cache.get(word)
+                        if ids is None:
+                            ids = self.cache[word] = self.word(word)
+                        found[n] = ids
             out.append(b"".join(found))
         return b"".join(out)
 
