@@ -60,19 +60,22 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n_codes = distinct.count()
     asked = queries.select(F.col("id").alias("query_id"), "code").where("id is not null and code is not null").distinct()
     # a row without `found` stands for its query until that is settled
-    open_, done = written(asked.withColumns({"found": F.lit(None).cast("long"), "least_id": F.lit(None).cast("long"), "distance": F.lit(None).cast("int")}), "queries"), []
+    open_, done = written(asked.withColumns({"found": F.lit(None).cast("long"), "least_id": F.lit(None).cast("long"), "distance": F.lit(None).cast("int"), "worst": F.lit(BITS)}), "queries"), []
     by_query = Window.partitionBy("query_id", "code")
     for radius in range(WIDTH + 1):
         if open_.isEmpty():
             break
-        probes = segments(open_.where("found is null").select("query_id", "code")).join(F.broadcast(masks(spark, radius))).select("query_id", "code", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-        hits = probes.hint("shuffle_hash").join(index, ["segment", "value"])
-        hits = hits.select("query_id", "code", "found", "least_id", F.bit_count(F.col("code").bitwiseXOR(F.col("found"))).alias("distance"))
+        probes = segments(open_.where("found is null").select("query_id", "code", "worst")).join(F.broadcast(masks(spark, radius))).select("query_id", "code", "worst", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        # verified within the join: what is beyond the k best so far never leaves it
+        distance = F.bit_count(F.col("code").bitwiseXOR(F.col("found")))
+        same = (F.col("p.segment") == F.col("i.segment")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("worst"))
+        hits = probes.hint("shuffle_hash").alias("p").join(index.alias("i"), same).select("query_id", "code", "found", "least_id", distance.alias("distance"))
         # the k closest codes (ties by their smallest ids) hold the k closest rows, so no more need be carried on
-        ranked = hits.unionByName(open_).distinct().withColumn("nth", F.row_number().over(by_query.orderBy(F.col("distance").asc_nulls_first(), "least_id"))).where(F.col("nth") <= k + 1)
+        ranked = hits.unionByName(open_.drop("worst")).distinct().withColumn("nth", F.row_number().over(by_query.orderBy(F.col("distance").asc_nulls_first(), "least_id"))).where(F.col("nth") <= k + 1)
         proven = (F.count("found").over(by_query) >= min(k, n_codes)) & (F.max("distance").over(by_query) <= SEGMENTS * (radius + 1) - 1)
-        state = written(ranked.withColumn("settled", F.coalesce(proven, F.lit(False)) if radius < WIDTH else F.lit(True)).drop("nth"), "best")
-        done.append(state.where("settled and found is not null").drop("settled"))
+        worst = F.when(F.count("found").over(by_query) >= k, F.max("distance").over(by_query)).otherwise(F.lit(BITS))
+        state = written(ranked.withColumn("worst", worst).withColumn("settled", F.coalesce(proven, F.lit(False)) if radius < WIDTH else F.lit(True)).drop("nth"), "best")
+        done.append(state.where("settled and found is not null").drop("settled", "worst"))
         open_ = state.where("not settled").drop("settled")
     codes_found = reduce(DataFrame.unionByName, done) if done else open_
     rows = codes_found.drop("least_id").join(members.select(F.col("code").alias("found"), "id").hint("merge"), "found")
