@@ -9,7 +9,6 @@ later models learn how far earlier ones can be trusted.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,13 +45,13 @@ class Linear:
 
     def fit(self, rows: np.ndarray, cols: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rate: float = 0.15) -> Linear:
         n, m = dense.shape
-        mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        mean = np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3)
         w = np.zeros(width + m + 1)
         w[-1] = np.log(mean / (1 - mean))
         first, second = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, STEPS + 1):
             z = np.bincount(rows, w[cols], n) + dense @ w[width:-1] + w[-1]
-            r = (sigmoid(z) - y) / n
+            r = (sigmoid(z) - y) / max(n, 1)
             g = np.r_[np.bincount(cols, r[rows], width), dense.T @ r, r.sum()]
             g[:-1] += ridge * w[:-1]
             first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
@@ -67,10 +66,10 @@ class Linear:
 class Chain:
     """Models of the categories in their order; the last one's threshold makes the decision."""
 
-    def __init__(self, names: list[str], texts: list[set[str]], targets: np.ndarray):
+    def __init__(self, names: list[str], vocabulary: list[str], texts: list[set[str]], targets: np.ndarray):
         self.names, self.models, self.threshold = names, [], 0.5
         last = targets[:, -1]
-        self.vocabulary = self._chosen(texts, last)
+        self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
         rows, cols = self._ones(texts)
         n, width = len(texts), len(self.vocabulary)
         fold, before = np.arange(n) % FOLDS, np.zeros((n, 0))
@@ -92,23 +91,6 @@ class Chain:
             self.threshold = float((p[best] + p[min(best + 1, n - 1)]) / 2)
             self.f1 = float(f1[best])
 
-    def _chosen(self, texts: list[set[str]], y: np.ndarray) -> dict[str, int]:
-        """Words whose share differs most between the classes, by chi-square and beyond what chance would give; copies of a text count once."""
-        total, hits = Counter(), Counter()
-        once = dict(zip(map(frozenset, texts), y))
-        for words, t in once.items():
-            total.update(words)
-            if t:
-                hits.update(words)
-        n, positive = max(len(once), 1), sum(once.values())
-
-        def lead(w: str) -> float:
-            expected = total[w] * positive / n
-            return (hits[w] - expected) ** 2 / max(expected, 0.5)
-
-        often = [w for w, k in total.items() if k >= 3 and lead(w) >= CHANCE]
-        return {w: i for i, w in enumerate(sorted(often, key=lambda w: (-lead(w), w))[:WORDS])}
-
     def _ones(self, texts: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
         known = self.vocabulary.keys()
         found = [[self.vocabulary[w] for w in known & words] for words in texts]
@@ -141,11 +123,25 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return s.map(lambda t: sorted(words_of(t)))
 
     rows = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc") == F.col("id"))
-    rows = sorted(rows.select("id", "y", words("text").alias("words")).collect(), key=lambda r: (hash_of(r["id"]), r["words"]))
-    texts = [set(r["words"]) for r in rows]
-    y = np.array([r["y"] for r in rows], float)
-    columns = [y * np.array([bool(words & set(listed)) for words in texts], float) if texts else y for listed in lexicon.values()]
-    return Chain([*lexicon, label], texts, np.stack([*columns, y], axis=1) if texts else np.zeros((0, len(lexicon) + 1)))
+    sample = written(rows.select("id", "y", words("text").alias("words")), "labelled-words")
+    vocabulary = chosen_words(sample)
+    flags = [F.arrays_overlap("words", F.array(*map(F.lit, listed))).cast("int").alias(f"flag{i}") for i, listed in enumerate(lexicon.values())]
+    # what comes to the driver are the chosen words of at most twice sample_docs texts
+    rows = sample.select("id", "y", *flags, F.array_intersect("words", F.array(*map(F.lit, vocabulary)).cast("array<string>")).alias("words")).collect()
+    rows = sorted(rows, key=lambda r: (hash_of(r["id"]), r["words"]))
+    targets = np.array([[*(r["y"] * r[f"flag{i}"] for i in range(len(flags))), r["y"]] for r in rows], float).reshape(len(rows), len(flags) + 1)
+    return Chain([*lexicon, label], vocabulary, [set(r["words"]) for r in rows], targets)
+
+
+def chosen_words(sample: DataFrame, most: int = WORDS) -> list[str]:
+    """Words of (y, words) whose share differs most between the classes, by chi-square and beyond what chance would give; copies of a text count once."""
+    once = sample.dropDuplicates(["words"])
+    n, positive = once.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    counts = once.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("total"), F.sum("y").alias("hits"))
+    expected = F.col("total") * F.lit(positive / max(n, 1))
+    lead = F.pow(F.col("hits") - expected, F.lit(2.0)) / F.greatest(expected, F.lit(0.5))
+    counts = counts.withColumn("lead", lead).where((F.col("total") >= 3) & (F.col("lead") >= CHANCE))
+    return [r["word"] for r in counts.orderBy(F.col("lead").desc(), "word").limit(most).collect()]
 
 
 def hash_of(value) -> int:
