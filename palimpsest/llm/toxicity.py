@@ -9,7 +9,7 @@ later models learn how far earlier ones can be trusted.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,10 +91,11 @@ class Chain:
             self.threshold = float((p[best] + p[min(best + 1, n - 1)]) / 2)
             self.f1 = float(f1[best])
 
-    def _ones(self, texts: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def _ones(self, texts: Iterable[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """One text's words are held at a time, beside the known words of those before."""
         known = self.vocabulary.keys()
         found = [[self.vocabulary[w] for w in known & words] for words in texts]
-        return np.repeat(np.arange(len(texts)), [len(x) for x in found]), np.array([c for x in found for c in x], np.int64)
+        return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.array([c for x in found for c in x], np.int64)
 
     @staticmethod
     def _part(rows: np.ndarray, cols: np.ndarray, chosen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +105,7 @@ class Chain:
         return place[rows][keep], cols[keep]
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        rows, cols = self._ones([words_of(t) if t else set() for t in texts])
+        rows, cols = self._ones(words_of(t) if t else set() for t in texts)
         before = np.zeros((len(texts), 0))
         for model in self.models:
             before = np.c_[before, model.probability(rows, cols, before)]
