@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from palimpsest.operators.lineage import shared_dir
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+def events(spark: SparkSession, sf_dir: str, name: str = "events.parquet") -> DataFrame:
+    """The events as a stream. A file source reads folders, so a table of one file is picked from its folder by name."""
+    table = spark.read.parquet(f"{sf_dir}/{name}")
+    reader = spark.readStream.schema(table.schema)
+    alone = any(f.rstrip("/").endswith(f"/{name}") for f in table.inputFiles())
+    rows = reader.option("pathGlobFilter", name).parquet(sf_dir) if alone else reader.parquet(f"{sf_dir}/{name}")
     return rows.withColumn("ts", rows["ts"].cast("timestamp"))
 
 
