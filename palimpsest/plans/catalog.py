@@ -11,23 +11,10 @@ from palimpsest.operators import graph as G
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import versions as V
 from palimpsest.operators.components import components
+from palimpsest.plans.registry import QUERIES, SQL, query  # noqa: F401
 from palimpsest.sources import inputs as I
 from palimpsest.streaming import jobs as S
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return put
-
-
 THRESHOLD, K = 0.15, 10
 STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 ACTIVE = "status = 'active' AND is_latest"
