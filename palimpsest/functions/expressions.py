@@ -120,3 +120,19 @@ def head_tail(text: Column, head: int, tail: int) -> Column:
 
 def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
+
+
+def normal_words(text: Column) -> Column:
+    """The text's words without stop words and single CJK characters, by spaces."""
+    return F.array_join(F.filter(tokens(text), lambda t: F.when(t.rlike("^[a-z0-9]"), ~t.isin(STOPWORDS)).otherwise(F.length(t) >= 2)), " ")
+
+
+def since(text: Column) -> Column:
+    """A day, yyyy-MM-dd or yyyy/MM/dd, at the start of the text as its first instant; null for anything else."""
+    day = F.substring(F.regexp_replace(F.trim(text), r"^['\"]+", ""), 1, 10)
+    return F.coalesce(*(F.when(day.rlike(p), F.try_to_timestamp(day, F.lit(f))) for p, f in ((r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"), (r"^\d{4}/\d\d/\d\d$", "yyyy/MM/dd"))))
+
+
+def map_patch(old: Column, new: Column) -> Column:
+    """old with the keys of new set to its values."""
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)

@@ -30,3 +30,12 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def appended(batches: list[DataFrame], name: str) -> DataFrame:
+    """A log in the shared folder to which the batches are appended one after another."""
+    first = batches[0]
+    path = f"{shared_dir(first.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for batch in batches:
+        batch.write.mode("append").parquet(path)
+    return first.sparkSession.read.schema(first.schema).parquet(path)
