@@ -669,10 +669,14 @@ def ver_expire_intent(s, d):
     return I.memory(s, d).select("node_id", F.when(R.condition(gone), "l2_fact").otherwise(F.col("layer")).alias("layer"))
 
 
+def stored(s, d):
+    return I.memory(s, d).select("node_id", "content", F.array("session_id").alias("evidence"), F.col("gmt_created").alias("valid_from"), "valid_until", "is_latest", F.lit(None).cast("string").alias("supersedes"), F.lit(None).cast("string").alias("superseded_by"))
+
+
 @query("ver_apply_ops")
 def ver_apply_ops(s, d):
     """Documents as memory; events as operations on them, in the order of their ids."""
-    memory = I.memory(s, d).select("node_id", "content", F.array("session_id").alias("evidence"), F.col("gmt_created").alias("valid_from"), "valid_until", "is_latest", F.lit(None).cast("string").alias("supersedes"), F.lit(None).cast("string").alias("superseded_by"))
+    memory = stored(s, d)
     ops = I.operations(s, d).where("op in ('ADD', 'UPDATE', 'SUPERSEDE')")
     ops = ops.select(F.col("id").alias("seq"), "op", F.concat(F.lit("n"), "id").alias("new_id"), F.when(F.col("op") != "ADD", F.col("memory_id")).alias("target_id"), F.concat(F.lit("text "), "id").alias("content"), F.array("request_id").alias("evidence"), F.col("created_at").alias("at"))
     return V.apply_operations(memory, ops)[0].withColumn("evidence", F.array_join("evidence", ","))
@@ -699,20 +703,49 @@ def st_minute(s, d):
     return S.drained(S.minute_metrics(S.events(s, d)), "minutes").withColumn("total", F.round("total", 4))
 
 
-@query("st_last60")
+MARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query("st_last60", f"WITH w AS (SELECT time_bucket(INTERVAL 10 SECOND, ts) + k.s * INTERVAL 10 SECOND AS until FROM events, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS s) k) SELECT until, count(*) AS n FROM w WHERE until <= {MARK} GROUP BY 1")
 def st_last60(s, d):
     return S.drained(S.recent_completions(S.events(s, d)), "last60")
 
 
-@query("st_sessions")
+@query("st_sessions", f"WITH a AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM a) SELECT user_id, min(ts) AS begin, count(*) AS n, round(sum(value), 4) AS total FROM b GROUP BY user_id, nth HAVING max(ts) + INTERVAL 30 MINUTE <= {MARK}")
 def st_sessions(s, d):
-    return S.drained(S.sessions(S.events(s, d)), "sessions")
+    return S.drained(S.sessions(S.events(s, d)), "sessions").withColumn("total", F.round("total", 4))
 
 
-@query("st_dedup")
+@query("st_dedup", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def st_dedup(s, d):
+    """Ids of events are unique, so all stay."""
     return S.drained(S.first_inserts(S.events(s, d), "event_id"), "inserts")
 
 
+@query("st_buffer", SQL["st_buffer_batch"].replace("SELECT * FROM f", "SELECT conv_id, batch, n_lines, n_user, first_turn FROM f"))
+def st_buffer(s, d):
+    return S.drained(S.buffered(S.table_stream(s, d, "conversations.parquet"), 2), "buffer").drop("lines")
+
+
+@query("st_expire", "SELECT event_id, CASE event_type WHEN 'click' THEN 'l2_fact' WHEN 'view' THEN 'l1_raw' WHEN 'error' THEN CASE WHEN ts + INTERVAL 1 DAY < TIMESTAMP '2024-01-10' THEN 'l2_fact' ELSE 'l7_intention' END ELSE 'l3_summary' END AS layer, ts < TIMESTAMP '2024-01-10' - CASE event_type WHEN 'click' THEN 2000 WHEN 'view' THEN 500 ELSE 9000 END * INTERVAL 1 MINUTE AS gone FROM events")
+def st_expire(s, d):
+    kind = F.col("event_type")
+    layer = F.when(kind == "click", "l2_fact").when(kind == "view", "l1_raw").when(kind == "error", "l7_intention").otherwise("l3_summary")
+    rows = S.events(s, d).select("event_id", layer.alias("layer"), F.col("ts").alias("at"), (F.col("ts") + F.expr("interval 1 day")).alias("valid_until"))
+    windows = s.createDataFrame([("l2_fact", 2000), ("l1_raw", 500)], "layer string, minutes int")
+    return S.drained(S.expired(rows, windows, "2024-01-10", 9000), "expired").select("event_id", "layer", "gone")
+
+
+@query("st_ops_apply")
+def st_ops_apply(s, d):
+    """The operations of ver_apply_ops as a stream of events."""
+    op = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in I.OPS.items()))
+    ops = S.events(s, d).withColumn("op", op).where("op in ('ADD', 'UPDATE', 'SUPERSEDE')")
+    target = F.when(F.col("op") != "ADD", F.concat(F.lit("m"), F.col("event_id") % 1000))
+    day = F.concat_ws("-", F.concat(F.lit("u"), "user_id"), F.date_format("ts", "yyyyMMdd"))
+    ops = ops.select(F.col("event_id").alias("seq"), "op", F.concat(F.lit("n"), "event_id").alias("new_id"), target.alias("target_id"), F.concat(F.lit("text "), "event_id").alias("content"), F.array(day).alias("evidence"), F.col("ts").alias("at"))
+    return S.applied(ops, stored(s, d), "memory").withColumn("evidence", F.array_join("evidence", ","))
+
+
 def flagship(s, d) -> DataFrame:
     return search_hybrid(s, d)

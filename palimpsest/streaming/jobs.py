@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.lineage import shared_dir
+from palimpsest.operators.versions import apply_operations
 
 
-def events(spark: SparkSession, sf_dir: str, name: str = "events.parquet") -> DataFrame:
-    """The events as a stream. A file source reads folders, so a table of one file is picked from its folder by name."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream. A file source reads folders, so a table of one file is picked from its folder by name."""
     table = spark.read.parquet(f"{sf_dir}/{name}")
     reader = spark.readStream.schema(table.schema)
     alone = any(f.rstrip("/").endswith(f"/{name}") for f in table.inputFiles())
-    rows = reader.option("pathGlobFilter", name).parquet(sf_dir) if alone else reader.parquet(f"{sf_dir}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(sf_dir) if alone else reader.parquet(f"{sf_dir}/{name}")
+
+
+def events(spark: SparkSession, sf_dir: str, name: str = "events.parquet") -> DataFrame:
+    rows = table_stream(spark, sf_dir, name)
     return rows.withColumn("ts", rows["ts"].cast("timestamp"))
 
 
@@ -42,6 +47,67 @@ def first_inserts(stream: DataFrame, key: str, late: str = "1 hour") -> DataFram
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def buffered(turns: DataFrame, size: int = 10) -> DataFrame:
+    """(conv_id, batch, n_lines, n_user, first_turn, lines) each time `size` user turns of a conversation have come together.
+
+    Other turns wait with them. What is left stays in the state for the next
+    trigger. Turns of one trigger are taken in order; a conversation is as long
+    as one session, and its state holds fewer than `size` user turns.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, frames, state: GroupState):
+        batch, first, n_user, lines = state.get if state.exists else (0, -1, 0, [])
+        lines, out = list(lines), []
+        for row in pd.concat(list(frames)).sort_values("turn").itertuples():
+            first = row.turn if not lines else first
+            lines.append(f"[{row.role}]: {row.text}")
+            n_user += row.role == "user"
+            if n_user == size:
+                out.append((key[0], batch, len(lines), n_user, first, lines))
+                batch, first, n_user, lines = batch + 1, -1, 0, []
+        state.update((batch, int(first), int(n_user), lines))
+        yield pd.DataFrame(out, columns=["conv_id", "batch", "n_lines", "n_user", "first_turn", "lines"])
+
+    fields = "batch long, first_turn long, n_user long, lines array<string>"
+    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInPandasWithState(step, "conv_id long, batch long, n_lines long, n_user long, first_turn long, lines array<string>", fields, "append", GroupStateTimeout.NoTimeout)
+
+
+def expired(stream: DataFrame, windows: DataFrame, now: str, minutes: int) -> DataFrame:
+    """Rows (layer, at, valid_until, ...) with `gone`: older than their layer's window(layer, minutes) at `now`; an intention past its validity becomes a fact.
+
+    windows is a small table of settings, a row for each layer.
+    """
+    at = F.to_timestamp(F.lit(now))
+    rows = stream.join(F.broadcast(windows), "layer", "left")
+    gone = F.unix_micros("at") < F.unix_micros(at) - F.coalesce("minutes", F.lit(minutes)).cast("long") * 60_000_000
+    over = F.coalesce((F.col("layer") == "l7_intention") & (F.col("valid_until") < at), F.lit(False))
+    return rows.withColumn("gone", gone).withColumn("layer", F.when(over, "l2_fact").otherwise(F.col("layer"))).drop("minutes")
+
+
+def applied(stream: DataFrame, memory: DataFrame, name: str, place: str | None = None) -> DataFrame:
+    """The memory table after all operations of the stream, applied batch by batch.
+
+    Batch b reads version b of the table and writes version b + 1 over whatever
+    an interrupted run left there, so a batch that is replayed counts once. A
+    job that goes on in a later run names the same place.
+    """
+    spark = memory.sparkSession
+    place = place or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = lambda version: f"{place}/table/version={version}"
+    memory.write.mode("ignore").parquet(at(0))
+
+    def put(batch: DataFrame, number: int) -> None:
+        new, rejected = apply_operations(spark.read.schema(memory.schema).parquet(at(number)), batch)
+        new.select(memory.columns).write.mode("overwrite").parquet(at(number + 1))
+        rejected.write.mode("overwrite").parquet(f"{place}/rejected/{number + 1}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{place}/table").agg(F.max("version")).first()[0]
+    return spark.read.schema(memory.schema).parquet(at(last))
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Runs the stream over all that is there, in append mode into Parquet in the shared folder, and reads the result.
 
