@@ -203,8 +203,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of df whose id is the smallest of its component. Rows without an id stay; of rows that share an id one stays."""
+    return first_of_components(df, near_duplicates(df, doc_id, text, **how), doc_id)
+
+
+def first_of_components(df: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of df that are the first of their component in found (doc_id, component_id), and those without an id."""
     key = fresh(df, "dropped_id")
-    found = near_duplicates(df, doc_id, text, **how).where("doc_id is not null")
+    found = found.where("doc_id is not null")
     seen = written(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("kept")), "seen-ids")
     out = seen.where("doc_id != kept").select(F.col("doc_id").alias(key))
     rows = df.join(out.hint("merge"), F.col(doc_id) == F.col(key), "left_anti")

@@ -7,7 +7,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, hamming, simhash
+import corpus_pipeline
+from palimpsest.llm import chat, hamming, likeness, simhash
 from palimpsest.operators.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, code string, bucket string"
@@ -140,3 +141,53 @@ def test_no_python_in_native_plans(spark, sf_dir):
         plan = q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
     assert np.bitwise_count(np.uint64(3)) == 2
+
+
+def plain_likeness(texts, least=0.8):
+    """For each id the smallest that pairs of five-word likeness lead to, and all such pairs."""
+    sets = {}
+    for i, t in texts.items():
+        words = (t or "").encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    ids, own, pairs = sorted(sets), {i: i for i in sets}, []
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or min(len(x), len(y)) >= least * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                pairs.append((a, b, len(x & y), len(x | y)))
+                old, new = max(own[a], own[b]), min(own[a], own[b])
+                own = {i: new if c == old else c for i, c in own.items()}
+    return own, pairs
+
+
+def test_near_copies_are_all_found(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want, _ = plain_likeness(texts)
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert {r["doc_id"]: r["component_id"] for r in likeness.near_copies(df).collect()} == want
+    kept = corpus_pipeline.near_duplicates(spark, df, sf_dir)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_near_copies_of_edited_texts(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    base, line = [word() for _ in range(120)], " ".join(word() for _ in range(30))
+    texts = []
+    for _ in range(150):  # one large group of edited copies, some of them alike only to others of it
+        words = list(base)
+        for _ in range(rng.randrange(7)):
+            words[rng.randrange(len(words))] = word()
+        texts.append(" ".join(words))
+    texts += [" ".join(word() for _ in range(rng.randrange(1, 60))) + " " + line for _ in range(80)]  # a common line
+    texts += [" ".join(word() for _ in range(40)) for _ in range(30)]
+    texts += [t + " " + word() for t in texts[-30:]] + [None, "", " \n", "One two", "one  TWO", "one two three four five", "one two three four five six"]
+    rng.shuffle(texts)
+    want, _ = plain_likeness(dict(enumerate(texts)))
+    df = spark.createDataFrame(rows_of(*texts), SCHEMA)
+    for small in (2, 16):
+        assert {r["doc_id"]: r["component_id"] for r in likeness.near_copies(df, small=small).collect()} == want
+    twice = df.union(spark.createDataFrame([(0, "quite another text", "en", "s", "x", "y"), (None, texts[0], "en", "s", "x", "y")], SCHEMA))
+    kept = likeness.deduplicated(twice)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(set(want.values()))
+    assert kept.where("doc_id is null").count() == 1 and likeness.deduplicated(df.limit(0)).count() == 0
