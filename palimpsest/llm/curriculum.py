@@ -51,22 +51,17 @@ def moment(share: Column, start: Column, end: Column) -> Column:
     return F.when(start == end, share).otherwise((F.sqrt(start * start + (end - start) * (start + end) * share) - start) / (end - start))
 
 
-def curriculum(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, slopes: tuple = SLOPES, most: float = 3.0, seed: int = 5) -> DataFrame:
-    """A row for each row of df: doc_id, size, source_size, target, taken, copies, cut, position; sorted by position.
+def mark(df: DataFrame, doc_id: str, text: str, source: str) -> Column:
+    """A hash that equal rows share."""
+    return F.xxhash64(F.isnull(doc_id), doc_id, F.isnull(source), source, F.isnull(text), text)
 
-    Documents of a source follow one another in an order by hash. A source is
-    read whole floor(target / size) times and then from its beginning until its
-    target is met, to the word: the last document of that is cut (`cut` words of
-    it, else 0). `copies` counts whole readings, `taken` the words, `position`
-    is the first moment in [0, 1] at which the document is read (null if never).
-    A document is taken at most `most` times its size, rounded up to whole
-    readings only where the source's target is that of its bound.
 
-    Null or empty texts have size 0 and are never taken. A null source is a
-    source, last in order. Rows that share an id are documents of their own;
-    equal rows are interchangeable. An empty table gives an empty table.
+def placed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, slopes: tuple = SLOPES, most: float = 3.0, seed: int = 5) -> DataFrame:
+    """A row for each row of df: doc_id, mark, size, source_size, target, whole (readings), given (words of the reading after them), readings.
+
+    `readings` has (words, position) of each reading in turn, the cut one last.
     """
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), mark(df, doc_id, text, source).alias("mark"))
     docs = written(docs, "sizes")
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = written(targets(sizes, weights, most).withColumn("target_words", F.round("target").cast("long")), "targets")
@@ -79,16 +74,41 @@ def curriculum(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     sums = mixed.groupBy("rank", "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("rank", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("part_start"))
-    inside = Window.partitionBy("rank", "part").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = mixed.join(sums.hint("merge"), ["rank", "part"]).withColumn("begin", F.col("part_start") + F.sum("size").over(inside) - F.col("size"))
+    inside = Window.partitionBy("rank", "part").orderBy("order", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = mixed.join(sums.hint("merge"), ["rank", "part"]).withColumn("begin", F.col("part_start") + F.sum("size").over(inside) - F.col("size"))
 
     whole = F.coalesce(F.expr("target_words div nullif(source_size, 0)"), F.lit(0))
     last = F.col("target_words") - F.col("whole") * F.col("source_size")
     given = F.greatest(F.lit(0), F.least(F.col("size"), last - F.col("begin")))
-    placed = placed.withColumn("whole", whole.cast("long")).withColumn("given", given.cast("long"))
+    rows = rows.withColumn("whole", whole.cast("long")).withColumn("given", given.cast("long"))
     starts, ends = (F.element_at(F.array(*(F.lit(float(s[i])) for s in slopes)), (F.col("rank") % len(slopes) + 1).cast("int")) for i in (0, 1))
-    share = F.col("begin") / F.when(F.col("target_words") > 0, F.col("target_words"))
-    return placed.select(
+
+    def reading(r: Column) -> Column:
+        share = (F.col("begin") + r * F.col("source_size")) / F.when(F.col("target_words") > 0, F.col("target_words"))
+        size = F.when(r < F.col("whole"), F.col("size")).otherwise(F.col("given"))
+        return F.struct(size.alias("words"), F.abs(moment(F.least(share, F.lit(1.0)), starts, ends)).alias("position"))
+
+    readings = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("whole")), reading), lambda x: x["words"] > 0)
+    return rows.select("doc_id", "mark", "size", "source_size", "target", "whole", "given", "begin", readings.alias("readings"))
+
+
+def curriculum(df: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
+    """A row for each row of df: doc_id, size, source_size, target, taken, copies, cut, position, positions; sorted by position.
+
+    Documents of a source follow one another in an order by hash. A source is
+    read whole floor(target / size) times and then from its beginning until its
+    target is met, to the word: the last document of that is cut (`cut` words of
+    it, else 0). `copies` counts whole readings, `taken` the words, `positions`
+    are the moments in [0, 1] at which the document is read, one for each
+    reading, and `position` is the first of them (null if it is never read).
+    A document is taken at most `most` times its size, rounded up to whole
+    readings only where the source's target is that of its bound.
+
+    Null or empty texts have size 0 and are never taken. A null source is a
+    source, last in order. Rows that share an id are documents of their own;
+    equal rows are interchangeable. An empty table gives an empty table.
+    """
+    return placed(df, doc_id, **how).select(
         "doc_id",
         "size",
         "source_size",
@@ -96,21 +116,31 @@ def curriculum(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source
         (F.col("whole") * F.col("size") + F.col("given")).alias("taken"),
         (F.col("whole") + F.when((F.col("given") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).alias("copies"),
         F.when(F.col("given") < F.col("size"), F.col("given")).otherwise(0).cast("long").alias("cut"),
-        F.when((F.col("whole") > 0) & (F.col("size") > 0) | (F.col("given") > 0), F.abs(moment(F.least(share, F.lit(1.0)), starts, ends))).alias("position"),
+        F.try_element_at("readings", F.lit(1))["position"].alias("position"),
+        F.col("readings.position").alias("positions"),
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def mixed_documents(df: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of df that the mix takes, as often as it takes them; a document that it would cut is kept whole if half of it or more is taken.
+def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """A row of df for each reading of it, sorted by the readings' positions; a cut reading has the first words of its text.
 
-    Rows that share an id get the readings of the one that is taken most often.
+    Rows that share an id have readings of their own.
     """
-    n, key = fresh(df, "copies"), fresh(df, "mixed_id")
-    mix = curriculum(df, doc_id, **how)
-    times = mix.select(F.col("doc_id").alias(key), (F.col("copies") + F.when(F.col("cut") * 2 >= F.greatest(F.col("size"), F.lit(1)), 1).otherwise(0)).cast("int").alias(n))
-    times = written(times.groupBy(key).agg(F.max(n).alias(n)).where(F.col(n) > 0), "copies")
-    joined = df.join(times.hint("merge"), F.col(doc_id).eqNullSafe(F.col(key)))
-    return joined.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*df.columns)
+    key, nth, size, position = (fresh(df, n) for n in ("mark", "nth", "words", "position"))
+    mix = placed(df, doc_id, text, source, **how).select(F.col("mark").alias(key), F.row_number().over(Window.partitionBy("mark").orderBy("begin")).alias(nth), F.col("size").alias(size), "readings")
+    mix = written(mix.select(key, nth, size, F.explode("readings").alias("reading")).select(key, nth, size, F.col("reading.words").alias("given"), F.col("reading.position").alias(position)), "readings")
+    marked = df.withColumn(key, mark(df, doc_id, text, source))
+    # almost all rows are the only one of their mark; the others are numbered before they are joined
+    twice = written(mix.where(F.col(nth) > 1).select(key).distinct(), "repeated-marks")
+    first = marked.withColumn(nth, F.lit(1))
+    if not twice.isEmpty():
+        again = marked.join(twice.hint("merge"), key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+        first = first.join(twice.hint("merge"), key, "left_anti").select(again.columns).unionByName(again)
+    mix = mix.withColumnsRenamed({c: f"of_{c}" for c in mix.columns})
+    rows = first.join(mix.hint("merge"), (F.col(key) == F.col(f"of_{key}")) & (F.col(nth) == F.col(f"of_{nth}")))
+    begun = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("of_given").cast("int")), "")
+    rows = rows.withColumn(text, F.when(F.col("of_given") < F.col(f"of_{size}"), begun).otherwise(F.col(text)))
+    return rows.orderBy(f"of_{position}", doc_id, f"of_{key}").select(*df.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

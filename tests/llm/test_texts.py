@@ -133,6 +133,30 @@ def test_mixing_odd_sources(spark):
     assert out.columns == df.columns and out.where("source = 'a'").count() >= 2
 
 
+def test_mixing_places_each_reading(spark):
+    data = [(i, " ".join(f"d{i}x{k}" for k in range(10 + i)), None, s, 0, "a", "b", "c") for i, s in enumerate(["a"] * 8 + ["b"] * 30 + ["c"] * 30)]
+    data += [(100, "\t" + "  ".join(f"long{k}" for k in range(400)), None, "d", 0, "a", "b", "c"), (3, "another text of this id", None, "a", 0, "a", "b", "c"), data[4]]
+    df = spark.createDataFrame(data, SCHEMA)
+    rows = curriculum.curriculum(df).collect()
+    by_source = defaultdict(list)
+    for r in rows:
+        assert len(r["positions"]) == r["copies"] + (r["cut"] > 0) and r["positions"] == sorted(r["positions"])
+        assert (r["positions"] or [None])[0] == r["position"]
+        by_source[{d[0]: d[3] for d in data}[r["doc_id"]]] += r["positions"]
+    assert max(r["copies"] for r in rows) == 3 and max(by_source["a"]) > 0.9
+    out = [r for r in curriculum.mixed_documents(df).collect()]
+    read = sorted((p, r["doc_id"]) for r in rows for p in r["positions"])
+    assert [r["doc_id"] for r in out] == [d for _, d in read]
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    for source in "abcd":
+        assert abs(sum(count(r["text"]) for r in out if r["source"] == source) - next(r["target"] for r in rows if {d[0]: d[3] for d in data}[r["doc_id"]] == source)) <= 1
+    texts = defaultdict(list)
+    for d in data:
+        texts[d[0]].append(d[1])
+    assert all(any(t.startswith(r["text"]) for t in texts[r["doc_id"]]) for r in out)
+    assert any(r["text"] not in texts[r["doc_id"]] for r in out)
+
+
 def test_moment_inverts_the_integral(spark):
     cases = [(s, a, b) for s in (0.0, 0.2, 0.5, 1.0) for a, b in ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))]
     rows = spark.createDataFrame(cases, "s double, a double, b double").select("*", curriculum.moment(F.col("s"), F.col("a"), F.col("b")).alias("t")).collect()
