@@ -5,7 +5,7 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 from hashlib import sha256
 
 import duckdb
@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from palimpsest.llm import catalog, curriculum, language, packing, pii, pretokens, syncmers, toxicity
+from palimpsest.llm.tables import written
 from palimpsest.llm.trees import BoostedTrees
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, rank string, pii string"
@@ -335,6 +336,16 @@ def test_sql_agrees(spark):
         assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == want, name
 
 
+def test_pipeline_hands_on_its_tokens(spark, sf_dir):
+    docs = written(corpus_pipeline.mixed(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60), sf_dir), "mixed")
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter(tuple([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2][s : s + 4096]) for r in docs.collect() for s in range(0, len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1, 4096))
+    rows = corpus_pipeline.packed(spark, docs, sf_dir).collect()
+    assert Counter(tuple(r["ids"]) for r in rows) == want
+    for r in rows:
+        assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(array("I", r["ids"]).tobytes())
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
