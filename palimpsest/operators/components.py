@@ -2,38 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.lineage import written
 
+#: A node is a hub with over HUB links, and over a HUBS-th of all: there are at most 2 * HUBS of them.
+HUB, HUBS = 200, 10_000
+
 
 def state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    """Number of links and a sum of their hashes, by which rounds are compared, and the most links that a node has."""
+    each = edges.union(edges.select("v", "u")).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    return tuple(each.agg(F.sum("n") / 2, F.sum("h"), F.max("n")).first())
+
+
+def with_least(edges: DataFrame, least: Column, hub: int | None) -> DataFrame:
+    """The links (u, v), each with m, the `least` of those of u.
+
+    Nodes of over `hub` links are sent to all tasks, so that their links stay
+    where they are; all others are joined.
+    """
+    if hub is None:
+        return edges.join(edges.groupBy("u").agg(least.alias("m")).hint("merge"), "u")
+    few = written(edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), "least")
+    hubs = F.broadcast(few.where(F.col("n") > hub).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(few.where(F.col("n") <= hub).select("u", "m").hint("merge"), "u")
+    return rest.unionByName(edges.join(hubs, "u"))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component_id) for each id that occurs in a link; component_id is the smallest id it is joined to.
 
     Alternates large-star and small-star steps until links no longer change:
     each node's larger (then smaller) neighbours are linked to the smallest one
     it knows. Minima are taken by aggregation and joined back, so no node's
-    neighbours are ever gathered. Links with a null end and loops are left out.
+    neighbours are ever gathered, and those of one node aren't sent to one
+    task. Links with a null end and loops are left out.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     edges = written(edges, "links")
     before = state(edges)
-    for _ in range(rounds):
+    while before[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        hub = max(HUB, before[0] // HUBS)
+        hub = int(hub) if before[2] > hub else None
+        large = with_least(both, F.least(F.min("v"), F.first("u")), hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        small = with_least(large, F.min("v"), hub)
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         edges = written(small, "links")
         now = state(edges)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
