@@ -90,6 +90,7 @@ def rendered(turns: DataFrame, part: int = PART, **names) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rendered, of all conversations."""
     return rendered(documents(spark, sf_dir, "conversations"))
 
 

@@ -8,6 +8,8 @@ document is read. Documents are sorted by range of that moment.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ from palimpsest.llm.tables import documents, fresh, written
 WEIGHTS = (5, 2, 1)
 #: Weight at the start and at the end of training, relative to a source's own mean, for the same order.
 SLOPES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
-#: Parts into which a source's documents are dealt, so that its running sums need no single task.
-PARTS = 1024
+#: Rows of a part of a source, about: its running sums need no single task.
+PART = 65_536
+#: Equal rows that move as one.
+COPIES = 10_000
 #: Sources up to which their table of a row each is broadcast.
 FEW = 10_000
 
@@ -27,23 +31,40 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with `part` and `at`: sorted by range into parts, and the place in the part from 0."""
+    rows = written(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), name)
+    return rows.withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)})
+
+
+def before(rows: DataFrame, **sums: Column) -> DataFrame:
+    """(part, ...) with the sums over all parts before it. There are as many parts as a sort has tasks."""
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    found = written(rows.groupBy("part").agg(*(c.alias(n) for n, c in sums.items())), "part-sums")
+    return F.broadcast(found.select("part", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums)))
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = 3.0) -> DataFrame:
     """(source, source_size) with weight, rank and target. All targets together are all sizes together, none above `most` times its own.
 
     A source is full when the level (target for each unit of weight) passes most
     * size / weight. Sources sorted by that bound fill in turn, so running sums
-    give the level after each, and the first that holds is the answer.
+    give the level after each, and the first that holds is the answer. Sums run
+    within parts of the order and over the parts.
     """
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
-    by_bound = Window.orderBy("bound", "rank")
-    up_to = by_bound.rowsBetween(Window.unboundedPreceding, -1)
-    every = by_bound.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = sizes.withColumn("rank", F.row_number().over(in_order) - 1).withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int")))
+    named = in_order(sizes, [F.col("source").asc_nulls_last()], "sources")
+    ranked = named.join(before(named, first=F.count("*")), "part").withColumn("rank", F.col("first") + F.col("at"))
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("full", F.lit(float(most)) * F.col("source_size")).withColumn("bound", F.col("full") / F.col("weight"))
-    left = F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("full").over(up_to), F.lit(0.0))
-    level = left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(up_to), F.lit(0.0)))
-    held = ranked.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") <= F.col("bound"), F.col("level"))).over(every))
-    return held.select("source", "source_size", "rank", "weight", F.when(F.col("level").isNull() | (F.col("level") * F.col("weight") >= F.col("full")), F.col("full")).otherwise(F.col("level") * F.col("weight")).alias("target"))
+    filled = in_order(ranked.drop("part", "at", "first"), [F.col("bound"), F.col("rank")], "bounds")
+    every = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    up_to = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = filled.join(before(filled, fulls=F.sum("full"), weights=F.sum("weight")), "part")
+    left = F.lit(float(every[0] or 0)) - F.col("fulls") - F.coalesce(F.sum("full").over(up_to), F.lit(0.0))
+    level = left / (F.lit(every[1]) - F.col("weights") - F.coalesce(F.sum("weight").over(up_to), F.lit(0.0)))
+    held = sums.select("bound", level.alias("level")).agg(F.max(F.when(F.col("level") <= F.col("bound"), F.col("level")))).first()[0]
+    share = F.lit(held).cast("double") * F.col("weight")
+    return filled.select("source", "source_size", "rank", "weight", F.when(share < F.col("full"), share).otherwise(F.col("full")).alias("target"))
 
 
 def moment(share: Column, start: Column, end: Column) -> Column:
@@ -57,9 +78,10 @@ def mark(df: DataFrame, doc_id: str, text: str, source: str) -> Column:
 
 
 def placed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, slopes: tuple = SLOPES, most: float = 3.0, seed: int = 5) -> DataFrame:
-    """A row for each row of df: doc_id, mark, size, source_size, target, whole (readings), given (words of the reading after them), readings.
+    """A row for each row of df: doc_id, mark, n, size, source_size, target, whole (readings), given (words of the reading after them), readings.
 
-    `readings` has (words, position) of each reading in turn, the cut one last.
+    `n` counts the rows that are equal to it. `readings` has (words, position)
+    of each reading in turn, the cut one last.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), mark(df, doc_id, text, source).alias("mark"))
     docs = written(docs, "sizes")
@@ -67,15 +89,20 @@ def placed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     goals = written(targets(sizes, weights, most).withColumn("target_words", F.round("target").cast("long")), "targets")
     few = goals.count() <= FEW
     goals = F.broadcast(goals) if few else goals.hint("merge")
-    mixed = docs.withColumnRenamed("source", "own").join(goals, F.col("own").eqNullSafe(F.col("source")))
-    order = F.xxhash64(F.lit(seed), "doc_id", "size")
-    mixed = mixed.withColumn("order", order).withColumn("part", F.shiftrightunsigned(F.col("order"), 54).cast("int"))
-
-    sums = mixed.groupBy("rank", "part").agg(F.sum("size").alias("part_size"))
-    before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("rank", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("part_start"))
-    inside = Window.partitionBy("rank", "part").orderBy("order", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = mixed.join(sums.hint("merge"), ["rank", "part"]).withColumn("begin", F.col("part_start") + F.sum("size").over(inside) - F.col("size"))
+    # equal rows follow one another, so they are counted and get their places at the end
+    same = docs.groupBy("doc_id", F.col("source").alias("own"), "size", "mark").agg(F.count("*").alias("n"))
+    mixed = same.join(goals, F.col("own").eqNullSafe(F.col("source"))).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    mixed = mixed.withColumn("held", F.least(F.lit(COPIES), F.col("n") - F.col("piece") * COPIES)).withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size", "mark", "piece"))
+    bits = min(20, max(1, math.ceil(math.log2(max(1, docs.count()) / PART))))
+    mixed = mixed.withColumn("part", F.shiftrightunsigned("order", 64 - bits).cast("int"))
+
+    sums = mixed.groupBy("rank", "part").agg(F.sum(F.col("size") * F.col("held")).alias("part_size"))
+    earlier = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("rank", "part", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("part_start"))
+    inside = Window.partitionBy("rank", "part").orderBy("order", "doc_id", "size", "mark", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.col("size") * F.col("held")
+    rows = mixed.join(sums.hint("merge"), ["rank", "part"]).withColumn("begin", F.col("part_start") + F.sum(held).over(inside) - held)
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("held") - 1))).withColumn("begin", F.col("begin") + F.col("nth") * F.col("size"))
 
     whole = F.coalesce(F.expr("target_words div nullif(source_size, 0)"), F.lit(0))
     last = F.col("target_words") - F.col("whole") * F.col("source_size")
@@ -89,7 +116,7 @@ def placed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
         return F.struct(size.alias("words"), F.abs(moment(F.least(share, F.lit(1.0)), starts, ends)).alias("position"))
 
     readings = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("whole")), reading), lambda x: x["words"] > 0)
-    return rows.select("doc_id", "mark", "size", "source_size", "target", "whole", "given", "begin", readings.alias("readings"))
+    return rows.select("doc_id", "mark", "n", "size", "source_size", "target", "whole", "given", readings.alias("readings"))
 
 
 def curriculum(df: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
@@ -124,24 +151,33 @@ def curriculum(df: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
 def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """A row of df for each reading of it, sorted by the readings' positions; a cut reading has the first words of its text.
 
-    Rows that share an id have readings of their own.
+    Rows that share an id have readings of their own. Of rows that are equal in
+    id, source and text, but not in other columns, one stands for all. Columns
+    stay as they are. Null or empty texts are never read; an empty table gives
+    an empty table.
     """
-    key, nth, size, position = (fresh(df, n) for n in ("mark", "nth", "words", "position"))
-    mix = placed(df, doc_id, text, source, **how).select(F.col("mark").alias(key), F.row_number().over(Window.partitionBy("mark").orderBy("begin")).alias(nth), F.col("size").alias(size), "readings")
-    mix = written(mix.select(key, nth, size, F.explode("readings").alias("reading")).select(key, nth, size, F.col("reading.words").alias("given"), F.col("reading.position").alias(position)), "readings")
+    key, nth, salt, reads = (fresh(df, n) for n in ("mark", "nth", "salt", "reads"))
+    mix = written(placed(df, doc_id, text, source, **how).select(F.col("mark").alias(key), "n", "size", F.explode("readings").alias("reading")), "readings")
     marked = df.withColumn(key, mark(df, doc_id, text, source))
-    # almost all rows are the only one of their mark; the others are numbered before they are joined
-    twice = written(mix.where(F.col(nth) > 1).select(key).distinct(), "repeated-marks")
-    first = marked.withColumn(nth, F.lit(1))
-    if not twice.isEmpty():
-        again = marked.join(twice.hint("merge"), key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
-        first = first.join(twice.hint("merge"), key, "left_anti").select(again.columns).unionByName(again)
-    mix = mix.withColumnsRenamed({c: f"of_{c}" for c in mix.columns})
-    rows = first.join(mix.hint("merge"), (F.col(key) == F.col(f"of_{key}")) & (F.col(nth) == F.col(f"of_{nth}")))
-    begun = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("of_given").cast("int")), "")
-    rows = rows.withColumn(text, F.when(F.col("of_given") < F.col(f"of_{size}"), begun).otherwise(F.col(text)))
-    return rows.orderBy(f"of_{position}", doc_id, f"of_{key}").select(*df.columns)
+    # there are at most COPIES marks of so many rows
+    most = max(COPIES, df.count() // COPIES)
+    hot = written(mix.where(F.col("n") > most).select(key, "n").distinct(), "hot-marks")
+    own = marked.join(F.broadcast(hot), key, "left_anti")
+    first = own.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1).drop(nth)
+    lists = mix.where(F.col("n") <= most).groupBy(key).agg(F.collect_list(F.struct("reading.position", "reading.words", "size")).alias(reads))
+    rows = first.join(lists.hint("merge"), key)
+    if not hot.isEmpty():
+        # one row of each, in several places, meets the readings dealt to them
+        salts = F.expr(f"1 + (n - 1) div {COPIES}")
+        one = marked.join(F.broadcast(hot), key).dropDuplicates([key]).withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("n")
+        dealt = mix.where(F.col("n") > most).select(key, F.pmod(F.xxhash64("reading.position"), salts).alias(salt), F.array(F.struct("reading.position", "reading.words", "size")).alias(reads))
+        rows = rows.unionByName(one.join(dealt.hint("merge"), [key, salt]).select(rows.columns))
+    rows = rows.withColumn(reads, F.explode(reads))
+    begun = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col(f"{reads}.words").cast("int")), "")
+    rows = rows.withColumn(text, F.when(F.col(f"{reads}.words") < F.col(f"{reads}.size"), begun).otherwise(F.col(text)))
+    return rows.orderBy(f"{reads}.position", doc_id, key).select(*df.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """curriculum of all documents."""
     return curriculum(documents(spark, sf_dir))

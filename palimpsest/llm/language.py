@@ -15,16 +15,14 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tables import documents, fresh
+from palimpsest.llm.tables import documents, fresh, written
 
 #: Documents of a language that its dictionary is made from at most, and bytes of a dictionary.
 SAMPLE_DOCS, DICTIONARY = 200, 1 << 16
-#: Languages at most; the dictionaries are broadcast.
-LANGUAGES = 400
+#: Bytes of all dictionaries together, which are broadcast, and languages at most: with more languages each has a smaller share.
+BROADCAST, LANGUAGES = 32 << 20, 20_000
 #: Bytes that are compressed at a time: more would let a text be its own dictionary.
 BLOCK = 512
-#: Bytes below which each word is compressed by itself, too.
-SHORT = 512
 #: Matches of four bytes count, and tables are small enough to be ready for each block.
 HOW = {"window_log": 17, "hash_log": 14, "chain_log": 14, "search_log": 4, "min_match": 4, "target_length": 32, "strategy": zstd.STRATEGY_GREEDY, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
 #: Relative lead over the second language below which a decision is rejected.
@@ -42,33 +40,37 @@ def plain(text: str) -> bytes:
 
 
 def dictionaries(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY) -> dict[str, bytes]:
-    """Bytes for each language of df (rows without one don't count), of documents chosen by a hash of their ids.
+    """Bytes for each language of df, of a bounded sample of its rows that have a text and a language.
 
-    Ids are ranked without their texts, and the texts of those chosen are read
-    then: at most sample_docs of a language, of which at most `size` bytes stay.
+    Ids are ranked by a hash without their texts, each once in a language, and
+    of the rows of the first sample_docs of them the first sample_docs by a hash
+    of their text are read. A row longer than an eighth of a dictionary gives
+    that many bytes, from a place by its hash. Of over LANGUAGES languages those
+    of most rows count.
     """
-    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(doc_id).cast("string")), doc_id)
-    chosen = known.select(F.col(lang), F.col(doc_id)).select("*", F.row_number().over(order).alias("nth")).where(F.col("nth") <= sample_docs)
-    rows = chosen.select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), "nth").limit(LANGUAGES * sample_docs + 1).collect()
-    if len({r["lang"] for r in rows}) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
-    share = size // 8  # of a dictionary for one document at most
-    ids = sorted({r["id"] for r in rows if r["id"] is not None})
-    texts = known.where(F.col(doc_id).isin(ids)).select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.substring(F.col(text), 1, share).alias("text")).collect()
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
+    langs = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
+    if not langs:
+        return {}
+    size = min(size, BROADCAST // len(langs))
+    docs = max(1, min(sample_docs, SAMPLE_DOCS * 400 // len(langs)))
+    kept = F.broadcast(df.sparkSession.createDataFrame([(r["lang"],) for r in langs], "lang string"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    ids = known.select("lang", "id").join(kept, "lang").distinct().select("*", F.row_number().over(order).alias("nth")).where(F.col("nth") <= docs)
+    # at most 80,000 rows
+    ids = F.broadcast(written(ids.select(F.col("lang").alias("of"), F.col("id").alias("chosen")), "chosen-ids"))
+    rows = known.join(ids, (F.col("lang") == F.col("of")) & F.col("id").eqNullSafe(F.col("chosen")))
+    tie = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text")
+    share = size // 8
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - share, F.lit(0)) + 1) + 1
+    rows = rows.withColumn("nth", F.row_number().over(tie)).where(F.col("nth") <= docs).select("lang", "nth", F.expr("text").substr(place.cast("int"), F.lit(share)).alias("text"))
     out: dict[str, bytes] = {}
-    for r in sorted(texts, key=lambda r: (r["lang"], hash_order(r["id"]), r["text"])):
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["nth"])):
         out[r["lang"]] = (out.get(r["lang"], b"") + plain(r["text"]))[:size]
     # zstandard needs eight bytes
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 
-def hash_order(value) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(str(value).encode(), 42)
-
-
 class Compressors:
     def __init__(self, found: dict[str, bytes]):
         self.names = sorted(found)
@@ -79,21 +81,20 @@ class Compressors:
             d.precompute_compress(compression_params=how)
             self.each.append(zstd.ZstdCompressor(dict_data=d, compression_params=how))
 
-    def sizes(self, text: str) -> list[int]:
-        data = plain(text)
+    def sizes(self, data: bytes) -> list[int]:
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        if len(data) < SHORT:  # whole bytes tell too little of a few words: each counts by itself, too
-            blocks += [b" " + w + b" " for w in data.split()]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.each]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and relative lead over the second; `und` and 0 for a text without a letter."""
         if not text or not self.names or not _letter.search(text):
             return "und", 0.0
-        data, sizes = plain(text), self.sizes(text)
-        if sizes.count(min(sizes)) > 1:  # of languages that compress alike, the one that knows more of the text's four-byte strings
-            grams = {data[i : i + 4] for i in range(max(1, min(len(data), 4 * BLOCK) - 3))}
-            sizes = [n - sum(g in d for g in grams) / (1 + len(grams)) for n, d in zip(sizes, self.raw)]
+        data = plain(text)
+        sizes = self.sizes(data)
+        least = min(sizes)
+        if sizes.count(least) > 1:  # of languages that compress alike, the one that knows more of the text's four-byte strings
+            grams = {data[i : i + 4] for i in range(max(1, len(data) - 3))}
+            sizes = [n - sum(g in d for g in grams) / (1 + len(grams)) if n == least else n for n, d in zip(sizes, self.raw)]
         order = sorted(zip(sizes, self.names))
         return order[0][1], 1.0 if len(order) == 1 else 1 - order[0][0] / max(order[1][0], 1)
 
@@ -142,6 +143,7 @@ def confident(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that aren't held out."""
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     told = identified(docs.select("doc_id", "text"), docs.where(~held_out).select("doc_id", "text", "lang"))

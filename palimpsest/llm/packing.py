@@ -33,6 +33,8 @@ ROOM = 4096
 GROUP = 2048
 #: Entries of a worker's cache of words; it is emptied when full (it may pass this by the new words of STEP).
 CACHE = 500_000
+#: Characters of a word beyond which it isn't kept.
+LONG = 64
 #: Words of a text that are encoded at a time.
 STEP = 100_000
 
@@ -67,7 +69,8 @@ class Words:
             ids = self.cache.get(part)
             if ids is None:
                 ids = array("I", [t.id for t in self.merge(part.encode().decode("latin-1").translate(_byte_chars))]).tobytes()
-                self.cache[part] = ids
+                if len(part) <= LONG:
+                    self.cache[part] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -87,7 +90,9 @@ class Words:
                         word = some[n]
                         ids = self.cache.get(word)
                         if ids is None:
-                            ids = self.cache[word] = self.word(word)
+                            ids = self.word(word)
+                            if len(word) <= LONG:
+                                self.cache[word] = ids
                         found[n] = ids
             out.append(b"".join(found))
         return b"".join(out)
@@ -152,15 +157,22 @@ def packed(cut: DataFrame, room: int = ROOM, group: int = GROUP, seed: int = 11)
     Full pieces are sequences of their own, with negative sequence_ids; other
     sequence_ids name a group and a bin of it.
     Groups come from a hash of id, start and content, so a rerun packs alike;
-    copies of a row lie wherever their ties fall, each in one place. Nulls in
+    copies of a row lie wherever their ties fall, each in one place, and if they
+    are more than a group holds, they are dealt over several by their place in
+    the table. Nulls in
     doc_id are a value like any other. An empty table gives an empty table.
     """
     cut = written(cut, "pieces")
-    n = cut.where(F.col("length") < room).count()
+    short = cut.where(F.col("length") < room).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"))
+    n = short.count()
     groups = max(1, round(n / group))
-    key = F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32")
+    # equal pieces of which there are more than in a group; there are at most 10,000 keys of so many
+    equal = short.groupBy("key").count().where(F.col("count") > max(group, n // 10_000))
+    equal = F.broadcast(written(equal.select(F.col("key").alias("hot"), F.ceil(F.col("count") / group).alias("dealt")), "equal-pieces"))
     full = cut.where(F.col("length") >= room).withColumn("group", F.lit(-1).cast("long"))
-    rest = cut.where(F.col("length") < room).withColumn("group", F.pmod(key, F.lit(groups)))
+    rest = short.withColumn("place", F.monotonically_increasing_id()).join(equal, F.col("key") == F.col("hot"), "left")
+    rest = rest.withColumn("copy", F.pmod("place", F.coalesce("dealt", F.lit(1))))
+    rest = rest.withColumn("group", F.pmod(F.when(F.col("copy") == 0, F.col("key")).otherwise(F.xxhash64("key", "copy")), F.lit(groups))).drop("key", "place", "hot", "dealt", "copy")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], na_position="last", kind="stable", ignore_index=True)
@@ -186,4 +198,5 @@ def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents of all documents."""
     return pack_documents(documents(spark, sf_dir))

@@ -6,10 +6,13 @@ numbers without a country code, digits in other groupings. Boosted trees see
 each proposal's format and the words around it; what passes its kind's
 calibrated threshold, and overlaps nothing better, is added.
 
-The trees are fitted on proposals in a bounded sample of documents. Base spans
-are positive, and so is what they would look like written loosely: copies are
-rewritten in place, in their own surroundings. All other proposals that no base
-span covers are negative.
+The trees are fitted on a bounded sample of documents, from their base spans:
+each is rewritten in place, in its own surroundings, in the loose forms of its
+kind and as it stands before another number that a base pattern would swallow.
+These are positive. Negative are decoys in the same places: what looks like the
+kind but fails its check, or is another thing that people write with the same
+signs. Other proposals in the texts may or may not be personal data, so they
+teach nothing. Thresholds come from scores by trees that haven't seen the span.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from palimpsest.llm.tables import documents, fresh
 from palimpsest.llm.trees import BoostedTrees
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents of the fitting sample, and proposals in it, at most.
-SAMPLE_DOCS, SAMPLE_SPANS = 20_000, 20_000
-#: Share of accepted proposals that must be right in the held-out part of the sample.
-PRECISION = 0.99
+#: Documents of the fitting sample, and examples from it, at most; folds of the calibration.
+SAMPLE_DOCS, SAMPLE_SPANS, FOLDS = 20_000, 20_000, 3
+#: Share of accepted proposals that must be right in the folds that trees haven't seen.
+PRECISION = 0.98
 #: Characters on either side that context features see.
 CONTEXT = 32
 
@@ -45,13 +48,14 @@ _digit, _dotted = re.compile("[0-9]"), re.compile("[0-9][0-9.]*")
 #: Stretches that a loose pattern of numbers lies within.
 _numbers = re.compile(r"[0-9][0-9 ()\[\]./_+-]*[0-9]")
 
-_loose_email = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}+ ?(?:@|\(at\)|\[at\]| at ) ?[\w-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[\w-]{1,63}){1,5}")
+_loose_email = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}+(?: ?(?:@|\(at\)|\[at\]) ?[\w-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[\w-]{1,63}){1,5}| at [\w-]{1,63}(?:(?:\.| dot )[\w-]{1,63}){1,5})")
 _loose_hex = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _loose = [
     (1, re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?\. ?| ?\[\.\] ?)[0-9]{1,3}(?: ?\. ?| ?\[\.\] ?)[0-9]{1,3}(?: ?\. ?| ?\[\.\] ?)[0-9]{1,3}(?![0-9])")),
     (2, re.compile(r"(?<![0-9])[0-9]{4}([ ./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+.-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")),
+    (3, re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")),
 ]
 _hints = {"email": re.compile(r"mail|contact|write|@", re.I), "ip": re.compile(r"\bip\b|host|server|address|addr", re.I), "card": re.compile(r"card|visa|pay|credit|account", re.I), "phone": re.compile(r"phone|call|tel|mobile|fax|dial|\+", re.I)}
 _digits_only = re.compile(r"[^0-9]")
@@ -94,7 +98,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def proposals(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) by the loose generators, overlapping as they come."""
     found = set()
-    if "@" in text or "(at)" in text or "[at]" in text or (" at " in text and " dot " in text):
+    if "@" in text or "(at)" in text or "[at]" in text or " at " in text:
         found.update((m.start(), 0, m.end()) for m in _loose_email.finditer(text))
     if text.count(":") > 2:
         found.update((m.start(), 1, m.end()) for m in _loose_hex.finditer(text))
@@ -123,6 +127,10 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
         float(" " in span),
         span.count("."),
         float("(" in span),
+        span.count(":"),
+        float("::" in span),
+        float(" at " in span),
+        float(" dot " in span or "dot)" in span or "dot]" in span),
         float(luhn(digits)) if 12 <= len(digits) <= 19 else -1.0,
         max((int(g) for g in groups if len(g) < 6), default=-1),
         len(parts[-1]),
@@ -137,57 +145,80 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
     ]
 
 
-def loosely(text: str, start: int, kind: int, end: int, pick: random.Random) -> str:
-    """The span as somebody might write it who doesn't follow the pattern."""
-    span = text[start:end]
+def loose_forms(span: str, kind: int) -> list[str]:
+    """The span as people might write it who don't follow the pattern."""
     if kind == 0:
-        at, dot = pick.choice([(" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" @ ", ".")])
         name, _, host = span.partition("@")
-        return name + at + host.replace(".", dot)
+        return [name + at + host.replace(".", dot) for at, dot in ((" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" @ ", "."))]
     if kind == 1:
-        return span.replace(".", pick.choice([" . ", "[.]"]))
+        a, b, c, d = (int(p) for p in span.split("."))
+        return [span.replace(".", dot) for dot in (" . ", "[.]", " [.] ")] + [f"2001:db8:{a:x}{b:02x}:{c:x}{d:02x}::1"]
     digits = _digits_only.sub("", span)
     if kind == 2:
-        return pick.choice([".", "_", "/"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        return [sep.join(digits[i : i + 4] for i in range(0, len(digits), 4)) for sep in "._/"] if len(digits) > 12 else []
     local, area = digits[-7:], digits[-10:-7] or digits[:3]
-    return pick.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "001 {} {} {}"]).format(area, local[:3], local[3:])
+    return [form.format(area, local[:3], local[3:]) for form in ("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "001 {} {} {}")]
 
 
-def examples(text: str, pick: random.Random) -> list[tuple[list[float], float]]:
-    """Features and target of each proposal in a text, and of its base spans rewritten loosely."""
-    base = base_spans(text)
+def swallowed_forms(span: str, kind: int, pick: random.Random) -> list[tuple[str, str]]:
+    """The span, and what may follow it so that the base pattern takes both together and rejects them."""
+    n = lambda a, b: pick.randrange(a, b)
+    if kind == 2:
+        return [(span, f" {n(10, 100)} {n(1000, 10_000)}")] if len(span) == 19 else []
+    return [(span, f" {n(1, 256)}.{n(0, 256)}.{n(0, 256)}.{n(1, 256)}"), (span, f" {n(10**15, 10**16)}")] if kind == 3 else []
+
+
+def decoys(span: str, kind: int, pick: random.Random) -> list[str]:
+    """What is not personal data, but would be proposed as of the kind."""
+    n = lambda a, b: pick.randrange(a, b)
+    if kind == 0:
+        a, b, c = (pick.choice(("look", "meet", "prices", "home", "noon", "this", "place", "they")) for _ in range(3))
+        return [f"{a} @ {b}", f"{a} @ {b}. {c.capitalize()}", f"{n(1, 90)} @ {n(1, 90)}.{n(10, 99)}", f"{a} at {b}.{c.capitalize()}", f"{a} at {n(1, 90)}.{n(10, 99)}"]
+    if kind == 1:
+        parts = [n(256, 1000), n(0, 400), n(0, 400), n(0, 400)]
+        pick.shuffle(parts)
+        return [dot.join(map(str, parts)) for dot in (".", " . ", "[.]")] + [":".join(f"{n(0, 60):02d}" for _ in range(4)), ":".join(f"{n(0, 256):02x}" for _ in range(6))]
+    if kind == 2:
+        digits = _digits_only.sub("", span)
+        wrong = digits[:-1] + str((int(digits[-1]) + n(1, 10)) % 10)
+        return [sep.join(wrong[i : i + 4] for i in range(0, len(wrong), 4)) for sep in ("", " ", "-", ".", "_", "/")]
+    return [f"{n(100, 1000)}.{n(100, 1000)}.{n(100, 1000)}", f"{n(1900, 2030)} {n(1900, 2030)} {n(1900, 2030)}", f"{n(100, 1000)}-{n(1000, 10_000)}", f"{n(10, 100)}/{n(100, 1000)}/{n(1900, 2030)}", f"{n(100, 1000)} {n(100, 1000)} {n(100, 1000)}", f"+{n(1, 10)} {n(100, 1000)}.{n(100, 1000)}.{n(1000, 10_000)}.{n(10, 1000)}.{n(10, 100)}"]
+
+
+def examples(text: str, pick: random.Random) -> list[tuple[list[float], int, float]]:
+    """(features, place of the span, target) of proposals for the base spans of a text rewritten, and for decoys in their stead."""
     out = []
-    for s, k, e in proposals(text):
-        inside = [b for b in base if s < b[2] and b[0] < e]
-        exact = any(b == (s, k, e) for b in inside)
-        if exact or not inside:
-            out.append((features(text, s, k, e), float(exact)))
-    for s, k, e in base:
-        form = loosely(text, s, k, e, pick)
-        near = text[max(0, s - 2 * CONTEXT) : s] + form + text[e : e + 2 * CONTEXT]
-        at = min(s, 2 * CONTEXT)
-        out += [(features(near, p, q, r), 1.0) for p, q, r in proposals(near) if (p, q, r) == (at, k, at + len(form))]
+    for place, (s, k, e) in enumerate(base_spans(text)):
+        span, before, after = text[s:e], text[max(0, s - 2 * CONTEXT) : s], text[e : e + 2 * CONTEXT]
+        at = len(before)
+        for form, behind in [(span, ""), *((f, "") for f in loose_forms(span, k)), *swallowed_forms(span, k, pick)]:
+            near = before + form + behind + after
+            # what is inside of the form is only a part of it
+            out += [(features(near, p, q, r), place, float((p, r) == (at, at + len(form)))) for p, q, r in proposals(near) if q == k and at <= p and r <= at + len(form)]
+        for form in decoys(span, k, pick):
+            near = before + form + after
+            out += [(features(near, p, q, r), place, 0.0) for p, q, r in proposals(near) if p < at + len(form) and r > at]
     return out
 
 
 class Judge:
-    """Trees and a threshold for each kind (above 1: never)."""
+    """Trees and a threshold for each kind (above 1: never), from features, targets, and a number of each example's span, by which it is dealt into folds."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, precision: float = PRECISION):
+    def __init__(self, x: np.ndarray, y: np.ndarray, of: np.ndarray | None = None, precision: float = PRECISION):
         self.thresholds, self.model = [2.0] * len(KINDS), None
         if len(y) < 50 or y.min() == y.max():
             return
-        part = np.arange(len(y)) % 3 == 0  # held out for the thresholds
-        self.model = BoostedTrees().fit(x[~part], y[~part])
-        p = self.model.probability(x[part])
+        fold, p = (np.arange(len(y)) if of is None else of) % FOLDS, np.zeros(len(y))
+        for f in range(FOLDS):
+            if (fold == f).any() and (fold != f).any():
+                p[fold == f] = BoostedTrees().fit(x[fold != f], y[fold != f]).probability(x[fold == f])
+        self.model = BoostedTrees().fit(x, y)
         for k in range(len(KINDS)):
-            own = x[part][:, k] == 1
+            own = x[:, k] == 1
             order = np.argsort(-p[own], kind="stable")
-            sorted_p, hit = p[own][order], y[part][own][order]
-            if hit.sum() < 5:
-                continue
+            sorted_p, hit = p[own][order], y[own][order]
             # one more error than was seen is allowed for
-            right = hit.cumsum() / (np.arange(len(hit)) + 1 + 0.01)
+            right = hit.cumsum() / (np.arange(len(hit)) + 2)
             good = np.flatnonzero(right >= precision)
             if len(good):
                 below = sorted_p[good[-1] + 1] if good[-1] + 1 < len(hit) else 0.0
@@ -201,7 +232,7 @@ class Judge:
             return []
         p = self.model.probability(np.array([features(text, *s) for s in free]))
         taken: list[tuple[int, int, int]] = []
-        for i in sorted(range(len(free)), key=lambda i: (-p[i], free[i])):
+        for i in sorted(range(len(free)), key=lambda i: (-round(p[i], 2), free[i][0] - free[i][2], free[i])):
             s = free[i]
             if p[i] >= self.thresholds[s[1]] and not any(s[0] < t[2] and t[0] < s[2] for t in taken):
                 taken.append(s)
@@ -227,20 +258,25 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def fitted(df: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> Judge:
-    """Trees from the proposals in about sample_docs texts that hold a digit or an @."""
+    """Trees from about sample_docs texts that hold a digit or an @, chosen by a hash of them, and at most sample_spans examples, in order of that hash.
+
+    Copies of a text count as often as they occur. If there is no text, or fewer
+    than 50 examples, nothing is ever added to base spans.
+    """
     marked = df.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
 
     @F.pandas_udf("array<array<double>>")
     def of(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [[*x, y] for x, y in examples(t, random.Random(len(t)))])
+        return s.map(lambda t: [[*x, place, y] for x, place, y in examples(t, random.Random(len(t)))])
 
     share = min(1.0, sample_docs / max(df.count(), 1))
-    rows = marked.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.explode(of("text")).alias("e"))
-    kept = np.array([r["e"] for r in rows.limit(sample_spans).collect()], float)
-    if not len(kept):
+    hashed = marked.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = hashed.select("h", F.explode(of("text")).alias("e")).orderBy("h", "e").limit(sample_spans).collect()
+    if not rows:
         return Judge(np.zeros((0, 1)), np.zeros(0))
-    kept = kept[np.lexsort(kept.T)]  # whatever order tasks ended in
-    return Judge(kept[:, :-1], kept[:, -1])
+    kept = np.array([r["e"] for r in rows], float)
+    spans = np.array([r["h"] for r in rows], np.int64) % 1_000_003 + kept[:, -2].astype(np.int64)
+    return Judge(kept[:, :-2], kept[:, -1], spans)
 
 
 def found(text: Column, judge: Judge, redact: bool = True) -> Column:
@@ -272,11 +308,12 @@ def with_spans(df: DataFrame, text: str = "text", judge: Judge | None = None, re
 
 
 def without_pii(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with all spans of its text redacted; every row stays."""
+    """df with all spans of its text redacted, each by its kind in angle brackets; every row and column stays. Null texts stay null; see with_spans for the rest."""
     name = fresh(df, "pii")
     return df.withColumn(name, found(F.col(text), fitted(df, text))).withColumn(text, F.col(f"{name}.redacted")).select(*df.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of base spans and all spans of each document, by trees fitted on the same documents."""
     out = with_spans(documents(spark, sf_dir).select("doc_id", "text"), redact=False)
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans")

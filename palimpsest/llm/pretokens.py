@@ -29,6 +29,8 @@ SAMPLE_DOCS = 2000
 FREQUENT = 32_768
 #: Entries of a worker's cache; it is emptied when full.
 CACHE = 300_000
+#: Characters of a pre-token beyond which it isn't kept.
+LONG = 256
 #: Characters whose classes may differ between releases of Unicode: texts with one outside go to the library whole.
 SURE = regex.compile(r"[\x00-\x1b\x20-\x7e\xa0-ɏͰ-ͳ΄-ϿЀ-ԯ‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]*")
 
@@ -80,13 +82,13 @@ class Lengths:
                     if len(self.cache) + len(new) > CACHE:
                         self.cache = {}
                         new = list(set(missed))
-                    # a text of very many pre-tokens goes through in pieces and is not kept
+                    # very long pre-tokens, and those of a text of very many, go through and are not kept
                     known = dict(zip(new, self.encoded(new)))
-                    self.cache.update(known if len(known) <= CACHE else {})
-                    lookup = self.cache if len(known) <= CACHE else known
+                    if len(known) <= CACHE:
+                        self.cache.update((t, n) for t, n in known.items() if len(t) <= LONG)
+                    total += sum(known[t] if t in known else self.cache[t] for t in missed)
                 else:
-                    lookup = self.cache
-                total += sum(map(lookup.__getitem__, missed))
+                    total += sum(map(self.cache.__getitem__, missed))
             else:
                 total += sum(lengths)
             out.append(total)
@@ -106,21 +108,23 @@ def unpacked(table: tuple[bytes, bytes, bytes]) -> dict[str, int]:
 
 
 def frequent_lengths(df: DataFrame, text: str, vocabulary: str, sample_docs: int = SAMPLE_DOCS, entries: int = FREQUENT) -> tuple[bytes, bytes, bytes]:
-    """The first tier. Tasks over a sample of about sample_docs texts count pre-tokens on their own and hand over at most `entries` each."""
+    """The first tier. Tasks over a sample of about sample_docs texts count pre-tokens on their own, all at once, and hand over at most 64 for each text of theirs."""
     rows = df.count()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiers, seen = Lengths(vocabulary), Counter()
+        tiers, seen, texts = None, Counter(), 0
         for b in batches:
             for t in b.column(0).to_pylist():
+                tiers = tiers or Lengths(vocabulary)
+                texts += 1
                 if t and (split := tiers.pretokens(t)):
                     seen.update(split[0])
-        top = [(k, n) for k, n in seen.most_common(entries) if len(k) <= 64]
+        top = [(k, n) for k, n in seen.most_common(min(entries, 64 * texts)) if len(k) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["token", "n"])
 
-    sample = df.select(text).sample(fraction=min(1.0, sample_docs / max(rows, 1)), seed=7).coalesce(4)
+    sample = df.select(text).sample(fraction=min(1.0, sample_docs / max(rows, 1)), seed=7)
     seen: Counter = Counter()
-    for r in sample.mapInArrow(counted, "token string, n long").toLocalIterator():
+    for r in sample.mapInArrow(counted, "token string, n long").collect():
         seen[r["token"]] += r["n"]
     keys = sorted(seen, key=lambda k: (-seen[k], k))[:entries]
     return packed(dict(zip(keys, Lengths(vocabulary).encoded(keys))) if keys else {})
@@ -149,5 +153,6 @@ def token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", vocab
 
 
 def op9(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has over `limit` tokens."""
     counted = token_counts(documents(spark, sf_dir).select("doc_id", "text"))
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

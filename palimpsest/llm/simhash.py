@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.components import components
+from palimpsest.llm import likeness
 from palimpsest.llm.tables import documents, fresh, written
 
 #: Fingerprints of a bucket beyond which it is dealt anew by the bits that it leaves open.
@@ -33,6 +34,8 @@ FAN = 8
 FRONT = 1 << 15
 #: Shingles whose bits are counted at a time.
 STEP = 1 << 16
+#: Rows of whole buckets that a task joins at a time.
+CHUNK = 1 << 17
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -163,13 +166,13 @@ def buckets(codes: DataFrame, bits: int, large: int = LARGE) -> DataFrame:
 
 
 def near_links(codes: DataFrame, bits: int, large: int = LARGE) -> DataFrame:
-    """(a, b): links that join the ids of all codes that differ in at most `bits` bits, and only those, directly or through others."""
+    """(a, b): links that join the ids of all codes that differ in at most `bits` bits, and only those, directly or through others.
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows)
+    A task reads its buckets in order and holds about CHUNK rows of whole
+    buckets at a time, however many it has been dealt.
+    """
+
+    def join(table: pa.Table) -> pa.RecordBatch:
         code, ids, fixed, value = (table.column(c).to_numpy() for c in ("code", "id", "fixed", "value"))
         code = code.view(np.uint64)
         order = np.lexsort((gray_rank(code), value, fixed))
@@ -177,9 +180,30 @@ def near_links(codes: DataFrame, bits: int, large: int = LARGE) -> DataFrame:
         bucket = np.cumsum(np.r_[True, (fixed[1:] != fixed[:-1]) | (value[1:] != value[:-1])])
         root = linked(code, bucket, bits)
         moved = root != np.arange(len(code))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
-
-    return buckets(codes, bits, large).repartition("fixed", "value").mapInArrow(join, "a long, b long")
+        kind = table.schema.field("id").type
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved], kind), pa.array(ids[root[moved]], kind)], ["a", "b"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held, rows = [*held, b], rows + b.num_rows
+            if rows < CHUNK:
+                continue
+            table = pa.Table.from_batches(held)
+            fixed, value = table.column("fixed").to_numpy(), table.column("value").to_numpy()
+            ends = np.flatnonzero((fixed[1:] != fixed[:-1]) | (value[1:] != value[:-1])) + 1
+            if len(ends):
+                yield join(table.slice(0, ends[-1]))
+                held = table.slice(ends[-1]).combine_chunks().to_batches()
+                rows = sum(h.num_rows for h in held)
+        if held:
+            yield join(pa.Table.from_batches(held))
+
+    kind = dict(codes.dtypes)["id"]
+    dealt = buckets(codes, bits, large).repartition("fixed", "value").sortWithinPartitions("fixed", "value")
+    return dealt.mapInArrow(stream, f"a {kind}, b {kind}")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2, large: int = LARGE) -> DataFrame:
@@ -187,11 +211,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     Fingerprints that differ in at most `bits` bits are linked, equal ones too.
     A null text, and one without a word, has fingerprint 0 and is linked like
-    any other. Texts of any length are read whole. Rows that share an id stay
-    rows of their own; a null id is linked to nothing and is its own (null)
-    component. An empty table gives an empty table.
+    any other. Texts of any length are read whole. Ids are of any type that has
+    an order. Rows that share an id stay rows of their own; a null id is linked
+    to nothing and is its own (null) component. Other columns of df are not
+    read. An empty table gives an empty table.
     """
-    docs = written(df.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprints(F.col(text), width).alias("code")), "fingerprints")
+    docs = written(df.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), width).alias("code")), "fingerprints")
     # distinct fingerprints stand for all their copies from here on
     codes = written(docs.where("doc_id is not null").groupBy("code").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
     found = components(near_links(codes, bits, large))
@@ -201,9 +226,42 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return out.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = likeness.WIDTH, like: tuple[int, int] = likeness.LIKE, bits: int = 2, large: int = LARGE, small: int = likeness.SMALL) -> DataFrame:
+    """(doc_id, component_id) for each row of df: the smallest doc_id that links between near copies lead to.
+
+    Near copies are texts whose sets of shingles of `width` words have a Jaccard
+    likeness of `like` or more. Those whose SimHash differs in at most `bits`
+    bits are found by the Gray-order index, and checked. Near copies may differ
+    in more bits than an index can look up (about ten at 0.8), so those that are
+    not joined yet are then found by likeness.py.
+
+    Case and white space don't count, a text of fewer than `width` words is one
+    shingle, and null texts and those without a word are alike. Ids are of any
+    type that has an order; a null id is linked to nothing and is its own (null)
+    component. Rows that share an id stay rows of their own. Texts of any length
+    are read whole. Other columns are not read. An empty table gives an empty table.
+    """
+    docs = written(likeness.prefixes(df.where(F.col(doc_id).isNotNull()), doc_id, text, width, like), "prefixes")
+    # equal sets stand for all their copies from here on
+    classes = written(docs.groupBy("code").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("fingerprint").alias("fingerprint")), "distinct-sets")
+    prints = classes.groupBy(F.col("fingerprint").alias("print")).agg(F.min("code").alias("id"))
+    prints = written(prints, "distinct-fingerprints")
+    same = classes.select(F.col("code").alias("a"), F.col("fingerprint").alias("print")).join(prints.hint("merge"), "print").where("a != id").select("a", F.col("id").alias("b"))
+    close = written(same.unionByName(near_links(prints.select(F.col("print").alias("code"), "id"), bits, large)), "close-fingerprints")
+    repeated = not docs.groupBy("id").count().where("count > 1").isEmpty()
+    links = likeness.alike_links(classes, df, doc_id, text, close, width, like, small, repeated)
+    found = components(links).select(F.col("id").alias("code"), F.col("component_id").alias("own"))
+    named = written(classes.select("code", "id").join(found.hint("merge"), "code", "left").select("code", "id", F.coalesce("own", "code").alias("own")), "named-sets")
+    first = named.groupBy("own").agg(F.min("id").alias("component_id"))
+    named = named.join(first.hint("merge"), "own").select("code", "component_id")
+    out = docs.select(F.col("id").alias("doc_id"), "code").join(named.hint("merge"), "code").select("doc_id", "component_id")
+    none = F.lit(None).cast(dict(df.dtypes)[doc_id])
+    return out.unionByName(df.where(F.col(doc_id).isNull()).select(none.alias("doc_id"), none.alias("component_id")))
+
+
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of df whose id is the smallest of its component. Rows without an id stay; of rows that share an id one stays."""
-    return first_of_components(df, near_duplicates(df, doc_id, text, **how), doc_id)
+    """The rows of df whose id is the smallest of its near copies, with df's columns. Rows without an id stay; of rows that share an id one stays."""
+    return first_of_components(df, near_copies(df, doc_id, text, **how), doc_id)
 
 
 def first_of_components(df: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
@@ -221,4 +279,5 @@ def first_of_components(df: DataFrame, found: DataFrame, doc_id: str) -> DataFra
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of all documents, by three words and two bits."""
     return near_duplicates(documents(spark, sf_dir))

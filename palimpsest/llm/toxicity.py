@@ -1,9 +1,10 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted one after the other. Each is a logistic model over the
-words that a text has and over the probabilities of the categories before it.
-For fitting, those come from models that haven't seen the row (out of fold), so
-later models learn how far earlier ones can be trusted.
+Categories are labels, predicted one after the other. Each is a logistic model
+over the words that a text has and over the probabilities of the categories
+before it. For fitting, those come from models that haven't seen the row (out of
+fold), so later models learn how far earlier ones can be trusted. Rows of equal
+words, such as copies of a text, are in one fold.
 """
 
 from __future__ import annotations
@@ -22,11 +23,8 @@ from palimpsest.llm.tables import documents, fresh, written
 SAMPLE_DOCS, WORDS, FOLDS, STEPS = 6000, 2000, 3, 100
 #: Chi-square that a word needs: none of some hundred thousand words of no meaning is expected to pass.
 CHANCE = 22.0
-#: Categories before the last one, which is the label itself: a toxic text is of those whose words it has. Fixed values.
-LEXICON = {
-    "insult": ["idiot", "moron", "clown", "loser", "fool", "stupid", "dumb", "imbecile"],
-    "contempt": ["worthless", "pathetic", "disgusting", "trash", "garbage", "scum", "filth", "vermin"],
-}
+#: Categories in the order of the chain, as expressions over the table of labels; the last one makes the decision.
+CATEGORIES = {"junk": "1 - quality", "toxic": "toxic"}
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -64,31 +62,34 @@ class Linear:
 
 
 class Chain:
-    """Models of the categories in their order; the last one's threshold makes the decision."""
+    """Models of the categories in their order; the last one's threshold makes the decision. A target may be NaN: the row then teaches that category nothing."""
 
-    def __init__(self, names: list[str], vocabulary: list[str], texts: list[set[str]], targets: np.ndarray):
+    def __init__(self, names: list[str], vocabulary: list[str], texts: list[set[str]], targets: np.ndarray, folds: np.ndarray | None = None):
         self.names, self.models, self.threshold = names, [], 0.5
-        last = targets[:, -1]
         self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
         rows, cols = self._ones(texts)
         n, width = len(texts), len(self.vocabulary)
-        fold, before = np.arange(n) % FOLDS, np.zeros((n, 0))
+        fold, before = (np.arange(n) if folds is None else folds) % FOLDS, np.zeros((n, 0))
         for c in range(len(names)):
             y, unseen = targets[:, c], np.zeros(n)
+            known = ~np.isnan(y)
             for f in range(FOLDS):
-                learn, hold = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+                learn, hold = np.flatnonzero((fold != f) & known), np.flatnonzero(fold == f)
                 if not len(learn) or not len(hold):
                     continue
                 model = Linear().fit(*self._part(rows, cols, learn, n), width, before[learn], y[learn])
                 unseen[hold] = model.probability(*self._part(rows, cols, hold, n), before[hold])
-            self.models.append(Linear().fit(rows, cols, width, before, y))
+            learn = np.flatnonzero(known)
+            self.models.append(Linear().fit(*self._part(rows, cols, learn, n), width, before[learn], y[learn]))
             before = np.c_[before, unseen]
-        if len(names) and last.any() and not last.all():
-            order = np.argsort(-before[:, -1], kind="stable")
+        last = targets[:, -1]
+        if len(names) and np.nanmax(last, initial=0) > 0 and np.nanmin(last, initial=1) < 1:
+            judged = ~np.isnan(last)
+            order = np.flatnonzero(judged)[np.argsort(-before[judged, -1], kind="stable")]
             p, hit = before[order, -1], last[order].cumsum()
-            f1 = 2 * hit / (np.arange(n) + 1 + last.sum())
+            f1 = 2 * hit / (np.arange(len(order)) + 1 + hit[-1])
             best = int(f1.argmax())
-            self.threshold = float((p[best] + p[min(best + 1, n - 1)]) / 2)
+            self.threshold = float((p[best] + p[min(best + 1, len(order) - 1)]) / 2)
             self.f1 = float(f1[best])
 
     def _ones(self, texts: Iterable[set[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,31 +113,43 @@ class Chain:
         return before
 
 
-def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", lexicon: dict[str, list[str]] | None = None, sample_docs: int = SAMPLE_DOCS) -> Chain:
-    """A chain fitted on about sample_docs labelled documents, chosen by a hash of their ids. Of rows that share an id, a positive label counts."""
-    lexicon = LEXICON if lexicon is None else lexicon
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
+def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", categories: dict[str, str] | None = None, sample_docs: int = SAMPLE_DOCS) -> Chain:
+    """A chain fitted on at most twice sample_docs labelled documents, chosen by a hash of their ids, and of the texts of an id.
+
+    `categories` are expressions of 0, 1 or null over the table of labels, the
+    decision last. Of labels that share an id the largest of each category
+    counts. Ids without a text, or a label of any category, aren't fitted on; of
+    equal rows one is. A chain of empty tables says no of everything.
+    """
+    categories = CATEGORIES if categories is None else categories
+    flags = [f"flag{i}" for i in range(len(categories))]
+    known = labels.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), *(F.expr(e).cast("double").alias(f) for e, f in zip(categories.values(), flags)))
+    known = known.groupBy("id").agg(*(F.max(f).alias(f) for f in flags)).where(F.coalesce(*flags).isNotNull())
     share = min(1.0, sample_docs / max(labels.count(), 1))
-    known = written(known.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample_docs), "labelled")
+    known = written(known.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("id"), "id").limit(2 * sample_docs), "labelled")
 
     @F.pandas_udf("array<string>")
     def words(s: pd.Series) -> pd.Series:
         return s.map(lambda t: sorted(words_of(t)))
 
     rows = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc") == F.col("id"))
-    sample = written(rows.select("id", "y", words("text").alias("words")), "labelled-words")
-    vocabulary = chosen_words(sample)
-    flags = [F.arrays_overlap("words", F.array(*map(F.lit, listed))).cast("int").alias(f"flag{i}") for i, listed in enumerate(lexicon.values())]
+    # an id may have any number of rows
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    chosen = written(rows.select("id", "h").distinct().orderBy(F.xxhash64("id", "h"), "id", "h").limit(2 * sample_docs), "chosen-rows")
+    rows = rows.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"])
+    sample = written(rows.select("id", *flags, words("text").alias("words")), "labelled-words")
+    vocabulary = chosen_words(sample, flags[-1])
     # what comes to the driver are the chosen words of at most twice sample_docs texts
-    rows = sample.select("id", "y", *flags, F.array_intersect("words", F.array(*map(F.lit, vocabulary)).cast("array<string>")).alias("words")).collect()
+    fold = F.pmod(F.xxhash64("words"), F.lit(FOLDS)).alias("fold")
+    rows = sample.select("id", *flags, fold, F.array_intersect("words", F.array(*map(F.lit, vocabulary)).cast("array<string>")).alias("words")).collect()
     rows = sorted(rows, key=lambda r: (hash_of(r["id"]), r["words"]))
-    targets = np.array([[*(r["y"] * r[f"flag{i}"] for i in range(len(flags))), r["y"]] for r in rows], float).reshape(len(rows), len(flags) + 1)
-    return Chain([*lexicon, label], vocabulary, [set(r["words"]) for r in rows], targets)
+    targets = np.array([[np.nan if r[f] is None else r[f] for f in flags] for r in rows], float).reshape(len(rows), len(flags))
+    return Chain(list(categories), vocabulary, [set(r["words"]) for r in rows], targets, np.array([r["fold"] for r in rows], np.int64))
 
 
-def chosen_words(sample: DataFrame, most: int = WORDS) -> list[str]:
-    """Words of (y, words) whose share differs most between the classes, by chi-square and beyond what chance would give; copies of a text count once."""
-    once = sample.dropDuplicates(["words"])
+def chosen_words(sample: DataFrame, label: str, most: int = WORDS) -> list[str]:
+    """Words of (label, words) whose share differs most between the classes, by chi-square and beyond what chance would give; copies of a text count once."""
+    once = sample.where(F.col(label).isNotNull()).select(F.col(label).alias("y"), "words").dropDuplicates(["words"])
     n, positive = once.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     counts = once.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("total"), F.sum("y").alias("hits"))
     expected = F.col("total") * F.lit(positive / max(n, 1))
@@ -166,7 +179,7 @@ def with_toxicity(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """df with p_<category> for each category of the chain and a boolean toxic, by the last one's threshold.
 
     A null or empty text has no words and gets what the models say of none.
-    Texts of any length are read whole, repeated rows alike. Columns of these
+    Texts of any length are read whole, repeated rows get the same. Columns of these
     names are replaced. A chain fitted on nothing says 0.5 or less of all.
     """
     name = fresh(df, "scores")
@@ -175,5 +188,6 @@ def with_toxicity(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p_junk, p_toxic and toxic of every document, by a chain fitted on the table of labels."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return with_toxicity(docs, fitted(docs, documents(spark, sf_dir, "labels"))).drop("text")

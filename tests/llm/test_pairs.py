@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import chat, hamming, likeness, simhash
+from palimpsest.llm import chat, hamming, simhash
 from palimpsest.operators.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, code string, bucket string"
@@ -164,7 +164,7 @@ def test_near_copies_are_all_found(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     want, _ = plain_likeness(texts)
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert {r["doc_id"]: r["component_id"] for r in likeness.near_copies(df).collect()} == want
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()} == want
     kept = corpus_pipeline.near_duplicates(spark, df, sf_dir)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
@@ -186,8 +186,27 @@ def test_near_copies_of_edited_texts(spark):
     want, _ = plain_likeness(dict(enumerate(texts)))
     df = spark.createDataFrame(rows_of(*texts), SCHEMA)
     for small in (2, 16):
-        assert {r["doc_id"]: r["component_id"] for r in likeness.near_copies(df, small=small).collect()} == want
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, small=small).collect()} == want
     twice = df.union(spark.createDataFrame([(0, "quite another text", "en", "s", "x", "y"), (None, texts[0], "en", "s", "x", "y")], SCHEMA))
-    kept = likeness.deduplicated(twice)
+    kept = simhash.deduplicated(twice)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(set(want.values()))
-    assert kept.where("doc_id is null").count() == 1 and likeness.deduplicated(df.limit(0)).count() == 0
+    assert kept.where("doc_id is null").count() == 1 and simhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_ids_of_other_types_and_many_equal_rows(spark):
+    df = spark.createDataFrame([(f"d{i}", "one two three four five six seven" if i < 3 else f"text of its own {i}") for i in range(6)] + [(None, "one two three four five six seven")], "doc_id string, text string")
+    for found in (simhash.near_duplicates(df), simhash.near_copies(df)):
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {"d0": "d0", "d1": "d0", "d2": "d0", "d3": "d3", "d4": "d4", "d5": "d5", None: None}
+    same = spark.range(50_000).select("id", F.lit("the same words in each and every row").alias("text"))
+    assert simhash.near_duplicates(same, "id").where("component_id = 0").count() == 50_000
+    assert simhash.deduplicated(same, "id").count() == 1
+
+
+def test_streamed_buckets_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    rng = random.Random(3)
+    codes = {i: rng.getrandbits(64) for i in range(60)}
+    codes |= {100 + i: codes[i] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for i in range(60)}
+    df = spark.createDataFrame([(simhash.signed(c), i) for i, c in codes.items()], "code long, id long")
+    found = {r["id"]: r["component_id"] for r in components(simhash.near_links(df, 2)).collect()}
+    assert {i: found.get(i, i) for i in codes} == plain_components(codes)
