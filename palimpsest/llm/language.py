@@ -15,7 +15,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tables import documents, fresh, written
+from palimpsest.llm.tables import documents, fresh, resident, written
 
 #: Documents of a language that its dictionary is made from at most, and bytes of a dictionary.
 SAMPLE_DOCS, DICTIONARY = 200, 1 << 16
@@ -31,7 +31,6 @@ MARGIN = 0.002
 _letter = regex.compile(r"\p{L}")
 #: ASCII letters and all other bytes of UTF-8 stay, the rest of ASCII becomes a space.
 _words = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_workers: dict = {}
 
 
 def plain(text: str) -> bytes:
@@ -102,16 +101,11 @@ class Compressors:
 def predicted(text: Column, found: dict[str, bytes]) -> Column:
     """Struct (lang string, margin double) for each text."""
 
-    def workers() -> Compressors:
-        key = hash(tuple(sorted(found.items())))
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = Compressors(found)
-        return _workers[key]
+    key = ("languages", hash(tuple(sorted(found.items()))))
 
     @F.pandas_udf("lang string, margin double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        each = workers()
+        each = resident(key, lambda: Compressors(found))
         for s in batches:
             yield pd.DataFrame([each.predict(t) for t in s], columns=["lang", "margin"])
 

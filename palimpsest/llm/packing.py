@@ -25,22 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.pretokens import SURE
-from palimpsest.llm.tables import documents, written
+from palimpsest.llm.tables import documents, resident, written
 
 #: Tokens of a sequence.
 ROOM = 4096
 #: Pieces that a group has on average.
 GROUP = 2048
 #: Entries of a worker's cache of words; it is emptied when full (it may pass this by the new words of STEP).
-CACHE = 500_000
+CACHE = 250_000
 #: Characters of a word beyond which it isn't kept.
 LONG = 64
 #: Words of a text that are encoded at a time.
 STEP = 100_000
 
-_workers: dict = {}
-
-
 #: Characters that stand for bytes in the vocabulary: printable Latin-1 for itself, others from U+0100 on.
 _own = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _byte_chars = {b: chr(b) if b in _own else chr(256 + n) for n, b in enumerate([*(b for b in range(256) if b not in _own), *_own])}
@@ -123,9 +120,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int
     end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _workers:
-            _workers[vocabulary] = Words(vocabulary)
-        words = _workers[vocabulary]
+        words = resident(("words", vocabulary), lambda: Words(vocabulary))
         for b in batches:
             docs, starts, lengths, crcs, totals, kept = [], [], [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tables import documents
+from palimpsest.llm.tables import documents, resident
 
 #: Documents that the frequent table is made from (its content changes the speed, never a count).
 SAMPLE_DOCS = 2000
@@ -34,9 +34,6 @@ LONG = 256
 #: Characters whose classes may differ between releases of Unicode: texts with one outside go to the library whole.
 SURE = regex.compile(r"[\x00-\x1b\x20-\x7e\xa0-ɏͰ-ͳ΄-ϿЀ-ԯ‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]*")
 
-_workers: dict = {}
-
-
 class Lengths:
     """Tokens of texts, by a worker's tiers."""
 
@@ -143,11 +140,9 @@ def token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", vocab
 
     @F.pandas_udf("long")
     def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = Lengths(vocabulary, table.value)
+        tiers = resident(key, lambda: Lengths(vocabulary, table.value))
         for s in batches:
-            yield pd.Series(_workers[key].count(["" if t is None else t for t in s]), dtype="int64")
+            yield pd.Series(tiers.count(["" if t is None else t for t in s]), dtype="int64")
 
     return df.withColumn(out, lengths(F.col(text)))
 

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.operators.lineage import fresh, shared_dir, written
 
-__all__ = ["documents", "fresh", "shared_dir", "written"]
+__all__ = ["documents", "fresh", "resident", "shared_dir", "written"]
+
+_resident: dict = {}
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def resident(key: Hashable, make: Callable):
+    """What make() gives, kept in a Python worker under its key until another is asked for: models of several operators never lie in memory together."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
