@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.expressions import cosine
 from palimpsest.operators.components import components
+from palimpsest.operators.lineage import written
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
@@ -30,81 +31,162 @@ def chains(versions: DataFrame) -> DataFrame:
 
 
 def collapsed(hits: DataFrame, versions: DataFrame, chain: DataFrame) -> DataFrame:
-    """Hits (query_id, node, score) on one chain become its head, with the best score and all hit versions, newest first."""
-    heads = chain.join(versions.where("superseded_by is null").select("node"), "node").groupBy("chain").agg(F.max("node").alias("head"))
-    rows = hits.join(chain, "node").join(versions.select("node", "at"), "node")
-    grouped = rows.groupBy("query_id", "chain").agg(F.max("score").alias("score"), F.reverse(F.array_sort(F.collect_list(F.struct("at", "node")))).alias("members"))
-    return grouped.join(heads, "chain").select("query_id", "head", "score", F.transform("members", lambda m: m["node"]).alias("members"))
+    """Hits (query_id, node, score, rank) on one chain become its head, with the best score and all hit versions, newest first.
+
+    `position` orders the chains of a query by their first hit. The head is what
+    no version of the chain says to supersede; of several the last by time.
+    """
+    rows = written(hits.join(chain.hint("merge"), "node").join(versions.select("node", "at").hint("merge"), "node"), "chain-hits")
+    replaced = versions.where("supersedes is not null").select(F.col("supersedes").alias("node")).distinct()
+    heads = chain.join(rows.select("chain").distinct().hint("merge"), "chain", "left_semi").join(replaced.hint("merge"), "node", "left_anti").join(versions.select("node", "at").hint("merge"), "node")
+    heads = heads.groupBy("chain").agg(F.max(F.struct("at", "node"))["node"].alias("head"))
+    grouped = rows.groupBy("query_id", "chain").agg(F.max("score").alias("score"), F.min("rank").alias("first"), F.reverse(F.array_sort(F.collect_list(F.struct("at", "node")))).alias("members"))
+    order = Window.partitionBy("query_id").orderBy("first")
+    return grouped.join(heads.hint("merge"), "chain").select("query_id", "head", "score", F.row_number().over(order).alias("position"), F.transform("members", lambda m: m["node"]).alias("members"))
 
 
-def chain_audit(versions: DataFrame) -> DataFrame:
-    """One row of counts: links, missing back links, links to nothing, closed rows without successor, chains with two heads."""
+def chain_audit(versions: DataFrame, chain: DataFrame) -> DataFrame:
+    """One row of counts: links, missing back links, links to nothing, closed rows without successor, and chains (node, chain) with two heads or more."""
     old = versions.select(F.col("node").alias("old"), F.col("superseded_by").alias("back"))
     rows = versions.join(old.hint("merge"), F.col("supersedes") == F.col("old"), "left")
     linked = F.col("supersedes").isNotNull()
-    return rows.agg(
+    counts = rows.agg(
         F.count_if(linked).alias("links"),
         F.count_if(linked & F.col("old").isNotNull() & (F.coalesce(F.col("back"), F.lit(-1)) != F.col("node"))).alias("no_back_link"),
         F.count_if(linked & F.col("old").isNull()).alias("dangling"),
         F.count_if(F.col("valid_until").isNotNull() & F.col("superseded_by").isNull()).alias("closed_without_successor"),
     )
+    # a head is what no other version says to supersede
+    replaced = versions.where(linked).select(F.col("supersedes").alias("node")).distinct()
+    heads = versions.select("node").join(replaced.hint("merge"), "node", "left_anti").join(chain.hint("merge"), "node").groupBy("chain").count()
+    return counts.withColumn("two_heads", F.lit(heads.where(F.col("count") > 1).count()))
 
 
-def apply_operations(memory: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The next version of the memory table, and the operations that could not be applied, with a reason.
-
-    memory(node_id, content, evidence array, valid_from, valid_until, is_latest, supersedes, superseded_by);
-    operations(seq, op, new_id, target_id, content, evidence array, at). ADD makes
-    a row; UPDATE changes its target in place: the last content wins, evidence
-    is merged in order, valid_from only moves back; SUPERSEDE makes a new row
-    and closes the target, unless it was closed before. Operations on a missing
-    target are rejected; of several SUPERSEDEs of one target the first counts.
-    All results together are the next table, so an operation is applied whole
-    or not at all, and replaying the batch on the old table gives the same.
+MEMORY_COLUMNS = ["node_id", "content", "evidence", "valid_from", "valid_until", "is_latest", "supersedes", "superseded_by"]
+
+
+def judged_operations(memory: DataFrame, operations: DataFrame) -> DataFrame:
+    """The operations with `root`, the first version of the chain that they belong to, and `reason`, null where they hold.
+
+    An operation holds if its target is there and open when its turn comes: it is
+    stored, or an operation before it that holds has made it, and none has
+    superseded it in between. What depends on the target's own making is
+    followed up by doubling, so a chain of n operations takes log n joins.
     """
-    targets = memory.select(F.col("node_id").alias("target"), F.col("evidence").alias("old_evidence"))
-    ops = operations.join(targets, F.col("target_id") == F.col("target"), "left")
-    first = F.row_number().over(Window.partitionBy("op", F.coalesce("target_id", "new_id")).orderBy("seq"))
-    reason = F.when(F.col("op").isin("UPDATE", "SUPERSEDE") & F.col("target").isNull(), "target is missing").when((F.col("op") == "SUPERSEDE") & (first > 1), "target is superseded already").when(~F.col("op").isin("ADD", "UPDATE", "SUPERSEDE"), "unknown operation")
+    kinds = F.col("op").isin("UPDATE", "SUPERSEDE")
+    stored = memory.select(F.col("node_id").alias("stored"), F.col("superseded_by").isNotNull().alias("shut"))
+    makers = operations.where("op in ('ADD', 'SUPERSEDE')").groupBy(F.col("new_id").alias("made")).agg(F.min("seq").alias("maker"))
+    ops = operations.join(stored.hint("merge"), F.col("target_id") == F.col("stored"), "left").join(makers.hint("merge"), F.col("target_id") == F.col("made"), "left")
+    reason = F.when(~F.col("op").isin("ADD", "UPDATE", "SUPERSEDE"), "unknown operation").when(kinds & F.col("stored").isNull() & (F.col("made").isNull() | (F.col("maker") >= F.col("seq"))), "target is missing").when(kinds & F.col("shut"), "target is superseded already")
     ops = ops.withColumn("reason", reason)
+    closing = F.min(F.when((F.col("op") == "SUPERSEDE") & F.col("reason").isNull(), F.col("seq"))).over(Window.partitionBy("target_id"))
+    late = kinds & F.col("reason").isNull() & (F.col("seq") > closing)
+    ops = ops.withColumn("reason", F.when(late, "target is superseded already").otherwise(F.col("reason")))
+    up = F.when(kinds & F.col("stored").isNull() & (F.col("maker") < F.col("seq")), F.col("maker"))
+    root = F.when(F.col("op") == "ADD", F.col("new_id")).when(F.col("stored").isNotNull(), F.col("stored"))
+    ops = written(ops.withColumn("up", up).withColumn("root", F.when(up.isNull(), root)).drop("stored", "shut", "made", "maker"), "operations")
+    while not ops.where("up is not null").isEmpty():
+        above = ops.select(F.col("seq").alias("above"), F.col("up").alias("next"), F.col("root").alias("next_root"), F.col("reason").isNull().alias("holds"))
+        both = ops.join(above.hint("merge"), F.col("up") == F.col("above"), "left")
+        fails = F.col("up").isNotNull() & ~F.col("holds")
+        both = both.withColumn("reason", F.when(fails, "target is missing").otherwise(F.col("reason"))).withColumn("root", F.coalesce("root", "next_root"))
+        ops = written(both.withColumn("up", F.when(~fails, F.col("next"))).drop("above", "next", "next_root", "holds"), "operations")
+    return ops.drop("up")
+
+
+def changed_rows(memory: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of memory that operations change and those that they make, and the operations that don't hold (seq, op, target_id, reason). See apply_operations."""
+    extra = [c for c in memory.columns if c not in MEMORY_COLUMNS]
+    ops = judged_operations(memory, operations)
     good = ops.where("reason is null")
-
-    updates = good.where("op = 'UPDATE'").groupBy("target_id").agg(F.max_by("content", F.when(F.col("content").isNotNull(), F.col("seq"))).alias("u_content"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"]))).alias("u_evidence"), F.min("at").alias("u_at"))
-    closing = good.where("op = 'SUPERSEDE'").select("target_id", F.col("new_id").alias("c_id"), F.col("at").alias("c_at"))
-    kept = memory.join(updates.withColumnRenamed("target_id", "u_id"), F.col("node_id") == F.col("u_id"), "left").join(closing.withColumnRenamed("target_id", "c_target"), F.col("node_id") == F.col("c_target"), "left")
+    updates = good.where("op = 'UPDATE'").groupBy(F.col("target_id").alias("u_id")).agg(F.max_by("content", F.when(F.col("content").isNotNull(), F.col("seq"))).alias("u_content"), F.min("at").alias("u_at"))
+    closing = good.where("op = 'SUPERSEDE'").select(F.col("target_id").alias("c_target"), F.col("new_id").alias("c_id"), F.col("at").alias("c_at"), F.col("seq").alias("c_seq"))
+    touched = good.where("op != 'ADD'").select(F.col("target_id").alias("node_id")).distinct()
+    old = memory.join(touched.hint("merge"), "node_id", "left_semi").withColumn("root", F.col("node_id"))
+    kinds = dict(memory.dtypes)
+    made = good.where("op in ('ADD', 'SUPERSEDE')").select(
+        F.col("new_id").alias("node_id"),
+        "content",
+        F.lit(None).cast(kinds["evidence"]).alias("evidence"),
+        F.col("at").alias("valid_from"),
+        F.lit(None).cast("timestamp").alias("valid_until"),
+        F.lit(True).alias("is_latest"),
+        F.when(F.col("op") == "SUPERSEDE", F.col("target_id")).alias("supersedes"),
+        F.lit(None).cast("string").alias("superseded_by"),
+        *(F.col(c) if c in operations.columns else F.lit(None).cast(kinds[c]).alias(c) for c in extra),
+        "root",
+    )
+    nodes = old.unionByName(made).join(updates.hint("merge"), F.col("node_id") == F.col("u_id"), "left").join(closing.hint("merge"), F.col("node_id") == F.col("c_target"), "left")
+    nodes = written(nodes, "changed-nodes")
+
+    # each piece of evidence once in a chain, where it comes first; a version has what came before it was closed
+    said = good.where(F.col("root").isNotNull()).select("root", "seq", F.posexplode("evidence").alias("place", "item"))
+    had = old.select("root", F.lit(-(1 << 62)).alias("seq"), F.posexplode("evidence").alias("place", "item"))
+    first = written(had.unionByName(said).groupBy("root", "item").agg(F.min(F.struct("seq", "place")).alias("first")), "evidence")
+    owned = nodes.select("node_id", "root", "c_seq").join(first.hint("merge"), "root").where(F.col("c_seq").isNull() | (F.col("first.seq") < F.col("c_seq")))
+    lists = owned.groupBy(F.col("node_id").alias("of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "item"))), lambda x: x["item"]).alias("chain_evidence"))
+    rows = nodes.join(lists.hint("merge"), F.col("node_id") == F.col("of"), "left")
     closed = F.col("c_id").isNotNull()
-    kept = kept.select(
+    rows = rows.select(
         "node_id",
         F.coalesce("u_content", "content").alias("content"),
-        F.when(F.col("u_id").isNotNull(), F.array_distinct(F.concat("evidence", "u_evidence"))).otherwise(F.col("evidence")).alias("evidence"),
+        F.coalesce("chain_evidence", F.array().cast(kinds["evidence"])).alias("evidence"),
         F.least("valid_from", "u_at").alias("valid_from"),
         F.when(closed & (F.col("valid_until").isNull() | (F.col("valid_until") > F.col("c_at"))), F.col("c_at")).otherwise(F.col("valid_until")).alias("valid_until"),
         (F.col("is_latest") & ~closed).alias("is_latest"),
         "supersedes",
         F.coalesce("c_id", "superseded_by").alias("superseded_by"),
+        *extra,
     )
-    added = good.where("op in ('ADD', 'SUPERSEDE')").select(
-        F.col("new_id").alias("node_id"),
-        "content",
-        F.array_distinct(F.concat(F.coalesce("old_evidence", F.array().cast("array<string>")), F.coalesce("evidence", F.array().cast("array<string>")))).alias("evidence"),
-        F.col("at").alias("valid_from"),
-        F.lit(None).cast("timestamp").alias("valid_until"),
-        F.lit(True).alias("is_latest"),
-        F.when(F.col("op") == "SUPERSEDE", F.col("target_id")).alias("supersedes"),
-        F.lit(None).cast("string").alias("superseded_by"),
-    )
-    return kept.unionByName(added), ops.where("reason is not null").select("seq", "op", "target_id", "reason")
+    return rows.select(memory.columns), ops.where("reason is not null").select("seq", "op", "target_id", "reason")
+
+
+def apply_operations(memory: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The next version of the memory table, and the operations that don't hold, with a reason.
+
+    memory(node_id, content, evidence array, valid_from, valid_until, is_latest,
+    supersedes, superseded_by, and any others); operations(seq, op, new_id,
+    target_id, content, evidence array, at, and any others). Operations count
+    one after another by seq; new_ids and seqs are unique. ADD makes a row;
+    UPDATE changes its target in place: the last content wins, evidence is
+    merged in order, valid_from only moves back, other columns stay; SUPERSEDE
+    makes a row with the target's evidence and its own, and closes the target at
+    its time, unless that was closed before. A new row has the other columns of
+    its operation, null where that has none. A target may be a row that the same
+    operations made earlier. Operations on a row that isn't there yet, or was
+    superseded, are rejected.
+
+    So operations cut anywhere into batches, applied one after another, lead to
+    the same table and the same rejections. Nulls: an operation without a seq or
+    with a target_id of null (but for ADD) is rejected as missing its target.
+    """
+    changed, rejected = changed_rows(memory, operations)
+    changed = written(changed, "changed-rows")
+    return memory.join(changed.select("node_id").hint("merge"), "node_id", "left_anti").select(memory.columns).unionByName(changed), rejected
 
 
 def delete_repair(versions: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Chains without the deleted nodes: neighbours on either side of a deleted run are linked, and a deleted head makes its predecessor the latest.
+    """versions(node, supersedes, superseded_by, ...) without the deleted nodes, with the ends of each deleted run linked to one another.
 
-    Chains are ordered (owner, at, node), so what is left is simply relinked in
-    that order; runs of any length close in one pass.
+    Links are followed over deleted nodes by doubling: a run of n nodes takes
+    log n joins. A row whose successors are all deleted becomes a head again
+    (superseded_by null). Rows without links stay without, and links to nodes
+    that aren't there stay as they are.
     """
-    left = versions.join(deleted.select("node"), "node", "left_anti")
-    by = Window.partitionBy("owner").orderBy("at", "node")
-    return left.select("node", "owner", "at", F.lag("node").over(by).alias("supersedes"), F.lead("node").over(by).alias("superseded_by"))
+    gone = deleted.select("node").distinct().withColumn("gone", F.lit(True))
+    rows = written(versions.join(gone.hint("merge"), "node", "left"), "versions")
+    left = rows.where("gone is null").drop("gone")
+    for link in ("supersedes", "superseded_by"):
+        # where each deleted node leads to, over other deleted ones
+        over = written(rows.where("gone").select("node", F.col(link).alias("to")), "deleted-links")
+        while True:
+            step = over.join(over.select(F.col("node").alias("to"), F.col("to").alias("further"), F.lit(True).alias("more")).hint("merge"), "to", "left")
+            if step.where("more").isEmpty():
+                break
+            over = written(step.select("node", F.when(F.col("more"), F.col("further")).otherwise(F.col("to")).alias("to")), "deleted-links")
+        over = over.select(F.col("node").alias("old"), F.col("to").alias("new"), F.lit(True).alias("passed"))
+        left = left.join(over.hint("merge"), F.col(link) == F.col("old"), "left").withColumn(link, F.when(F.col("passed"), F.col("new")).otherwise(F.col(link))).drop("old", "new", "passed")
+    return left.select(*versions.columns)
 
 
 def similar_pairs(rows: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:

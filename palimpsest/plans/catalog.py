@@ -11,6 +11,7 @@ from palimpsest.operators import graph as G
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import versions as V
 from palimpsest.operators.components import components
+from palimpsest.operators.lineage import written
 from palimpsest.plans.registry import QUERIES, SQL, query  # noqa: F401
 from palimpsest.sources import inputs as I
 from palimpsest.streaming import jobs as S
@@ -645,22 +646,37 @@ def ver_chains(s, d):
     return V.chains(I.versions(s, d))
 
 
-@query("ver_collapse", f"WITH {I.VERSIONS}, hits AS (SELECT node % 5 AS query_id, node, (node % 97) / 97.0 AS score FROM ver WHERE node % 3 = 0), heads AS (SELECT owner, node AS head FROM ver WHERE superseded_by IS NULL) SELECT query_id, head, round(max(score), 6) AS score, array_to_string(list(node ORDER BY at_ DESC, node DESC), ',') AS members FROM hits JOIN ver USING (node) JOIN heads USING (owner) GROUP BY 1, 2")
+@query("ver_collapse", f"WITH {I.VERSIONS}, hits AS (SELECT node % 5 AS query_id, node, (node % 97) / 97.0 AS score FROM ver WHERE node % 9 <> 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM hits), heads AS (SELECT owner, node AS head FROM ver WHERE superseded_by IS NULL), g AS (SELECT query_id, head, max(score) AS score, min(rank) AS first, array_to_string(list(node ORDER BY at_ DESC, node DESC), ',') AS members FROM ranked JOIN ver USING (node) JOIN heads USING (owner) GROUP BY 1, 2) SELECT query_id, head, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY first) AS position, members FROM g")
 def ver_collapse(s, d):
-    ver = I.versions(s, d)
-    hits = ver.where("node % 3 = 0").select((F.col("node") % 5).alias("query_id"), "node", ((F.col("node") % 97) / 97.0).alias("score"))
-    return V.collapsed(hits, ver, V.chains(ver)).select("query_id", "head", F.round("score", 6).alias("score"), F.array_join("members", ",").alias("members"))
+    """Hits on versions that are no raw turns."""
+    ver = written(I.versions(s, d), "versions")
+    hits = ver.where("node % 9 <> 0").select((F.col("node") % 5).alias("query_id"), "node", ((F.col("node") % 97) / 97.0).alias("score"))
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node")))
+    return V.collapsed(hits, ver, V.chains(ver)).select("query_id", "head", F.round("score", 6).alias("score"), "position", F.array_join("members", ",").alias("members"))
 
 
-@query("ver_delete_repair", "SELECT o_orderkey AS node, lag(o_orderkey) OVER w AS supersedes, lead(o_orderkey) OVER w AS superseded_by FROM orders WHERE o_orderkey % 4 <> 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+@query("ver_delete_repair", "SELECT o_orderkey AS node, lag(o_orderkey) OVER w AS supersedes, lead(o_orderkey) OVER w AS superseded_by FROM orders WHERE o_orderkey % 4 <> 0 WINDOW w AS (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderdate, o_orderkey)")
 def ver_delete_repair(s, d):
-    ver = I.versions(s, d)
-    return V.delete_repair(ver, ver.where("node % 4 = 0")).select("node", "supersedes", "superseded_by")
+    """Three chains of each customer."""
+    by = Window.partitionBy("o_custkey", F.col("o_orderkey") % 3).orderBy("o_orderdate", "o_orderkey")
+    ver = I.table(s, d, "orders").select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(by).alias("supersedes"), F.lead("o_orderkey").over(by).alias("superseded_by"))
+    return V.delete_repair(ver, ver.where("node % 4 = 0"))
+
+
+BROKEN = f"""{I.VERSIONS}, broken AS (
+  SELECT node, owner, valid_until, CASE WHEN node % 11 = 0 AND supersedes IS NOT NULL THEN -node ELSE supersedes END AS supersedes, CASE WHEN node % 7 <> 0 THEN superseded_by END AS superseded_by FROM ver
+  UNION ALL SELECT node + 100000000, owner, NULL, node, NULL FROM ver WHERE node % 13 = 0)"""
 
 
-@query("ver_audit", f"WITH {I.VERSIONS} SELECT count(supersedes) AS links, 0 AS no_back_link, 0 AS dangling, 0 AS closed_without_successor FROM ver")
+@query("ver_audit", f"WITH RECURSIVE {BROKEN}, u AS (SELECT a.node AS x, a.supersedes AS y FROM broken a WHERE a.supersedes IS NOT NULL), both_ AS (SELECT x, y FROM u UNION SELECT y, x FROM u), steps(n, m) AS (SELECT x, x FROM both_ UNION SELECT steps.n, both_.y FROM steps JOIN both_ ON both_.x = steps.m), chain AS (SELECT n AS node, min(m) AS chain FROM steps GROUP BY 1), heads AS (SELECT chain, count(*) AS k FROM broken JOIN chain USING (node) WHERE node NOT IN (SELECT supersedes FROM broken WHERE supersedes IS NOT NULL) GROUP BY 1) SELECT count(a.supersedes) AS links, count_if(a.supersedes IS NOT NULL AND b.node IS NOT NULL AND b.superseded_by IS DISTINCT FROM a.node) AS no_back_link, count_if(a.supersedes IS NOT NULL AND b.node IS NULL) AS dangling, count_if(a.valid_until IS NOT NULL AND a.superseded_by IS NULL) AS closed_without_successor, (SELECT count(*) FROM heads WHERE k > 1) AS two_heads FROM broken a LEFT JOIN broken b ON b.node = a.supersedes")
 def ver_audit(s, d):
-    return V.chain_audit(I.versions(s, d))
+    """Versions of which some point at nothing, some have lost their back link, and some were superseded twice."""
+    ver = I.versions(s, d)
+    node = F.col("node")
+    broken = ver.select("node", "owner", "valid_until", F.when((node % 11 == 0) & F.col("supersedes").isNotNull(), -node).otherwise(F.col("supersedes")).alias("supersedes"), F.when(node % 7 != 0, F.col("superseded_by")).alias("superseded_by"))
+    forks = ver.where("node % 13 = 0").select((node + 100_000_000).alias("node"), "owner", F.lit(None).cast("timestamp").alias("valid_until"), node.alias("supersedes"), F.lit(None).cast("long").alias("superseded_by"))
+    broken = written(broken.withColumn("valid_until", F.col("valid_until").cast("timestamp")).unionByName(forks), "versions")
+    return V.chain_audit(broken, V.chains(broken))
 
 
 @query("ver_expire_intent", f"WITH {I.MEMORY} SELECT node_id, CASE WHEN layer = 'l7_intention' AND valid_until < TIMESTAMP '2024-01-10' THEN 'l2_fact' ELSE layer END AS layer FROM mem")
@@ -673,7 +689,22 @@ def stored(s, d):
     return I.memory(s, d).select("node_id", "content", F.array("session_id").alias("evidence"), F.col("gmt_created").alias("valid_from"), "valid_until", "is_latest", F.lit(None).cast("string").alias("supersedes"), F.lit(None).cast("string").alias("superseded_by"))
 
 
-@query("ver_apply_ops")
+APPLIED = f"""{I.MEMORY}, {I.OPERATIONS},
+o AS (SELECT ops.*, user_id IS NULL AS x, 'n' || id AS new_id FROM ops WHERE op IN ('ADD', 'UPDATE', 'SUPERSEDE')),
+t AS (SELECT o.id AS seq, o.op, o.memory_id AS target, 'n' || o.id AS new_id, 'text ' || o.id AS content, o.request_id AS item, o.created_at AS at_ FROM o JOIN mem ON mem.node_id = o.memory_id WHERE o.op <> 'ADD'),
+shut AS (SELECT target, min(seq) AS c_seq, arg_min(new_id, seq) AS c_id, arg_min(at_, seq) AS c_at FROM t WHERE op = 'SUPERSEDE' GROUP BY 1),
+good AS (SELECT t.* FROM t LEFT JOIN shut USING (target) WHERE c_seq IS NULL OR seq <= c_seq),
+said AS (SELECT target, item, min(seq) AS seq FROM (SELECT node_id AS target, session_id AS item, -1 AS seq FROM mem UNION ALL SELECT target, item, seq FROM good) GROUP BY 1, 2),
+ups AS (SELECT target, arg_max(content, seq) AS u_content, min(at_) AS u_at FROM good WHERE op = 'UPDATE' GROUP BY 1),
+old_ AS (SELECT target, string_agg(item, ',' ORDER BY seq) AS evidence FROM said LEFT JOIN shut USING (target) WHERE c_seq IS NULL OR seq < c_seq GROUP BY 1),
+whole AS (SELECT target, string_agg(item, ',' ORDER BY seq) AS evidence FROM said GROUP BY 1)
+SELECT node_id, coalesce(u_content, content) AS content, evidence, least(gmt_created, u_at) AS valid_from, CASE WHEN c_id IS NOT NULL AND (valid_until IS NULL OR valid_until > c_at) THEN c_at ELSE valid_until END AS valid_until, is_latest AND c_id IS NULL AS is_latest, NULL::VARCHAR AS supersedes, c_id AS superseded_by
+FROM mem JOIN old_ ON old_.target = node_id LEFT JOIN ups ON ups.target = node_id LEFT JOIN shut ON shut.target = node_id
+UNION ALL SELECT new_id, content, whole.evidence, at_, NULL, true, target, NULL FROM good JOIN whole USING (target) WHERE op = 'SUPERSEDE'
+UNION ALL SELECT 'n' || id, 'text ' || id, request_id, created_at, NULL, true, NULL, NULL FROM o WHERE op = 'ADD'"""
+
+
+@query("ver_apply_ops", f"WITH {APPLIED}")
 def ver_apply_ops(s, d):
     """Documents as memory; events as operations on them, in the order of their ids."""
     memory = stored(s, d)
@@ -736,7 +767,7 @@ def st_expire(s, d):
     return S.drained(S.expired(rows, windows, "2024-01-10", 9000), "expired").select("event_id", "layer", "gone")
 
 
-@query("st_ops_apply")
+@query("st_ops_apply", f"WITH {APPLIED}")
 def st_ops_apply(s, d):
     """The operations of ver_apply_ops as a stream of events."""
     op = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in I.OPS.items()))

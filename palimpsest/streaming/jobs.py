@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from palimpsest.operators.lineage import shared_dir
-from palimpsest.operators.versions import apply_operations
+from palimpsest.operators.lineage import shared_dir, written
+from palimpsest.operators.versions import changed_rows
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,26 +87,46 @@ def expired(stream: DataFrame, windows: DataFrame, now: str, minutes: int) -> Da
     return rows.withColumn("gone", gone).withColumn("layer", F.when(over, "l2_fact").otherwise(F.col("layer"))).drop("minutes")
 
 
-def applied(stream: DataFrame, memory: DataFrame, name: str, place: str | None = None) -> DataFrame:
+def applied(stream: DataFrame, memory: DataFrame, name: str, place: str | None = None, buckets: int = 64) -> DataFrame:
     """The memory table after all operations of the stream, applied batch by batch.
 
-    Batch b reads version b of the table and writes version b + 1 over whatever
-    an interrupted run left there, so a batch that is replayed counts once. A
-    job that goes on in a later run names the same place.
+    Rows lie in buckets by their node_id. A batch reads the buckets that its
+    targets are in and writes the rows that it changes or makes, as its own part
+    of a log; the last part that has a row counts. A batch that is replayed
+    overwrites its part. A job that goes on in a later run names the same place.
+    compacted() makes one part of the log.
     """
     spark = memory.sparkSession
     place = place or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    at = lambda version: f"{place}/table/version={version}"
-    memory.write.mode("ignore").parquet(at(0))
+    bucket = lambda node: F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
+    memory.withColumn("bucket", bucket("node_id")).write.mode("ignore").partitionBy("bucket").parquet(f"{place}/table/batch=-1")
 
     def put(batch: DataFrame, number: int) -> None:
-        new, rejected = apply_operations(spark.read.schema(memory.schema).parquet(at(number)), batch)
-        new.select(memory.columns).write.mode("overwrite").parquet(at(number + 1))
-        rejected.write.mode("overwrite").parquet(f"{place}/rejected/{number + 1}")
+        batch = written(batch, "batch")
+        # a number for each bucket at most
+        near = [r[0] for r in batch.where("target_id is not null").select(bucket("target_id")).distinct().collect()]
+        before = newest(spark, place, memory, number).where(F.col("bucket").isin(near)).join(batch.select(F.col("target_id").alias("node_id")).distinct().hint("merge"), "node_id", "left_semi")
+        changed, rejected = changed_rows(written(before.select(memory.columns), "targets"), batch)
+        changed.withColumn("bucket", bucket("node_id")).write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/table/batch={number}")
+        rejected.write.mode("overwrite").parquet(f"{place}/rejected/batch={number}")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{place}/table").agg(F.max("version")).first()[0]
-    return spark.read.schema(memory.schema).parquet(at(last))
+    return newest(spark, place, memory).select(memory.columns)
+
+
+def newest(spark: SparkSession, place: str, memory: DataFrame, before: int | None = None) -> DataFrame:
+    """The rows of the log in `place`, each in its last version, of batches before a number; with their bucket."""
+    rows = spark.read.schema(StructType([*memory.schema.fields]).add("bucket", "integer").add("batch", "long")).parquet(f"{place}/table")
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    last = F.row_number().over(Window.partitionBy("bucket", "node_id").orderBy(F.col("batch").desc()))
+    return rows.withColumn("nth", last).where("nth = 1").drop("nth", "batch")
+
+
+def compacted(spark: SparkSession, place: str, memory: DataFrame) -> str:
+    """A new place with the newest rows as the only part of its log, from which a job may go on."""
+    new = f"{place}-{uuid.uuid4().hex}"
+    newest(spark, place, memory).write.partitionBy("bucket").parquet(f"{new}/table/batch=-1")
+    return new
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every query against its SQL, and the rules that the reference's own tests hold."""
 
 import datetime
+import random
 
 import oracle
 import pytest
@@ -10,6 +11,7 @@ import __spark_entry__
 from palimpsest.functions import expressions as X
 from palimpsest.operators import versions as V
 from palimpsest.plans import catalog
+from palimpsest.streaming import jobs as S
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +61,82 @@ def test_updates_merge_evidence_in_order(spark):
     assert (rows["y"]["content"], rows["y"]["evidence"], rows["y"]["supersedes"]) == ("new", [], None)
 
 
+def plain_apply(memory, ops):
+    """Operations one after another."""
+    rows, rejected = {r[0]: list(r) for r in memory}, []
+    for seq, op, new, target, content, evidence, at in sorted(ops):
+        row = rows.get(target)
+        if op not in ("ADD", "UPDATE", "SUPERSEDE"):
+            rejected.append((seq, "unknown operation"))
+        elif op == "ADD":
+            rows[new] = [new, content, list(dict.fromkeys(evidence or [])), at, None, True, None, None]
+        elif row is None:
+            rejected.append((seq, "target is missing"))
+        elif row[7] is not None:
+            rejected.append((seq, "target is superseded already"))
+        elif op == "UPDATE":
+            row[1] = row[1] if content is None else content
+            row[2] = list(dict.fromkeys(row[2] + (evidence or [])))
+            row[3] = min(row[3], at)
+        else:
+            rows[new] = [new, content, list(dict.fromkeys(row[2] + (evidence or []))), at, None, True, target, None]
+            row[4] = at if row[4] is None or row[4] > at else row[4]
+            row[5], row[7] = False, new
+    return sorted(map(repr, rows.values())), sorted(rejected)
+
+
+def random_operations(seed, n):
+    rng, ids, ops = random.Random(seed), [f"m{i}" for i in range(8)], []
+    memory = [(i, f"text {i}", [f"D{k}" for k in range(k % 3)], day(1, 1 + k), day(6, 1) if k % 4 == 0 else None, True, None, None) for k, i in enumerate(ids)]
+    for seq in range(n):
+        op = rng.choice(["ADD", "UPDATE", "UPDATE", "SUPERSEDE", "SUPERSEDE", "MERGE"])
+        new, target = f"n{seq}", None if op == "ADD" else rng.choice([*ids, *(f"n{k}" for k in range(n)), *(f"n{seq - k}" for k in (1, 2, 3, 4)), "gone"])
+        ops.append((seq, op, new, target, rng.choice([None, f"text {seq}"]), rng.choice([None, [], [f"D{rng.randrange(9)}", f"E{seq}"]]), day(1 + rng.randrange(11), 1 + rng.randrange(28))))
+    return memory, ops
+
+
+def test_operations_count_one_after_another_in_any_batches(spark):
+    for seed in range(2):
+        memory, ops = random_operations(seed, 60)
+        want = plain_apply(memory, ops)
+        for cuts in ([0, 60], [0, 13, 14, 41, 60]):
+            table, rejects = spark.createDataFrame(memory, MEMORY), []
+            for i, j in zip(cuts, cuts[1:]):
+                table, rejected = V.apply_operations(table, spark.createDataFrame(ops[i:j], OPS))
+                rejects += [(r["seq"], r["reason"]) for r in rejected.collect()]
+            assert (sorted(repr(list(r)) for r in table.collect()), sorted(rejects)) == want, (seed, cuts)
+
+
+def test_new_rows_carry_their_operations_columns(spark):
+    memory = spark.createDataFrame([("old", "a", [], day(1, 1), None, True, None, None, "s1", 4)], MEMORY + ", session_id string, turn int")
+    ops = spark.createDataFrame([(1, "UPDATE", None, "old", "b", [], day(2, 1), "s2", 7), (2, "SUPERSEDE", "new", "old", "c", [], day(3, 1), "s3", 9)], OPS + ", session_id string, turn int")
+    rows = {r["node_id"]: (r["content"], r["session_id"], r["turn"]) for r in V.apply_operations(memory, ops)[0].collect()}
+    assert rows == {"old": ("b", "s1", 4), "new": ("c", "s3", 9)}
+
+
+def test_streamed_operations_come_to_the_same_table(spark, tmp_path):
+    memory, ops = random_operations(5, 60)
+    for k, (i, j) in enumerate([(0, 20), (20, 21), (21, 60)]):
+        spark.createDataFrame(ops[i:j], OPS).coalesce(1).write.parquet(str(tmp_path / "ops" / f"p{k}"))
+    stream = spark.readStream.schema(OPS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ops" / "*"))
+    place = str(tmp_path / "table")
+    base = spark.createDataFrame(memory, MEMORY)
+    after = S.applied(stream, base, "memory", place, buckets=4)
+    want, rejected = plain_apply(memory, ops)
+    assert sorted(repr(list(r)) for r in after.collect()) == want
+    assert sorted((r["seq"], r["reason"]) for r in spark.read.parquet(f"{place}/rejected").collect()) == rejected
+    assert len(list((tmp_path / "table" / "table").glob("batch=*"))) == 4
+    assert sorted(repr(list(r)) for r in S.newest(spark, S.compacted(spark, place, base), base).select(base.columns).collect()) == want
+
+
+def test_deleted_runs_are_bridged_along_their_links(spark):
+    links = [(1, None, 2), (2, 1, 4), (4, 2, 5), (5, 4, 9), (9, 5, None), (3, None, 6), (6, 3, 7), (7, 6, None), (8, None, None), (10, 99, None), (11, None, 12), (12, 11, None)]
+    versions = spark.createDataFrame([(*x, "u") for x in links], "node long, supersedes long, superseded_by long, owner string")
+    gone = spark.createDataFrame([(2,), (4,), (5,), (7,), (11,), (12,), (2,)], "node long")
+    got = {r["node"]: (r["supersedes"], r["superseded_by"], r["owner"]) for r in V.delete_repair(versions, gone).collect()}
+    assert got == {1: (None, 9, "u"), 9: (1, None, "u"), 3: (None, 6, "u"), 6: (3, None, "u"), 8: (None, None, "u"), 10: (99, None, "u")}
+
+
 def test_expressions(spark):
     row = spark.range(1).select(
         X.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("a"),
