@@ -15,7 +15,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tables import documents, fresh, resident, written
+from palimpsest.llm.tables import documents, fresh, in_short_batches, resident, written
 
 #: Documents of a language that its dictionary is made from at most, and bytes of a dictionary.
 SAMPLE_DOCS, DICTIONARY = 200, 1 << 16
@@ -122,7 +122,7 @@ def identified(df: DataFrame, learn: DataFrame | None = None, doc_id: str = "doc
     """
     found = dictionaries(df if learn is None else learn, text, lang, doc_id)
     name = fresh(df, "language")
-    out = df.withColumn(name, predicted(F.col(text), found))
+    out = in_short_batches(df).withColumn(name, predicted(F.col(text), found))
     margin = F.col(f"{name}.margin")
     rejected = (F.col(f"{name}.lang") == "und") | (margin < MARGIN)
     return out.withColumns({"lang_pred": F.col(f"{name}.lang"), "lang_score": margin / (margin + F.lit(0.02)), "lang_rejected": rejected}).drop(name)
@@ -132,7 +132,7 @@ def confident(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     """The rows of df whose language is told and not rejected, with df's columns."""
     name = fresh(df, "language")
     found = dictionaries(df, text, lang, doc_id)
-    told = df.withColumn(name, predicted(F.col(text), found))
+    told = in_short_batches(df).withColumn(name, predicted(F.col(text), found))
     return told.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.margin") >= MARGIN)).drop(name)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.pretokens import SURE
-from palimpsest.llm.tables import documents, resident, written
+from palimpsest.llm.tables import documents, in_short_batches, resident, written
 
 #: Tokens of a sequence.
 ROOM = 4096
@@ -143,7 +143,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int
 
     kind = dict(df.dtypes)[doc_id]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    return in_short_batches(df).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
 
 def packed(cut: DataFrame, room: int = ROOM, group: int = GROUP, seed: int = 11) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tables import documents, fresh
+from palimpsest.llm.tables import alone, documents, fresh, in_short_batches
 from palimpsest.llm.trees import BoostedTrees
 
 KINDS = ("email", "ip", "card", "phone")
@@ -263,7 +263,7 @@ def fitted(df: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sa
     Copies of a text count as often as they occur. If there is no text, or fewer
     than 50 examples, nothing is ever added to base spans.
     """
-    marked = df.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    marked = in_short_batches(df).select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
 
     @F.pandas_udf("array<array<double>>")
     def of(s: pd.Series) -> pd.Series:
@@ -285,6 +285,7 @@ def found(text: Column, judge: Judge, redact: bool = True) -> Column:
 
     @F.pandas_udf(", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, redacted string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        alone()
         for s in batches:
             rows = []
             for t in s:
@@ -303,14 +304,14 @@ def with_spans(df: DataFrame, text: str = "text", judge: Judge | None = None, re
     fit trees on gets the base spans alone. Columns of these names are replaced.
     """
     name = fresh(df, "pii")
-    out = df.withColumn(name, found(F.col(text), judge or fitted(df, text), redact))
+    out = in_short_batches(df).withColumn(name, found(F.col(text), judge or fitted(df, text), redact))
     return out.withColumns({c: F.col(f"{name}.{c}") for c in [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"]}).drop(name)
 
 
 def without_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """df with all spans of its text redacted, each by its kind in angle brackets; every row and column stays. Null texts stay null; see with_spans for the rest."""
     name = fresh(df, "pii")
-    return df.withColumn(name, found(F.col(text), fitted(df, text))).withColumn(text, F.col(f"{name}.redacted")).select(*df.columns)
+    return in_short_batches(df).withColumn(name, found(F.col(text), fitted(df, text))).withColumn(text, F.col(f"{name}.redacted")).select(*df.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tables import documents, resident
+from palimpsest.llm.tables import documents, in_short_batches, resident
 
 #: Documents that the frequent table is made from (its content changes the speed, never a count).
 SAMPLE_DOCS = 2000
@@ -119,7 +119,7 @@ def frequent_lengths(df: DataFrame, text: str, vocabulary: str, sample_docs: int
         top = [(k, n) for k, n in seen.most_common(min(entries, 64 * texts)) if len(k) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["token", "n"])
 
-    sample = df.select(text).sample(fraction=min(1.0, sample_docs / max(rows, 1)), seed=7)
+    sample = in_short_batches(df).select(text).sample(fraction=min(1.0, sample_docs / max(rows, 1)), seed=7)
     seen: Counter = Counter()
     for r in sample.mapInArrow(counted, "token string, n long").collect():
         seen[r["token"]] += r["n"]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.components import components
 from palimpsest.llm import likeness
-from palimpsest.llm.tables import documents, fresh, written
+from palimpsest.llm.tables import alone, documents, fresh, in_short_batches, written
 
 #: Fingerprints of a bucket beyond which it is dealt anew by the bits that it leaves open.
 LARGE = 8192
@@ -184,6 +184,7 @@ def near_links(codes: DataFrame, bits: int, large: int = LARGE) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[moved], kind), pa.array(ids[root[moved]], kind)], ["a", "b"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         held, rows = [], 0
         for b in batches:
             if not b.num_rows:
@@ -216,7 +217,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     to nothing and is its own (null) component. Other columns of df are not
     read. An empty table gives an empty table.
     """
-    docs = written(df.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), width).alias("code")), "fingerprints")
+    docs = written(in_short_batches(df).select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), width).alias("code")), "fingerprints")
     # distinct fingerprints stand for all their copies from here on
     codes = written(docs.where("doc_id is not null").groupBy("code").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
     found = components(near_links(codes, bits, large))

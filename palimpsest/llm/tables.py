@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.operators.lineage import fresh, shared_dir, written
 
-__all__ = ["documents", "fresh", "resident", "shared_dir", "written"]
+__all__ = ["alone", "documents", "fresh", "in_short_batches", "resident", "shared_dir", "written"]
+
+#: Rows that go to a Python worker at a time: texts may be long.
+BATCH = 1000
 
 _resident: dict = {}
 
@@ -23,3 +26,16 @@ def resident(key: Hashable, make: Callable):
         _resident.clear()
         _resident[key] = make()
     return _resident[key]
+
+
+def alone() -> None:
+    """Lets go of what resident() keeps, in a worker whose task needs no model."""
+    _resident.clear()
+
+
+def in_short_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands at most BATCH rows to Python at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tables import documents, fresh, written
+from palimpsest.llm.tables import alone, documents, fresh, in_short_batches, written
 
 #: Labelled documents that are fitted on at most, words of the vocabulary at most, folds, steps of a fit.
 SAMPLE_DOCS, WORDS, FOLDS, STEPS = 6000, 2000, 3, 100
@@ -132,7 +132,7 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def words(s: pd.Series) -> pd.Series:
         return s.map(lambda t: sorted(words_of(t)))
 
-    rows = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc") == F.col("id"))
+    rows = in_short_batches(docs).select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc") == F.col("id"))
     # an id may have any number of rows
     rows = rows.withColumn("h", F.xxhash64("text"))
     chosen = written(rows.select("id", "h").distinct().orderBy(F.xxhash64("id", "h"), "id", "h").limit(2 * sample_docs), "chosen-rows")
@@ -169,6 +169,7 @@ def scored(text: Column, chain: Chain) -> Column:
 
     @F.pandas_udf(", ".join(f"`{n}` double" for n in chain.names))
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        alone()
         for s in batches:
             yield pd.DataFrame(chain.probabilities(list(s)), columns=chain.names)
 
@@ -183,7 +184,7 @@ def with_toxicity(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     names are replaced. A chain fitted on nothing says 0.5 or less of all.
     """
     name = fresh(df, "scores")
-    out = df.withColumn(name, scored(F.col(text), chain))
+    out = in_short_batches(df).withColumn(name, scored(F.col(text), chain))
     return out.withColumns({f"p_{n}": F.col(f"{name}.`{n}`") for n in chain.names} | {"toxic": F.col(f"{name}.`{chain.names[-1]}`") > chain.threshold}).drop(name)
 
 
