@@ -30,7 +30,7 @@ NAVIGATIONAL = [
     r"https?://\S+",
 ]
 #: Names before secrets. Fixed values.
-SECRET_KEYS = "password|passwd|pwd|api[_-]?key|apikey|secret|token|access[_-]?key|private[_-]?key|auth[_-]?token|bearer|NEO4J_PASSWORD|MYSQL_PASSWORD|REDIS_PASSWORD|MEMORY_EMBEDDER_API_KEY|MEMORY_LLM_API_KEY|MEMORY_LLM_EVAL_APIKEY"
+SECRET_KEYS = "password|passwd|pwd|api[_-]?key|apikey|secret|token|access[_-]?key|private[_-]?key|auth[_-]?token|bearer"
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.expressions import cosine, evidence_boost, keywords, sigmoid_bm25, tokens
+from palimpsest.operators.lineage import written
 
 
 def scoped(memory: DataFrame, status: str | None = "active", latest: bool | None = True, layers: list[str] | None = None) -> DataFrame:
@@ -18,6 +19,20 @@ def scoped(memory: DataFrame, status: str | None = "active", latest: bool | None
     return out.where(F.col("layer").isin(layers)) if layers else out
 
 
+def request_scopes(requests: DataFrame) -> DataFrame:
+    """(query_id, isolation_key, error) for requests(query_id, user_id, agents array, rooms array).
+
+    A key for each agent and session that a request names; one that names none
+    has its user's alone. Several agents together with several sessions are
+    rejected, with an error and no key.
+    """
+    wrong = (F.size("agents") > 1) & (F.size("rooms") > 1)
+    some = lambda c: F.explode_outer(F.when(F.size(c) > 0, F.col(c)))
+    rows = requests.where(~wrong).select("query_id", "user_id", some("agents").alias("agent"), "rooms").select("query_id", "user_id", "agent", some("rooms").alias("room"))
+    keys = rows.select("query_id", F.concat_ws("::", "user_id", "agent", "room").alias("isolation_key"), F.lit(None).cast("string").alias("error"))
+    return keys.unionByName(requests.where(wrong).select("query_id", F.lit(None).cast("string").alias("isolation_key"), F.lit("several agents and several sessions").alias("error")))
+
+
 def vector_hits(requests: DataFrame, memory: DataFrame, threshold: float) -> DataFrame:
     """(query_id, node_id, score): a request meets its own user's rows only, joined by user."""
     pairs = requests.select("query_id", "user_id", "query_vector").join(memory.select("user_id", "node_id", "embedding"), "user_id")
@@ -42,12 +57,13 @@ def postings(memory: DataFrame) -> DataFrame:
 
 def bm25_hits(requests: DataFrame, memory: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, node_id, n_terms, bm25) for rows of the request's user that share a term; statistics are the user's."""
-    index = postings(memory)
+    index = written(postings(memory), "postings")
+    # a row without terms is in no posting, but counts
     sizes = memory.select("user_id", F.size(tokens(F.col("content"))).alias("length")).groupBy("user_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     df = index.groupBy("user_id", "term").agg(F.count("*").alias("df"))
     asked = requests.select("query_id", "user_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"))
     asked = asked.select("query_id", "user_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    rows = asked.join(df, ["user_id", "term"]).join(sizes, "user_id").join(index, ["user_id", "term"])
+    rows = asked.join(df.hint("merge"), ["user_id", "term"]).join(index.hint("merge"), ["user_id", "term"]).join(written(sizes, "sizes"), "user_id")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     return rows.groupBy("query_id", "node_id", "n_terms").agg(F.sum(weight).alias("bm25"))

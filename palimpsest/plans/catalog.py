@@ -147,11 +147,18 @@ def flt_min_score(s, d):
     return vector(s, d).where("score >= 0.25").select("query_id", "node_id")
 
 
-@query("flt_request_scope", f"WITH {I.REQUESTS} SELECT query_id, user_id || '::' || a || '::' || ss AS isolation_key FROM req, (VALUES ('a0'), ('a1')) x(a), (VALUES ('s0'), ('s1')) y(ss)")
+ASKED = f"""{I.REQUESTS}, asked AS (SELECT query_id, user_id, CASE query_id % 4 WHEN 0 THEN ['a0', 'a1'] WHEN 1 THEN ['a0', 'a1'] WHEN 2 THEN ['a2'] ELSE [] END AS agents, CASE query_id % 4 WHEN 0 THEN ['s0', 's1'] WHEN 1 THEN ['s0'] WHEN 2 THEN ['s0', 's1', 's2'] ELSE [] END AS rooms FROM req)"""
+
+
+@query("flt_request_scope", f"""WITH {ASKED}, ok AS (SELECT * FROM asked WHERE NOT (len(agents) > 1 AND len(rooms) > 1)),
+a AS (SELECT query_id, user_id, rooms, CASE WHEN len(agents) = 0 THEN [NULL] ELSE agents END AS agents FROM ok), b AS (SELECT query_id, user_id, unnest(agents) AS agent, CASE WHEN len(rooms) = 0 THEN [NULL] ELSE rooms END AS rooms FROM a), c AS (SELECT query_id, user_id, agent, unnest(rooms) AS room FROM b)
+SELECT query_id, concat_ws('::', user_id, agent, room) AS isolation_key, NULL::VARCHAR AS error FROM c UNION ALL SELECT query_id, NULL, 'several agents and several sessions' FROM asked WHERE len(agents) > 1 AND len(rooms) > 1""")
 def flt_request_scope(s, d):
-    agents, rooms = (F.explode(F.array(*map(F.lit, x))) for x in (["a0", "a1"], ["s0", "s1"]))
-    rows = I.requests(s, d).select("query_id", "user_id", agents.alias("a")).select("*", rooms.alias("r"))
-    return rows.select("query_id", F.concat_ws("::", "user_id", "a", "r").alias("isolation_key"))
+    """A request may name several agents or several sessions, but not both: that gives a row with an error."""
+    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    kind = F.col("query_id") % 4
+    rows = I.requests(s, d).select("query_id", "user_id", F.when(kind <= 1, strings("a0", "a1")).when(kind == 2, strings("a2")).otherwise(strings()).alias("agents"), F.when(kind == 0, strings("s0", "s1")).when(kind == 1, strings("s0")).when(kind == 2, strings("s0", "s1", "s2")).otherwise(strings()).alias("rooms"))
+    return R.request_scopes(rows)
 
 
 # projections
@@ -180,10 +187,10 @@ def prj_strip_tools(s, d):
     return I.turns(s, d).where("role <> 'tool' and not (role = 'assistant' and trim(text) = '')").select("turn_id", "role")
 
 
-@query("prj_context_line", f"WITH {VEC} SELECT query_id, '[' || row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) || '] layer=' || v.layer || ' observed=' || strftime(gmt_created, '%Y-%m-%d') || ' | ' || left(content, 40) AS line FROM vec v JOIN mem USING (node_id)")
+@query("prj_context_line", f"WITH {VEC} SELECT query_id, '[' || row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) || '] layer=' || v.layer || ' observed=' || strftime(gmt_created, '%Y-%m-%d') || ' | ' || content AS line FROM vec v JOIN mem USING (node_id)")
 def prj_context_line(s, d):
     rows = R.ranked(vector(s, d)).join(I.memory(s, d).select("node_id", "gmt_created", "content"), "node_id")
-    return rows.select("query_id", F.concat(F.lit("["), "rank", F.lit("] layer="), "layer", F.lit(" observed="), F.date_format("gmt_created", "yyyy-MM-dd"), F.lit(" | "), F.left("content", F.lit(40))).alias("line"))
+    return rows.select("query_id", F.concat(F.lit("["), "rank", F.lit("] layer="), "layer", F.lit(" observed="), F.date_format("gmt_created", "yyyy-MM-dd"), F.lit(" | "), "content").alias("line"))
 
 
 @query("prj_kv_clean", "SELECT c_custkey, k AS key, v AS value FROM (SELECT c_custkey, unnest(['name', 'location', 'other']) AS k, unnest([c_name, CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE 'n' || c_nationkey END, 'x']) AS v FROM customer) WHERE k IN ('name', 'age', 'location', 'occupation', 'employer') AND lower(trim(v)) NOT IN ('', 'null', 'none')")
@@ -202,9 +209,9 @@ def prj_profile_text(s, d):
 # joins and graph
 
 
-@query("jn_hydrate", f"WITH {VEC} SELECT query_id, node_id, left(content, 30) AS head, access_count FROM vec JOIN mem USING (node_id)")
+@query("jn_hydrate", f"WITH {VEC} SELECT query_id, node_id, content, access_count FROM vec JOIN mem USING (node_id)")
 def jn_hydrate(s, d):
-    return vector(s, d).join(I.memory(s, d).select("node_id", F.left("content", F.lit(30)).alias("head"), "access_count"), "node_id").select("query_id", "node_id", "head", "access_count")
+    return vector(s, d).join(I.memory(s, d).select("node_id", "content", "access_count"), "node_id").select("query_id", "node_id", "content", "access_count")
 
 
 @query("jn_vec", f"WITH {VEC} SELECT query_id, node_id, score FROM vec")
@@ -279,10 +286,11 @@ def agg_op_counts(s, d):
     return counts.withColumn("net", F.col("adds") - F.col("deletes"))
 
 
-@query("agg_user_ops", f"WITH {I.OPERATIONS} SELECT user_id, count(*) AS total, count(DISTINCT request_id) AS requests, min(created_at) AS first_at, max(created_at) AS last_at FROM ops GROUP BY 1")
+@query("agg_user_ops", f"WITH {I.OPERATIONS} SELECT user_id, count(*) AS total, count(DISTINCT request_id) AS requests, min(created_at) AS first_at, max(created_at) AS last_at, count_if(op = 'ADD') AS adds, count_if(op = 'UPDATE') AS updates, count_if(op = 'SUPERSEDE') AS supersedes, count_if(op = 'DELETE') AS deletes FROM ops GROUP BY 1")
 def agg_user_ops(s, d):
-    per = I.operations(s, d).groupBy("user_id", "request_id").agg(F.count("*").alias("n"), F.min("created_at").alias("a"), F.max("created_at").alias("b"))
-    return per.groupBy("user_id").agg(F.sum("n").alias("total"), F.count("*").alias("requests"), F.min("a").alias("first_at"), F.max("b").alias("last_at"))
+    kinds = {"adds": "ADD", "updates": "UPDATE", "supersedes": "SUPERSEDE", "deletes": "DELETE"}
+    per = I.operations(s, d).groupBy("user_id", "request_id").agg(F.count("*").alias("n"), F.min("created_at").alias("a"), F.max("created_at").alias("b"), *(F.count_if(F.col("op") == k).alias(n) for n, k in kinds.items()))
+    return per.groupBy("user_id").agg(F.sum("n").alias("total"), F.count("*").alias("requests"), F.min("a").alias("first_at"), F.max("b").alias("last_at"), *(F.sum(n).alias(n) for n in kinds))
 
 
 @query("agg_inventory", f"WITH {I.MEMORY} SELECT coalesce(layer, 'all') AS layer, count(*) AS n FROM mem GROUP BY GROUPING SETS ((layer), ())")
@@ -368,10 +376,10 @@ def agg_recall_buckets(s, d):
     return rows.select("bucket", "n", F.round("p", 6).alias("accuracy"), *(F.round((p + 1.9208 / n + sign * spread) / (1 + 3.8416 / n), 6).alias(name) for name, sign in (("low", -1), ("high", 1))))
 
 
-@query("agg_channel_sizes", f"WITH {VEC}, c AS (SELECT layer, query_id, count(*) AS n FROM vec GROUP BY 1, 2) SELECT layer, round(avg(n), 6) AS mean, median(n) AS median, max(n) AS most FROM c GROUP BY 1")
+@query("agg_channel_sizes", f"WITH {VEC}, c AS (SELECT layer, query_id, count(*) AS n FROM vec GROUP BY 1, 2) SELECT layer, round(avg(n), 6) AS mean, median(n) AS median, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS most FROM c GROUP BY 1")
 def agg_channel_sizes(s, d):
     per = vector(s, d).groupBy("layer", "query_id").agg(F.count("*").alias("n"))
-    return per.groupBy("layer").agg(F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", 0.5).alias("median"), F.max("n").alias("most"))
+    return per.groupBy("layer").agg(F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", 0.5).alias("median"), F.round(F.percentile("n", 0.95), 6).alias("p95"), F.max("n").alias("most"))
 
 
 # windows over turns and versions
@@ -511,7 +519,7 @@ def set_union_max(s, d):
 
 @query("rk_zero_fallback", f"WITH {I.MEMORY}, {I.REQUESTS}, a AS (SELECT query_id, node_id, round(list_cosine_similarity(query_vector, embedding), 6) AS score FROM req JOIN mem USING (user_id) WHERE {ACTIVE}), b AS (SELECT *, max(score >= 0.3) OVER (PARTITION BY query_id) AS found FROM a WHERE score >= 0.2) SELECT query_id, node_id, score, NOT found AS fallback FROM b WHERE NOT found OR score >= 0.3")
 def rk_zero_fallback(s, d):
-    hits = R.vector_hits(I.requests(s, d), live(s, d), -1.0).withColumn("score", F.round("score", 6))
+    hits = R.vector_hits(I.requests(s, d), live(s, d), 0.2 - 1e-6).withColumn("score", F.round("score", 6))
     return R.with_fallback(hits, 0.3, 0.2).select("query_id", "node_id", "score", "fallback")
 
 
@@ -606,10 +614,10 @@ def set_exact_dedup(s, d):
 # text and vectors
 
 
-@query("txt_tokens", f"SELECT doc_id, len(regexp_extract_all(lower(text), '{TERMS}')) AS n, regexp_extract_all(lower(text), '{TERMS}')[1:5] AS first FROM documents")
+@query("txt_tokens", f"SELECT doc_id, len(regexp_extract_all(lower(text), '{TERMS}')) AS n, array_to_string(regexp_extract_all(lower(text), '{TERMS}'), ' ') AS terms FROM documents")
 def txt_tokens(s, d):
     t = X.tokens(F.col("text"))
-    return I.table(s, d, "documents").select("doc_id", F.size(t).alias("n"), F.slice(t, 1, 5).alias("first"))
+    return I.table(s, d, "documents").select("doc_id", F.size(t).alias("n"), F.array_join(t, " ").alias("terms"))
 
 
 @query("txt_keywords", f"WITH k AS (SELECT doc_id, t.w, min(t.n) AS n FROM documents, unnest(regexp_extract_all(lower(text), '{TERMS}')) WITH ORDINALITY t(w, n) WHERE CASE WHEN regexp_matches(t.w, '^[a-z0-9]') THEN length(t.w) >= 3 AND t.w NOT IN ({STOP}) ELSE length(t.w) >= 2 END GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS nth FROM k) SELECT doc_id, string_agg(w, ' ' ORDER BY n) AS keywords FROM r WHERE nth <= 10 GROUP BY 1")
@@ -628,9 +636,9 @@ def arr_cosine(s, d):
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id").select("vec_id", F.round(X.cosine(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query("arr_l2norm", "SELECT vec_id, round(list_extract(embedding::DOUBLE[], 1) / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first FROM embeddings")
+@query("arr_l2norm", "SELECT vec_id, n - 1 AS dim, round(v::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS v FROM embeddings, unnest(embedding) WITH ORDINALITY t(v, n)")
 def arr_l2norm(s, d):
-    return I.table(s, d, "embeddings").select("vec_id", F.round(X.unit(F.col("embedding").cast("array<double>"))[0], 6).alias("first"))
+    return I.table(s, d, "embeddings").select("vec_id", F.posexplode(X.unit(F.col("embedding").cast("array<double>"))).alias("dim", "v")).withColumn("v", F.round("v", 6))
 
 
 @query("arr_centroid", "SELECT label, n - 1 AS dim, round(avg(v::DOUBLE), 6) AS mean FROM embeddings, unnest(embedding) WITH ORDINALITY t(v, n) GROUP BY 1, 2")
@@ -749,8 +757,9 @@ def st_sessions(s, d):
 
 @query("st_dedup", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def st_dedup(s, d):
-    """Ids of events are unique, so all stay."""
-    return S.drained(S.first_inserts(S.events(s, d), "event_id"), "inserts")
+    """The events, of which every seventh comes again: copies go."""
+    again = S.events(s, d).where("event_id % 7 = 0")
+    return S.drained(S.first_inserts(S.events(s, d).unionByName(again), "event_id"), "inserts")
 
 
 @query("st_buffer", SQL["st_buffer_batch"].replace("SELECT * FROM f", "SELECT conv_id, batch, n_lines, n_user, first_turn FROM f"))

@@ -127,10 +127,10 @@ def grf_inherit(s, d):
     return K.inherited_evidence(colliding(s, d), I.evidence(s, d))
 
 
-@query("jn_cores", "WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_partkey % 10 = 0), a AS (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey % 2 = 0), h1 AS (SELECT node, dst AS core FROM a JOIN e ON src = node), h2 AS (SELECT DISTINCT node, dst AS core FROM h1 JOIN e ON src = core) SELECT node, core, min(hop) AS hop FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY 1, 2")
+@query("jn_cores", "WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), a AS (SELECT s_suppkey AS node FROM supplier), h1 AS (SELECT node, dst AS core FROM a JOIN e ON src = node), h2 AS (SELECT DISTINCT node, dst AS core FROM h1 JOIN e ON src = core) SELECT node, core, min(hop) AS hop FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY 1, 2")
 def jn_cores(s, d):
-    edges = I.table(s, d, "lineitem").where("l_partkey % 10 = 0").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    return K.cores(I.table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("node")), edges)
+    edges = I.table(s, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return K.cores(I.table(s, d, "supplier").select(F.col("s_suppkey").alias("node")), edges)
 
 
 BEH = f"""WITH {SCHEMAS}, {I.REQUESTS}, h AS (SELECT query_id, node, round(list_cosine_similarity(query_vector, beh), 6) AS score FROM req JOIN sc ON sc.user_id = query_id % 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM h)"""
