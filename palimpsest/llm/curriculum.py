@@ -19,7 +19,7 @@ from palimpsest.llm.tables import documents, fresh, written
 WEIGHTS = (5, 2, 1)
 #: Weight at the start and at the end of training, relative to a source's own mean, for the same order.
 SLOPES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
-#: Rows of a part of a source, about: its running sums need no single task.
+#: Rows of a part of a source, at most about: its running sums need no single task. There are 256 parts at least.
 PART = 65_536
 #: Equal rows that move as one.
 COPIES = 10_000
@@ -93,7 +93,7 @@ def placed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     same = docs.groupBy("doc_id", F.col("source").alias("own"), "size", "mark").agg(F.count("*").alias("n"))
     mixed = same.join(goals, F.col("own").eqNullSafe(F.col("source"))).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
     mixed = mixed.withColumn("held", F.least(F.lit(COPIES), F.col("n") - F.col("piece") * COPIES)).withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size", "mark", "piece"))
-    bits = min(20, max(1, math.ceil(math.log2(max(1, docs.count()) / PART))))
+    bits = min(20, max(8, math.ceil(math.log2(max(1, docs.count()) / PART))))
     mixed = mixed.withColumn("part", F.shiftrightunsigned("order", 64 - bits).cast("int"))
 
     sums = mixed.groupBy("rank", "part").agg(F.sum(F.col("size") * F.col("held")).alias("part_size"))
