@@ -367,13 +367,15 @@ def agg_eval(s, d):
     return rows.rollup("category").agg(F.count("*").alias("n"), F.round(F.avg("correct"), 4).alias("accuracy"), hit(1), hit(5), hit(10))
 
 
-@query("agg_recall_buckets", f"WITH {JUDGED}, b AS (SELECT CASE WHEN rank <= 4 THEN 'full' WHEN rank <= 8 THEN 'partial' ELSE 'none' END AS bucket, count(*) AS n, avg(correct::INT) AS p FROM judged GROUP BY 1) SELECT bucket, n, round(p, 6) AS accuracy, round((p + 1.9208 / n - 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS low, round((p + 1.9208 / n + 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS high FROM b")
+@query("agg_recall_buckets", f"WITH {JUDGED}, b AS (SELECT CASE WHEN rank <= 4 THEN 'full' WHEN rank <= 8 THEN 'partial' ELSE 'none' END AS bucket, count(*) AS n, avg(correct::INT) AS p FROM judged GROUP BY 1) SELECT bucket, n, round(p, 6) AS accuracy, round(avg(p) OVER (), 6) AS macro, round((p + 1.9208 / n - 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS low, round((p + 1.9208 / n + 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS high FROM b")
 def agg_recall_buckets(s, d):
     rank = F.col("doc_id") % 12 + 1
     rows = I.table(s, d, "labels").groupBy(F.when(rank <= 4, "full").when(rank <= 8, "partial").otherwise("none").alias("bucket")).agg(F.count("*").alias("n"), F.avg((F.col("quality") == 1).cast("int")).alias("p"))
     n, p = F.col("n"), F.col("p")
     spread = 1.96 * F.sqrt(p * (1 - p) / n + 0.9604 / (n * n))
-    return rows.select("bucket", "n", F.round("p", 6).alias("accuracy"), *(F.round((p + 1.9208 / n + sign * spread) / (1 + 3.8416 / n), 6).alias(name) for name, sign in (("low", -1), ("high", 1))))
+    # a window over three rows
+    macro = F.round(F.avg("p").over(Window.partitionBy()), 6).alias("macro")
+    return rows.select("bucket", "n", F.round("p", 6).alias("accuracy"), macro, *(F.round((p + 1.9208 / n + sign * spread) / (1 + 3.8416 / n), 6).alias(name) for name, sign in (("low", -1), ("high", 1))))
 
 
 @query("agg_channel_sizes", f"WITH {VEC}, c AS (SELECT layer, query_id, count(*) AS n FROM vec GROUP BY 1, 2) SELECT layer, round(avg(n), 6) AS mean, median(n) AS median, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS most FROM c GROUP BY 1")
@@ -421,9 +423,9 @@ def win_obs_times(s, d):
     return I.operations(s, d).groupBy("memory_id").agg(F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), F.countDistinct("created_at").alias("n"))
 
 
-@query("win_latest_summary", f"WITH {I.MEMORY} SELECT user_id, agent_id, arg_max(node_id, gmt_created) AS node_id FROM mem WHERE layer = 'l3_summary' AND status = 'active' GROUP BY 1, 2")
+@query("win_latest_summary", f"WITH {I.MEMORY} SELECT user_id, agent_id, session_id, gmt_created::DATE AS day, arg_max(node_id, gmt_created) AS node_id FROM mem WHERE layer = 'l3_summary' AND status = 'active' GROUP BY 1, 2, 3, 4")
 def win_latest_summary(s, d):
-    return I.memory(s, d).where("layer = 'l3_summary' and status = 'active'").groupBy("user_id", "agent_id").agg(F.max_by("node_id", "gmt_created").alias("node_id"))
+    return I.memory(s, d).where("layer = 'l3_summary' and status = 'active'").groupBy("user_id", "agent_id", "session_id", F.to_date("gmt_created").alias("day")).agg(F.max_by("node_id", "gmt_created").alias("node_id"))
 
 
 @query("st_buffer_batch", f"WITH {I.TURNS}, r AS (SELECT *, floor((sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) - (role = 'user')::INT) / 2)::BIGINT AS batch FROM turns), f AS (SELECT conv_id, batch, count(*) AS n_lines, count_if(role = 'user') AS n_user, min(turn) AS first_turn FROM r GROUP BY 1, 2) SELECT * FROM f WHERE n_user >= 2")
@@ -571,11 +573,11 @@ def rk_evidence_boost(s, d):
     return G.evidence_counts(I.evidence(s, d)).select("schema_id", F.round(X.evidence_boost(F.col("n_evidence")), 6).alias("boost"))
 
 
-@query("rk_bump", f"WITH {VEC} SELECT node_id, access_count + (node_id IN (SELECT node_id FROM vec))::INT AS access_count FROM mem")
+@query("rk_bump", f"WITH {VEC} SELECT node_id, access_count + (node_id IN (SELECT node_id FROM vec))::INT AS access_count, CASE WHEN node_id IN (SELECT node_id FROM vec) THEN TIMESTAMP '2024-06-01' ELSE gmt_created END AS last_accessed FROM mem")
 def rk_bump(s, d):
-    rows = I.memory(s, d).select("node_id", "access_count")
+    rows = I.memory(s, d).select("node_id", "access_count", F.col("gmt_created").alias("last_accessed"))
     hit = vector(s, d).select("node_id").distinct()
-    return V.patch(rows, rows.join(hit, "node_id", "left_semi").withColumn("access_count", F.col("access_count") + 1), "node_id", ["access_count"])
+    return V.patch(rows, rows.join(hit, "node_id", "left_semi").withColumns({"access_count": F.col("access_count") + 1, "last_accessed": I.start("2024-06-01")}), "node_id", ["access_count", "last_accessed"])
 
 
 @query("set_gold_intersect", f"WITH {VEC}, x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM vec) WHERE rank <= {K}), gold AS (SELECT query_id, node_id FROM req JOIN mem USING (user_id) WHERE num % 4 = 0 AND {ACTIVE}) SELECT query_id, count(x.node_id) AS found, count(*) AS n_gold, round(count(x.node_id) / count(*), 6) AS recall FROM gold LEFT JOIN x USING (query_id, node_id) GROUP BY 1")
@@ -584,9 +586,11 @@ def set_gold_intersect(s, d):
     return R.recall_at(R.top(vector(s, d), K), gold, K).withColumn("recall", F.round("recall", 6))
 
 
-@query("top_list", f"WITH {I.MEMORY} SELECT node_id, gmt_created FROM mem WHERE status = 'active' AND layer <> 'l1_raw' ORDER BY gmt_created DESC, node_id LIMIT 20 OFFSET 10")
+@query("top_list", f"WITH {I.MEMORY} SELECT node_id, coalesce(CASE WHEN num % 4 = 0 THEN gmt_created - INTERVAL 1 DAY END, gmt_created) AS listed_at, count(*) OVER () AS total FROM mem WHERE status = 'active' AND layer <> 'l1_raw' ORDER BY listed_at DESC, node_id LIMIT 20 OFFSET 10")
 def top_list(s, d):
-    return I.memory(s, d).where("status = 'active' and layer <> 'l1_raw'").select("node_id", "gmt_created").orderBy(F.col("gmt_created").desc(), "node_id").offset(10).limit(20)
+    memory_at = F.when(F.col("num") % 4 == 0, F.col("gmt_created") - F.expr("interval 1 day"))
+    rows = I.memory(s, d).where("status = 'active' and layer <> 'l1_raw'").select("node_id", F.coalesce(memory_at, "gmt_created").alias("listed_at"))
+    return rows.orderBy(F.col("listed_at").desc(), "node_id").offset(10).limit(20).withColumn("total", F.lit(rows.count()).cast("long"))
 
 
 @query("top_code_list", "SELECT p_brand, p_partkey, nth FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS nth FROM part) WHERE nth <= 5")
