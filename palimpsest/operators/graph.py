@@ -12,17 +12,18 @@ def evidence_counts(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("schema_id").agg(F.countDistinct("fact_id").alias("n_evidence"))
 
 
-def reverse_evidence(facts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """For facts (query_id, fact_id): the schemas that rest on them, by how many, relative to the best."""
+def reverse_evidence(facts: DataFrame, evidence: DataFrame, active: DataFrame) -> DataFrame:
+    """For facts (query_id, fact_id): the active schemas (schema_id) that rest on them, by how many, relative to the best."""
+    evidence = evidence.join(active.select("schema_id"), "schema_id", "left_semi")
     support = facts.join(evidence, "fact_id").groupBy("query_id", "schema_id").agg(F.countDistinct("fact_id").alias("support"))
     return support.withColumn("score", F.col("support") / F.max("support").over(Window.partitionBy("query_id")))
 
 
-def neighbours(anchors: DataFrame, edges: DataFrame) -> DataFrame:
-    """Other ends of the anchors' edges (src, dst, kind), either way; anchors themselves are left out."""
+def neighbours(anchors: DataFrame, edges: DataFrame, active: DataFrame) -> DataFrame:
+    """Other ends of the anchors' edges (src, dst, kind), either way, that are active (node); anchors themselves are left out."""
     out = anchors.join(edges.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), "kind")
     back = anchors.join(edges.withColumnRenamed("dst", "node"), "node").select(F.col("src").alias("node"), "kind")
-    return out.union(back).groupBy("node").agg(F.min("kind").alias("kind")).join(anchors, "node", "left_anti")
+    return out.union(back).groupBy("node").agg(F.min("kind").alias("kind")).join(anchors, "node", "left_anti").join(active.select("node"), "node", "left_semi")
 
 
 def expand(anchors: DataFrame, edges: DataFrame, hops: int) -> DataFrame:

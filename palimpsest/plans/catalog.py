@@ -227,16 +227,18 @@ def jn_evidence_fwd(s, d):
 FACTS = "facts AS (SELECT p_size AS query_id, p_partkey AS fact_id FROM part)"
 
 
-@query("jn_evidence_rev", f"WITH {I.EVIDENCE}, {FACTS} SELECT query_id, schema_id, support, round(support / max(support) OVER (PARTITION BY query_id), 6) AS score FROM (SELECT query_id, schema_id, count(DISTINCT fact_id) AS support FROM facts JOIN ev USING (fact_id) GROUP BY 1, 2)")
+@query("jn_evidence_rev", f"WITH {I.EVIDENCE}, {FACTS} SELECT query_id, schema_id, support, round(support / max(support) OVER (PARTITION BY query_id), 6) AS score FROM (SELECT query_id, schema_id, count(DISTINCT fact_id) AS support FROM facts JOIN ev USING (fact_id) WHERE schema_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) GROUP BY 1, 2)")
 def jn_evidence_rev(s, d):
     facts = I.table(s, d, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("fact_id"))
-    return G.reverse_evidence(facts, I.evidence(s, d)).withColumn("score", F.round("score", 6))
+    active = I.table(s, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("schema_id"))
+    return G.reverse_evidence(facts, I.evidence(s, d), active).withColumn("score", F.round("score", 6))
 
 
-@query("jn_tag_bridge", "SELECT DISTINCT p.p_brand AS topic, l.l_suppkey AS node FROM part p JOIN lineitem l ON l.l_partkey = p.p_partkey WHERE p.p_size < 5")
+@query("jn_tag_bridge", "SELECT DISTINCT p.p_brand AS topic, l.l_suppkey AS node FROM part p JOIN lineitem l ON l.l_partkey = p.p_partkey WHERE p.p_size < 5 AND l.l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)")
 def jn_tag_bridge(s, d):
     topics = I.table(s, d, "part").where("p_size < 5").select("p_brand", "p_partkey")
-    return topics.join(I.table(s, d, "lineitem").select("l_partkey", "l_suppkey"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("topic"), F.col("l_suppkey").alias("node")).distinct()
+    tagged = topics.join(I.table(s, d, "lineitem").select("l_partkey", "l_suppkey"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("topic"), F.col("l_suppkey").alias("node")).distinct()
+    return tagged.join(I.table(s, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("node")), "node", "left_semi").select("topic", "node")
 
 
 EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, l_returnflag AS kind FROM lineitem)"
@@ -250,9 +252,10 @@ def anchors(s, d):
     return I.table(s, d, "supplier").where("s_suppkey % 25 = 0").select(F.col("s_suppkey").alias("node"))
 
 
-@query("jn_neighbours", f"WITH {EDGES}, a AS (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey % 25 = 0) SELECT node, min(kind) AS kind FROM (SELECT dst AS node, kind FROM e WHERE src IN (FROM a) UNION ALL SELECT src, kind FROM e WHERE dst IN (FROM a)) WHERE node NOT IN (FROM a) GROUP BY 1")
+@query("jn_neighbours", f"WITH {EDGES}, a AS (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey % 25 = 0) SELECT node, min(kind) AS kind FROM (SELECT dst AS node, kind FROM e WHERE src IN (FROM a) UNION ALL SELECT src, kind FROM e WHERE dst IN (FROM a)) WHERE node NOT IN (FROM a) AND node IN (SELECT p_partkey FROM part WHERE p_size <= 40) GROUP BY 1")
 def jn_neighbours(s, d):
-    return G.neighbours(anchors(s, d), edges(s, d))
+    active = I.table(s, d, "part").where("p_size <= 40").select(F.col("p_partkey").alias("node"))
+    return G.neighbours(anchors(s, d), edges(s, d), active)
 
 
 @query("jn_kbfs", f"WITH {EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), a AS (SELECT s_suppkey AS node, 0 AS hop FROM supplier WHERE s_suppkey % 25 = 0), h1 AS (SELECT DISTINCT dst AS node, 1 AS hop FROM b JOIN a ON src = node), h2 AS (SELECT DISTINCT dst AS node, 2 AS hop FROM b JOIN h1 ON src = node) SELECT node, min(hop) AS hop FROM (FROM a UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY 1")

@@ -141,12 +141,13 @@ def search_tag(s, d):
     return U.profile_first(profile(s, d), three(s, d)).where("position <= 10")
 
 
-@query("rk_profile_two_way", f"WITH {A.VEC}, {I.EVIDENCE}, fw AS (SELECT query_id, num AS schema_id, score FROM vec JOIN mem USING (node_id)), rv AS (SELECT query_id, e.schema_id, count(DISTINCT fact_id) AS support FROM fw JOIN ev e ON fact_id = fw.schema_id GROUP BY 1, 2), ch AS (SELECT query_id, schema_id::VARCHAR AS node_id, 'f' AS channel, score FROM fw UNION ALL SELECT query_id, schema_id::VARCHAR, 'r', round(support / max(support) OVER (PARTITION BY query_id), 6) FROM rv), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, node_id) AS rank FROM ch) SELECT query_id, node_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM rr GROUP BY 1, 2")
+@query("rk_profile_two_way", f"WITH {A.VEC}, {I.EVIDENCE}, fw AS (SELECT query_id, num AS schema_id, score FROM vec JOIN mem USING (node_id)), rv AS (SELECT query_id, e.schema_id, count(DISTINCT fact_id) AS support FROM fw JOIN ev e ON fact_id = fw.schema_id WHERE e.schema_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) GROUP BY 1, 2), ch AS (SELECT query_id, schema_id::VARCHAR AS node_id, 'f' AS channel, score FROM fw UNION ALL SELECT query_id, schema_id::VARCHAR, 'r', round(support / max(support) OVER (PARTITION BY query_id), 6) FROM rv), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, node_id) AS rank FROM ch) SELECT query_id, node_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM rr GROUP BY 1, 2")
 def rk_profile_two_way(s, d):
     from palimpsest.operators.graph import reverse_evidence
 
     forward = A.vector(s, d).join(I.memory(s, d).select("node_id", "num"), "node_id")
-    reverse = reverse_evidence(forward.select("query_id", F.col("num").alias("fact_id")), I.evidence(s, d))
+    active = I.table(s, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("schema_id"))
+    reverse = reverse_evidence(forward.select("query_id", F.col("num").alias("fact_id")), I.evidence(s, d), active)
     node = lambda c: F.col(c).cast("string").alias("node_id")
     return U.two_way(forward.select("query_id", node("num"), "score"), reverse.select("query_id", node("schema_id"), F.round("score", 6).alias("score"))).select("query_id", "node_id", F.round("score", 6).alias("score"))
 
