@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, curriculum, hamming, language, packing, pii, pretokens, simhash, syncmers, toxicity
+from palimpsest.llm import chat, curriculum, hamming, language, packing, pii, pretokens, simhash, syncmers, toxicity, whitening
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_syncmers": syncmers.op8,
     "op9_token_counts": pretokens.op9,
     "op10_mixing": curriculum.op10,
+    "op11_whitening": whitening.op11,
 }
 SQL = {"op3_chat_format": chat.SQL, "op7_hamming_topk": hamming.SQL}
