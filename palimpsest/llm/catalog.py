@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, curriculum, hamming, language, packing, pii, pretokens, simhash, syncmers, toxicity, trie, whitening
+from palimpsest.llm import chat, curriculum, hamming, language, packing, pii, pretokens, sharding, simhash, syncmers, toxicity, trie, whitening
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_mixing": curriculum.op10,
     "op11_whitening": whitening.op11,
     "op12_prefix_trie": trie.op12,
+    "op13_sharding": sharding.op13,
 }
 SQL = {"op3_chat_format": chat.SQL, "op7_hamming_topk": hamming.SQL}
