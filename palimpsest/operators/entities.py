@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.expressions import cosine
-from palimpsest.operators.components import components
 from palimpsest.operators.lineage import written
+from palimpsest.operators.similarity import similar_groups
 
 #: Words that may stand inside a name. Fixed values.
 INSIDE = ["'s", "of", "the", "in", "and", "for", "at", "is"]
@@ -44,9 +44,7 @@ def entity_index(mentions: DataFrame, threshold: float = 0.95) -> DataFrame:
     Links stay rows, so that an entity which everything mentions is no long array.
     """
     mentions = written(mentions.select("num", "user_id", "node_id", "embedding"), "mentions")
-    a, b = (mentions.select("user_id", F.col("num").alias(x), F.col("embedding").alias(f"v{x}")) for x in "ab")
-    pairs = a.join(b.hint("merge"), "user_id").where("a < b").where(cosine(F.col("va"), F.col("vb")) >= threshold).select("a", "b")
-    same = components(pairs).select(F.col("id").alias("num"), "component_id")
+    same = similar_groups(mentions, threshold, inclusive=True).select("num", F.col("group").alias("component_id"))
     return mentions.join(same.hint("merge"), "num", "left").select("user_id", F.coalesce("component_id", "num").alias("entity_id"), "node_id").distinct()
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.expressions import cosine
 from palimpsest.operators.components import components
 from palimpsest.operators.lineage import written
 
@@ -189,19 +188,6 @@ def delete_repair(versions: DataFrame, deleted: DataFrame) -> DataFrame:
     return left.select(*versions.columns)
 
 
-def similar_pairs(rows: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:
-    """(a, b, score) of rows (num, user_id, embedding) of one user above the threshold; a < b."""
-    left = rows.select(F.col("num").alias("a"), "user_id", F.col("embedding").alias("va"))
-    right = rows.select(F.col("num").alias("b"), "user_id", F.col("embedding").alias("vb"))
-    pairs = left.join(right, "user_id").where("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("score"))
-    return pairs.where(F.col("score") >= threshold if inclusive else F.col("score") > threshold)
-
-
-def semantic_duplicates(rows: DataFrame, threshold: float) -> DataFrame:
-    """(num, kept): rows joined by similar pairs, and the earliest of each group."""
-    return components(similar_pairs(rows, threshold)).select(F.col("id").alias("num"), F.col("component_id").alias("kept"))
-
-
 def exact_duplicates(rows: DataFrame, text: str, key: str) -> DataFrame:
     """Rows whose trimmed lower-case text no row with a smaller key has."""
     norm = F.lower(F.trim(F.col(text)))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import expressions as X
 from palimpsest.operators import conversation as C
+from palimpsest.operators import dedup as P
 from palimpsest.operators import graph as G
 from palimpsest.operators import retrieval as R
+from palimpsest.operators import similarity as Y
 from palimpsest.operators import versions as V
 from palimpsest.operators.components import components
 from palimpsest.operators.lineage import written
@@ -728,15 +730,41 @@ def ver_apply_ops(s, d):
     return V.apply_operations(memory, ops)[0].withColumn("evidence", F.array_join("evidence", ","))
 
 
-@query("ddp_semantic", f"WITH RECURSIVE {I.MEMORY}, p AS (SELECT a.num AS x, b.num AS y FROM mem a JOIN mem b ON a.user_id = b.user_id AND a.num < b.num WHERE list_cosine_similarity(a.embedding, b.embedding) > 0.3), u AS (SELECT x, y FROM p UNION SELECT y, x FROM p), r(n, m) AS (SELECT x, x FROM u UNION SELECT r.n, u.y FROM r JOIN u ON u.x = r.m) SELECT n AS num, min(m) AS kept FROM r GROUP BY 1")
+CHAINED = f"""{I.MEMORY}, nu AS (SELECT {I.USERS} AS n),
+ch AS (SELECT num, user_id, gmt_created AS created, CASE WHEN num // n % 4 IN (1, 2) THEN num - n END AS supersedes, embedding FROM mem, nu),
+lt AS (SELECT * FROM ch WHERE num NOT IN (SELECT supersedes FROM ch WHERE supersedes IS NOT NULL)),
+cs AS (SELECT a.num AS x, b.num AS y, a.user_id, list_cosine_similarity(a.embedding, b.embedding) AS score FROM lt a JOIN lt b ON a.user_id = b.user_id AND a.num < b.num),
+u AS (SELECT x, y FROM cs WHERE score > 0.3 UNION SELECT y, x FROM cs WHERE score > 0.3), r(n, m) AS (SELECT x, x FROM u UNION SELECT r.n, u.y FROM r JOIN u ON u.x = r.m),
+gr AS (SELECT n AS num, min(m) AS grp FROM r GROUP BY 1),
+kp AS (SELECT grp, coalesce(min_by(num, (created, num)) FILTER (supersedes IS NOT NULL), min_by(num, (created, num))) AS kept, count(supersedes) AS heads FROM gr JOIN lt USING (num) GROUP BY 1),
+gn AS (SELECT num, supersedes, kept, CASE WHEN heads > 1 THEN 'earliest_chain_head' WHEN heads = 1 THEN 'chain_head' ELSE 'earliest_gmt' END AS reason FROM gr JOIN kp USING (grp) JOIN lt USING (num) WHERE num <> kept),
+bd(num, kept) AS (SELECT supersedes, kept FROM gn WHERE supersedes IS NOT NULL UNION SELECT ch.supersedes, bd.kept FROM bd JOIN ch USING (num) WHERE ch.supersedes IS NOT NULL)"""
+
+
+def chained(s, d):
+    """Memory rows of which a user's second and third in each four supersede the one before."""
+    rows = I.memory(s, d)
+    n = I.users(s, d)
+    supersedes = F.when(F.floor(F.col("num") / n) % 4 >= 1, F.col("num") - n)
+    rows = rows.select("num", "user_id", F.col("gmt_created").alias("created"), F.when(F.floor(F.col("num") / n) % 4 <= 2, supersedes).alias("supersedes"), "embedding")
+    old = rows.where("supersedes is not null").select(F.col("supersedes").alias("num"), F.lit(False).alias("last")).distinct()
+    return rows.join(old.hint("merge"), "num", "left").select(*rows.columns, F.coalesce("last", F.lit(True)).alias("is_latest"))
+
+
+@query("ddp_semantic", f"WITH RECURSIVE {CHAINED} SELECT num, kept, reason FROM gn UNION ALL SELECT num, min(kept), 'chain' FROM bd JOIN ch USING (num) WHERE num NOT IN (SELECT num FROM gn) GROUP BY 1")
 def ddp_semantic(s, d):
-    return V.semantic_duplicates(I.memory(s, d), 0.3)
+    return P.plan_dedup(chained(s, d), 0.3)[0]
+
+
+@query("ddp_semantic_stats", f"WITH RECURSIVE {CHAINED}, n AS (SELECT user_id, count(*) AS compared FROM lt GROUP BY 1), p AS (SELECT user_id, max(score) AS most, avg(score) AS mean FROM cs GROUP BY 1) SELECT user_id, compared, round(most, 8) AS max_cosine, round(mean, 8) AS avg_cosine FROM n LEFT JOIN p USING (user_id)")
+def ddp_semantic_stats(s, d):
+    return P.plan_dedup(chained(s, d), 0.3)[1].select("user_id", "compared", F.round("max_cosine", 8).alias("max_cosine"), F.round("avg_cosine", 8).alias("avg_cosine"))
 
 
 @query("rk_merge_decision", f"WITH {I.MEMORY}, p AS (SELECT b.num AS new_id, a.num AS old_id, a.content AS old_text, b.content AS new_text, round(list_cosine_similarity(a.embedding, b.embedding), 6) + 0.55 AS score FROM mem a JOIN mem b ON a.user_id = b.user_id AND a.num < b.num WHERE list_cosine_similarity(a.embedding, b.embedding) > 0.2), t AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, old_id DESC) AS n FROM p) SELECT new_id, old_id, CASE WHEN score >= 0.95 THEN 'duplicate' WHEN score >= 0.85 THEN 'merge' ELSE 'keep' END AS decision, CASE WHEN score < 0.95 AND score >= 0.85 THEN CASE WHEN length(new_text) > 1.2 * length(old_text) THEN 'new' WHEN contains(old_text, new_text) THEN 'old' ELSE 'new' END END AS text_of FROM t WHERE n = 1")
 def rk_merge_decision(s, d):
     mem = I.memory(s, d)
-    pairs = V.similar_pairs(mem, 0.2).select(F.col("b").alias("new_id"), F.col("a").alias("old_id"), (F.round("score", 6) + 0.55).alias("score"))
+    pairs = Y.similar_pairs(mem, 0.2).select(F.col("b").alias("new_id"), F.col("a").alias("old_id"), (F.round("score", 6) + 0.55).alias("score"))
     pairs = pairs.join(mem.select(F.col("num").alias("old_id"), F.col("content").alias("old_text")), "old_id").join(mem.select(F.col("num").alias("new_id"), F.col("content").alias("new_text")), "new_id")
     return R.merge_decision(pairs).select("new_id", "old_id", "decision", "text_of")
 

@@ -13,16 +13,18 @@ from palimpsest.functions import expressions as X
 from palimpsest.operators import clusters as K
 from palimpsest.operators import entities as E
 from palimpsest.operators import retrieval as R
-from palimpsest.operators import versions as V
+from palimpsest.operators import similarity as Y
 from palimpsest.plans.registry import query
 from palimpsest.sources import inputs as I
 
-POINTS = "pt AS (SELECT vec_id AS num, vec_id % 20 AS user_id, label, embedding::DOUBLE[] AS embedding FROM embeddings)"
+#: A user has about 200 vectors at any size.
+OWNERS = "(SELECT greatest(20, count(*) // 200) FROM embeddings)"
+POINTS = f"pt AS (SELECT vec_id AS num, vec_id % {OWNERS} AS user_id, label, embedding::DOUBLE[] AS embedding FROM embeddings)"
 PAIRS = "pr AS (SELECT a.num AS a, b.num AS b, round(list_cosine_similarity(a.embedding, b.embedding), 9) AS score FROM pt a JOIN pt b ON a.user_id = b.user_id AND a.num < b.num)"
 
 
 def points(s, d):
-    return I.table(s, d, "embeddings").select(F.col("vec_id").alias("num"), (F.col("vec_id") % 20).alias("user_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    return I.table(s, d, "embeddings").select(F.col("vec_id").alias("num"), (F.col("vec_id") % I.users(s, d, "embeddings")).alias("user_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 @query(
@@ -34,7 +36,7 @@ def points(s, d):
 )
 def clu_dense(s, d):
     rows = points(s, d)
-    pairs = V.similar_pairs(rows, 0.0).where(F.round("score", 9) >= 0.2)
+    pairs = Y.similar_pairs(rows, 0.2 - 1e-8).where(F.round("score", 9) >= 0.2)
     return K.dense(rows, pairs.select("a", "b"), 4)
 
 
@@ -46,13 +48,13 @@ def clu_dbscan(s, d):
 @query("ddp_greedy")
 def ddp_greedy(s, d):
     rows = points(s, d)
-    return K.first_kept(rows, V.similar_pairs(rows, 0.25, inclusive=True))
+    return K.first_kept(rows, Y.similar_pairs(rows, 0.25, inclusive=True))
 
 
 @query("ddp_batch", f"WITH RECURSIVE {POINTS}, p AS (SELECT a.num AS x, b.num AS y FROM pt a JOIN pt b ON a.user_id = b.user_id AND a.label = b.label AND a.num < b.num WHERE list_cosine_similarity(a.embedding, b.embedding) > 0.2), u AS (SELECT x, y FROM p UNION SELECT y, x FROM p), r(n, m) AS (SELECT x, x FROM u UNION SELECT r.n, u.y FROM r JOIN u ON u.x = r.m) SELECT n AS num, min(m) AS kept FROM r GROUP BY 1")
 def ddp_batch(s, d):
     """A user's facts with one label came in one batch; the first of each group of like ones stays."""
-    return V.semantic_duplicates(points(s, d).withColumn("user_id", F.concat_ws("-", "user_id", "label")), 0.2)
+    return Y.similar_groups(points(s, d), 0.2, by=("user_id", "label")).withColumnRenamed("group", "kept")
 
 
 @query("clu_skip", f"WITH {POINTS} SELECT user_id, CASE WHEN count_if(label < 2) = 0 THEN 'no_facts' WHEN count_if(label < 2) < 4 THEN 'no_clusters' END AS reason FROM pt GROUP BY 1")
@@ -88,7 +90,8 @@ def clu_schema_recall(s, d):
 
 # schemas with two vectors: the vector of an id, and that of the id half the table away
 
-SCHEMAS = """sc AS (SELECT a.vec_id AS node, a.vec_id % 10 AS user_id, a.embedding::DOUBLE[] AS con, b.embedding::DOUBLE[] AS beh FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + (SELECT count(*) // 2 FROM embeddings)),
+DOMAINS = OWNERS.replace("20", "10")
+SCHEMAS = f"""sc AS (SELECT a.vec_id AS node, a.vec_id % {DOMAINS} AS user_id, a.embedding::DOUBLE[] AS con, b.embedding::DOUBLE[] AS beh FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + (SELECT count(*) // 2 FROM embeddings)),
 abs AS (SELECT node AS src, node + 10 AS dst FROM sc WHERE node % 7 = 0 UNION ALL SELECT node, 1000000 + node % 3 FROM sc WHERE node % 5 = 0)"""
 CLUSTERED = f"""{SCHEMAS}, p AS (SELECT a.node AS x, b.node AS y FROM sc a JOIN sc b ON a.user_id = b.user_id AND a.node < b.node WHERE list_cosine_similarity(a.beh, b.beh) > 0.25 AND list_cosine_similarity(a.con, b.con) < 0.1),
 f AS (SELECT x, y FROM p WHERE NOT EXISTS (FROM abs WHERE (src = x AND dst = y) OR (src = y AND dst = x)) AND NOT EXISTS (FROM abs m JOIN abs n USING (dst) WHERE m.src = x AND n.src = y)),
@@ -99,7 +102,7 @@ def schemas(s, d):
     e = I.table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     half = e.agg(F.floor(F.count("*") / 2).alias("half"))
     later = e.join(F.broadcast(half)).select((F.col("vec_id") - F.col("half")).alias("node"), F.col("e").alias("behaviour"))
-    return e.select(F.col("vec_id").alias("node"), (F.col("vec_id") % 10).alias("user_id"), F.col("e").alias("content")).join(later, "node")
+    return e.select(F.col("vec_id").alias("node"), (F.col("vec_id") % I.users(s, d, "embeddings", 10)).alias("user_id"), F.col("e").alias("content")).join(later, "node")
 
 
 def abstracted(s, d):
@@ -133,13 +136,13 @@ def jn_cores(s, d):
     return K.cores(I.table(s, d, "supplier").select(F.col("s_suppkey").alias("node")), edges)
 
 
-BEH = f"""WITH {SCHEMAS}, {I.REQUESTS}, h AS (SELECT query_id, node, round(list_cosine_similarity(query_vector, beh), 6) AS score FROM req JOIN sc ON sc.user_id = query_id % 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM h)"""
+BEH = f"""WITH {SCHEMAS}, {I.REQUESTS}, h AS (SELECT query_id, node, round(list_cosine_similarity(query_vector, beh), 6) AS score FROM req JOIN sc ON sc.user_id = query_id % {DOMAINS}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM h)"""
 
 
 @query("top_beh", f"{BEH} SELECT query_id, node, round(1 - score, 6) AS distance, rank FROM r WHERE rank <= 5")
 def top_beh(s, d):
     rows = schemas(s, d).select("user_id", F.col("node").alias("node_id"), F.col("behaviour").alias("embedding"))
-    asked = I.requests(s, d).withColumn("user_id", F.col("query_id") % 10)
+    asked = I.requests(s, d).withColumn("user_id", F.col("query_id") % I.users(s, d, "embeddings", 10))
     hits = R.vector_hits(asked, rows, -1.0).withColumn("score", F.round("score", 6))
     return R.top(hits, 5).select("query_id", F.col("node_id").alias("node"), F.round(1 - F.col("score"), 6).alias("distance"), "rank")
 
@@ -177,13 +180,13 @@ def ent_unlink(s, d):
     return E.unlinked(index(s, d), gone).groupBy("user_id", "entity_id").agg(F.count("*").alias("n_links"))
 
 
-HITS = f"""{INDEX}, {I.REQUESTS}, eh AS (SELECT query_id, pt.user_id, num AS entity_id, round(list_cosine_similarity(query_vector, embedding), 6) AS similarity FROM req JOIN pt ON pt.user_id = query_id % 20 WHERE num IN (SELECT entity_id FROM ix)),
+HITS = f"""{INDEX}, {I.REQUESTS}, eh AS (SELECT query_id, pt.user_id, num AS entity_id, round(list_cosine_similarity(query_vector, embedding), 6) AS similarity FROM req JOIN pt ON pt.user_id = query_id % {OWNERS} WHERE num IN (SELECT entity_id FROM ix)),
 et AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entity_id) AS nth FROM eh WHERE similarity >= 0.15) WHERE nth <= 500)"""
 
 
 def hits(s, d, known):
     vectors = points(s, d).withColumnRenamed("num", "entity_id").join(known.select("entity_id").distinct().hint("merge"), "entity_id", "left_semi")
-    return E.entity_hits(I.requests(s, d).withColumn("user_id", F.col("query_id") % 20), vectors, 0.15)
+    return E.entity_hits(I.requests(s, d).withColumn("user_id", F.col("query_id") % I.users(s, d, "embeddings")), vectors, 0.15)
 
 
 @query("top_entities", f"WITH RECURSIVE {HITS} SELECT query_id, entity_id, similarity FROM et")

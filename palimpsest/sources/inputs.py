@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Layers of memory. Fixed values.
@@ -31,6 +31,15 @@ def start(days: str = "2024-01-01"):
     return F.to_timestamp(F.lit(f"{days} 00:00:00"))
 
 
+#: Users of the derived tables: a user has about 200 rows at any size.
+USERS = "(SELECT greatest(20, count(*) // 200) FROM documents)"
+
+
+def users(spark: SparkSession, sf_dir: str, name: str = "documents", least: int = 20) -> Column:
+    """USERS, as a scalar subquery."""
+    return table(spark, sf_dir, name).agg(F.greatest(F.lit(least), F.expr("count(*) div 200"))).scalar()
+
+
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document that has a vector."""
     n = F.col("doc_id")
@@ -40,7 +49,7 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         n.alias("num"),
         F.concat(F.lit("m"), n).alias("node_id"),
-        F.concat(F.lit("u"), n % 20).alias("user_id"),
+        F.concat(F.lit("u"), n % users(spark, sf_dir)).alias("user_id"),
         F.concat(F.lit("a"), n % 3).alias("agent_id"),
         F.concat(F.lit("s"), n % 7).alias("session_id"),
         layer.alias("layer"),
@@ -55,8 +64,8 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MEMORY = """mem AS (
-  SELECT doc_id AS num, 'm' || doc_id AS node_id, 'u' || (doc_id % 20) AS user_id, 'a' || (doc_id % 3) AS agent_id, 's' || (doc_id % 7) AS session_id,
+MEMORY = f"""mem AS (
+  SELECT doc_id AS num, 'm' || doc_id AS node_id, 'u' || (doc_id % {USERS}) AS user_id, 'a' || (doc_id % 3) AS agent_id, 's' || (doc_id % 7) AS session_id,
          CASE doc_id % 10 WHEN 0 THEN 'l0_basic_info' WHEN 1 THEN 'l6_schema' WHEN 2 THEN 'l7_intention' WHEN 3 THEN 'l3_summary' WHEN 4 THEN 'l4_identity' WHEN 5 THEN 'l1_raw' ELSE 'l2_fact' END AS layer,
          CASE WHEN doc_id % 11 = 0 THEN 'superseded' ELSE 'active' END AS status, doc_id % 13 <> 0 AS is_latest, text AS content, [source, lang] AS tags,
          TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS gmt_created, (doc_id % 7)::INT AS access_count,
@@ -69,11 +78,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search request for each benchmark item."""
     i = F.col("item_id")
     rows = table(spark, sf_dir, "benchmark").join(table(spark, sf_dir, "embeddings"), F.col("vec_id") == i)
-    return rows.select(i.alias("query_id"), F.concat(F.lit("u"), i % 20).alias("user_id"), F.col("text").alias("query_text"), F.col("embedding").cast("array<double>").alias("query_vector"))
+    return rows.select(i.alias("query_id"), F.concat(F.lit("u"), i % users(spark, sf_dir)).alias("user_id"), F.col("text").alias("query_text"), F.col("embedding").cast("array<double>").alias("query_vector"))
 
 
-REQUESTS = """req AS (
-  SELECT item_id AS query_id, 'u' || (item_id % 20) AS user_id, text AS query_text, embedding::DOUBLE[] AS query_vector
+REQUESTS = f"""req AS (
+  SELECT item_id AS query_id, 'u' || (item_id % {USERS}) AS user_id, text AS query_text, embedding::DOUBLE[] AS query_vector
   FROM benchmark JOIN embeddings ON vec_id = item_id)"""
 
 
