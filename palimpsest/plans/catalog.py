@@ -13,7 +13,9 @@ from palimpsest.operators import retrieval as R
 from palimpsest.operators import similarity as Y
 from palimpsest.operators import versions as V
 from palimpsest.operators.components import components
+from palimpsest.operators.intervals import as_of
 from palimpsest.operators.lineage import written
+from palimpsest.operators.orderstats import order_statistics
 from palimpsest.plans.registry import QUERIES, SQL, query  # noqa: F401
 from palimpsest.sources import inputs as I
 from palimpsest.streaming import jobs as S
@@ -138,10 +140,11 @@ def flt_ops_log(s, d):
     return I.operations(s, d).where("user_id = 'u7' and op in ('ADD', 'DELETE')").select("id", "op", "memory_id").orderBy("id").limit(50)
 
 
-@query("flt_valid_asof", f"WITH {I.VERSIONS} SELECT node, owner FROM ver WHERE at_ <= TIMESTAMP '1996-01-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1996-01-01')")
+@query("flt_valid_asof", f"WITH {I.VERSIONS}, q AS (SELECT DISTINCT date_trunc('quarter', o_orderdate)::TIMESTAMP AS as_of FROM orders) SELECT node, owner, as_of FROM ver JOIN q ON at_ <= as_of AND (valid_until IS NULL OR valid_until > as_of)")
 def flt_valid_asof(s, d):
-    t = F.to_timestamp(F.lit("1996-01-01"))
-    return I.versions(s, d).where((F.col("at") <= t) & (F.col("valid_until").isNull() | (F.col("valid_until") > t))).select("node", "owner")
+    """The versions that were valid at the beginning of each quarter."""
+    quarters = I.table(s, d, "orders").select(F.date_trunc("quarter", "o_orderdate").alias("as_of")).distinct()
+    return as_of(I.versions(s, d), quarters, "at", "valid_until", "as_of").select("node", "owner", "as_of")
 
 
 @query("flt_min_score", f"WITH {VEC} SELECT query_id, node_id FROM vec WHERE score >= 0.25")
@@ -306,13 +309,11 @@ def agg_inventory(s, d):
 
 @query("agg_latency", f"WITH {I.OPERATIONS} SELECT op, count(*) AS n, round(sum(elapsed_ms), 4) AS total, round(avg(elapsed_ms), 6) AS mean, min(elapsed_ms) AS least, max(elapsed_ms) AS most, list_sort(list(elapsed_ms))[count(*) // 2 + 1] AS p50, CASE WHEN count(*) >= 20 THEN list_sort(list(elapsed_ms))[floor(0.95 * count(*))::INT + 1] ELSE max(elapsed_ms) END AS p95 FROM ops GROUP BY 1")
 def agg_latency(s, d):
-    # ranks by counts of equal values, not by gathering a group into one array
-    rows = I.operations(s, d).groupBy("op", "elapsed_ms").agg(F.count("*").alias("c"))
-    up_to = F.sum("c").over(Window.partitionBy("op").orderBy("elapsed_ms"))
-    rows = rows.withColumn("up_to", up_to).withColumn("n", F.sum("c").over(Window.partitionBy("op")))
-    at = lambda place: F.min(F.when(F.col("up_to") > place, F.col("elapsed_ms")))
-    out = rows.groupBy("op", "n").agg(F.round(F.sum(F.col("elapsed_ms") * F.col("c")), 4).alias("total"), F.min("elapsed_ms").alias("least"), F.max("elapsed_ms").alias("most"), F.round(F.sum(F.col("elapsed_ms") * F.col("c")) / F.max("n"), 6).alias("mean"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(0.95 * F.col("n"))).alias("high"))
-    return out.select("op", "n", "total", "mean", "least", "most", "p50", F.when(F.col("n") >= 20, F.col("high")).otherwise(F.col("most")).alias("p95"))
+    rows = I.operations(s, d)
+    n = F.col("n")
+    ranks = order_statistics(rows, ["op"], "elapsed_ms", {"p50": F.floor(n / 2), "high": F.floor(0.95 * n)})
+    sums = rows.groupBy(F.col("op").alias("of")).agg(F.round(F.sum("elapsed_ms"), 4).alias("total"), F.round(F.avg("elapsed_ms"), 6).alias("mean"), F.min("elapsed_ms").alias("least"), F.max("elapsed_ms").alias("most"))
+    return ranks.join(sums.hint("merge"), F.col("op") == F.col("of")).select("op", "n", "total", "mean", "least", "most", "p50", F.when(n >= 20, F.col("high")).otherwise(F.col("most")).alias("p95"))
 
 
 @query("agg_minute_metrics", "SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
