@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -45,3 +46,40 @@ def appended(batches: list[DataFrame], name: str) -> DataFrame:
     for batch in batches:
         batch.write.mode("append").parquet(path)
     return first.sparkSession.read.schema(first.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, place: str):
+    """Hadoop's file system of a place, and the place as its path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def folders(spark: SparkSession, place: str) -> list[str]:
+    """Names of the folders in a place; none if it isn't there."""
+    fs, path = file_system(spark, place)
+    return sorted(x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory()) if fs.exists(path) else []
+
+
+def size_of(spark: SparkSession, place: str) -> int:
+    """Bytes of all files in a place."""
+    fs, path = file_system(spark, place)
+    return fs.getContentSummary(path).getLength()
+
+
+def removed(spark: SparkSession, place: str) -> None:
+    """Deletes a folder that this library has written."""
+    fs, path = file_system(spark, place)
+    fs.delete(path, True)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """The session with some settings, and afterwards with its own again."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from palimpsest.operators import similarity as Y
 from palimpsest.operators import versions as V
 from palimpsest.operators.components import components
 from palimpsest.operators.intervals import as_of
-from palimpsest.operators.lineage import written
+from palimpsest.operators.lineage import shared_dir, written
 from palimpsest.operators.orderstats import order_statistics
 from palimpsest.plans.registry import QUERIES, SQL, query  # noqa: F401
 from palimpsest.sources import inputs as I
@@ -778,6 +780,13 @@ def st_minute(s, d):
     return S.drained(S.minute_metrics(S.events(s, d)), "minutes").withColumn("total", F.round("total", 4))
 
 
+@query("st_minute_merged", "SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('minute', ts) > (SELECT date_trunc('minute', max(ts)) - INTERVAL 7 DAY FROM events) GROUP BY 1, 2")
+def st_minute_merged(s, d):
+    """Minutes of the last seven days, whatever batches their events come in."""
+    place = f"{shared_dir(s)}/minutes-{uuid.uuid4().hex}"
+    return S.merged_minutes(S.events(s, d), place).withColumn("total", F.round("total", 4))
+
+
 MARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"
 
 
@@ -798,9 +807,20 @@ def st_dedup(s, d):
     return S.drained(S.first_inserts(S.events(s, d).unionByName(again), "event_id"), "inserts")
 
 
-@query("st_buffer", SQL["st_buffer_batch"].replace("SELECT * FROM f", "SELECT conv_id, batch, n_lines, n_user, first_turn FROM f"))
+SAID = "said AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'user') AS role, text, TIMESTAMP '2024-01-01' + conv_id * INTERVAL 30 MINUTE + coalesce(turn, 0) * INTERVAL 1 MINUTE AS at_ FROM conversations WHERE trim(text) <> '')"
+
+
+@query("st_buffer", f"""WITH {SAID}, d AS (SELECT *, strftime(at_, '%Y-%m-%d') AS day FROM said),
+r AS (SELECT *, floor((sum((role = 'user')::INT) OVER w - (role = 'user')::INT) / 2)::BIGINT AS batch FROM d WINDOW w AS (PARTITION BY conv_id, day ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT conv_id, day, batch, count(*) AS n_lines, count_if(role = 'user') AS n_user, min(turn) AS first_turn, string_agg('[' || role || ']: ' || text, chr(10) ORDER BY turn, role, text) AS said FROM r GROUP BY 1, 2, 3)
+SELECT concat_ws('::', 'u' || conv_id % 20, 'default_agent', 's' || conv_id, day) AS buffer_key, batch, CASE WHEN n_user >= 2 THEN 'ready' ELSE 'day end' END AS reason, n_lines, n_user, first_turn, sha256(said) AS said FROM f
+WHERE n_user >= 2 OR day::TIMESTAMP + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(at_)) - INTERVAL 10 MINUTE FROM said)""")
 def st_buffer(s, d):
-    return S.drained(S.buffered(S.table_stream(s, d, "conversations.parquet"), 2), "buffer").drop("lines")
+    """Half an hour for each conversation."""
+    rows = S.table_stream(s, d, "conversations.parquet")
+    at = F.timestamp_seconds(F.unix_timestamp(I.start()) + F.col("conv_id") * 1800 + F.coalesce("turn", F.lit(0)) * 60)
+    turns = rows.select(F.concat(F.lit("u"), F.col("conv_id") % 20).alias("user_id"), F.lit(None).cast("string").alias("agent_id"), F.concat(F.lit("s"), "conv_id").alias("session_id"), "turn", "role", "text", at.alias("at"))
+    return S.drained(S.buffered(turns, 2), "buffer").withColumn("said", F.sha2(F.array_join("lines", "\n"), 256)).drop("lines")
 
 
 @query("st_expire", "SELECT event_id, CASE event_type WHEN 'click' THEN 'l2_fact' WHEN 'view' THEN 'l1_raw' WHEN 'error' THEN CASE WHEN ts + INTERVAL 1 DAY < TIMESTAMP '2024-01-10' THEN 'l2_fact' ELSE 'l7_intention' END ELSE 'l3_summary' END AS layer, ts < TIMESTAMP '2024-01-10' - CASE event_type WHEN 'click' THEN 2000 WHEN 'view' THEN 500 ELSE 9000 END * INTERVAL 1 MINUTE AS gone FROM events")

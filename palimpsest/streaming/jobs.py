@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
-from palimpsest.operators.lineage import shared_dir, written
+from palimpsest.operators.lineage import file_system, folders, removed, settings, shared_dir, size_of, written
 from palimpsest.operators.versions import changed_rows
 
 
@@ -48,31 +50,122 @@ def first_inserts(stream: DataFrame, key: str, late: str = "1 hour") -> DataFram
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def buffered(turns: DataFrame, size: int = 10) -> DataFrame:
-    """(conv_id, batch, n_lines, n_user, first_turn, lines) each time `size` user turns of a conversation have come together.
+#: What comes out of a buffer.
+READY = "buffer_key string, batch long, reason string, n_lines long, n_user long, first_turn long, lines array<string>"
+
+
+class Buffer(StatefulProcessor):
+    """Lines of a key until there are enough. The key is (user, agent, session, day)."""
+
+    def __init__(self, size: int, keep: int, most: int):
+        self.size, self.keep, self.most = size, keep, most
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "batch long, n_user long")
+        self.lines = handle.getListState("lines", "turn long, role string, line string")
+
+    def fired(self, key, reason: str, batch: int, lines: list) -> tuple:
+        return "::".join(map(str, key)), batch, reason, len(lines), sum(r == "user" for _, r, _ in lines), lines[0][0], [x for _, _, x in lines]
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch, n_user = (int(x) for x in self.counts.get()) if self.counts.exists() else (0, 0)
+        # turns of one trigger come in any order; a key has those of one session and day
+        new = pd.concat(list(rows)).sort_values(["turn", "role", "text"])
+        held, added, out = None, [], []
+        for turn, role, text in zip(new["turn"], new["role"], new["text"]):
+            added.append((int(turn), role, f"[{role}]: {text}"))
+            n_user += role == "user"
+            if held is None and (n_user >= self.size or len(added) >= self.most):
+                held = [(int(t), r, x) for t, r, x in self.lines.get()]
+            if held is not None and (n_user >= self.size or len(held) + len(added) >= self.most):
+                lines = held + added
+                out.append(self.fired(key, "ready" if n_user >= self.size else "full", batch, lines))
+                batch, held, added = batch + 1, lines[len(lines) - self.keep :] if self.keep else [], []
+                n_user = sum(r == "user" for _, r, _ in held)
+        if held is not None:
+            self.lines.put(held + added) if held + added else self.lines.clear()
+        elif added:
+            self.lines.appendList(added)
+        self.counts.update((batch, int(n_user)))
+        end = int((pd.Timestamp(key[-1]) + pd.Timedelta(days=1)).timestamp() * 1000)
+        if end not in list(self.handle.listTimers()):
+            self.handle.registerTimer(end)
+        yield pd.DataFrame(out, columns=["buffer_key", "batch", "reason", "n_lines", "n_user", "first_turn", "lines"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        lines = [(int(t), r, x) for t, r, x in self.lines.get()]
+        batch = int(self.counts.get()[0]) if self.counts.exists() else 0
+        self.lines.clear()
+        self.counts.clear()
+        rest = [self.fired(key, "day end", batch, lines)] if lines else []
+        yield pd.DataFrame(rest, columns=["buffer_key", "batch", "reason", "n_lines", "n_user", "first_turn", "lines"])
+
+    def close(self) -> None:
+        pass
+
+
+def buffered(turns: DataFrame, size: int = 10, keep: int = 0, most: int = 1000, late: str = "10 minutes") -> DataFrame:
+    """READY rows of turns(user_id, agent_id, session_id, turn, role, text, at): each time `size` user turns of one user, agent, session and day have come together, or `most` lines.
+
+    Other turns wait with them. The last `keep` lines of a batch stay for the
+    next one (keep < size). What a day leaves is given out when the watermark
+    passes its end, and its state goes then; a key's state never holds `most`
+    lines. Null owners have default names, and blank texts are no lines. State
+    needs the RocksDB provider, under which drained() runs the job.
+    """
+    owner = [F.coalesce("user_id", F.lit("")).alias("user_id"), F.coalesce("agent_id", F.lit("default_agent")).alias("agent_id"), F.coalesce("session_id", F.lit("default_session")).alias("session_id")]
+    rows = turns.where("trim(text) <> ''").select(*owner, F.date_format("at", "yyyy-MM-dd").alias("day"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), "text", "at").withWatermark("at", late)
+    return rows.groupBy("user_id", "agent_id", "session_id", "day").transformWithStateInPandas(Buffer(size, keep, most), READY, "append", "eventTime")
+
 
-    Other turns wait with them. What is left stays in the state for the next
-    trigger. Turns of one trigger are taken in order; a conversation is as long
-    as one session, and its state holds fewer than `size` user turns.
+def merged_minutes(stream: DataFrame, place: str, keep: str = "7 days", most_parts: int = 8) -> DataFrame:
+    """Counts and sums of each minute and event type over all runs into `place`, of the minutes within `keep` of the newest one.
+
+    Each batch writes its own sums as a part, so a batch that is replayed
+    replaces what it wrote. Several parts of a minute add up. Over `most_parts`
+    parts are merged into one, without the minutes that are too old; parts are
+    deleted a batch later, when the batch that merged them can't come again.
+    Events of one minute may come in any batch or run, at any time.
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, frames, state: GroupState):
-        batch, first, n_user, lines = state.get if state.exists else (0, -1, 0, [])
-        lines, out = list(lines), []
-        for row in pd.concat(list(frames)).sort_values("turn").itertuples():
-            first = row.turn if not lines else first
-            lines.append(f"[{row.role}]: {row.text}")
-            n_user += row.role == "user"
-            if n_user == size:
-                out.append((key[0], batch, len(lines), n_user, first, lines))
-                batch, first, n_user, lines = batch + 1, -1, 0, []
-        state.update((batch, int(first), int(n_user), lines))
-        yield pd.DataFrame(out, columns=["conv_id", "batch", "n_lines", "n_user", "first_turn", "lines"])
-
-    fields = "batch long, first_turn long, n_user long, lines array<string>"
-    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInPandasWithState(step, "conv_id long, batch long, n_lines long, n_user long, first_turn long, lines array<string>", fields, "append", GroupStateTimeout.NoTimeout)
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        merged, parts = minute_parts(spark, place)
+        if number <= max(merged, default=-1):
+            return
+        sums = batch.groupBy(F.date_trunc("minute", "ts").alias("minute"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        sums.write.mode("overwrite").parquet(f"{place}/parts/batch={number}")
+        for old in parts:
+            if old <= max(merged, default=-1):
+                removed(spark, f"{place}/parts/batch={old}")
+        for old in merged[:-1]:
+            removed(spark, f"{place}/merged/batch={old}")
+        if len([p for p in parts if p > max(merged, default=-1)]) >= most_parts:
+            minutes(spark, place, keep).write.mode("overwrite").parquet(f"{place}/merged/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return minutes(spark, place, keep)
+
+
+def minute_parts(spark: SparkSession, place: str) -> tuple[list[int], list[int]]:
+    """Numbers of the merged parts that are whole, and of the single ones."""
+    fs, path = file_system(spark, place)
+    whole = lambda kind, f: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{place}/{kind}/{f}/_SUCCESS"))
+    return tuple(sorted(int(f.split("=")[1]) for f in folders(spark, f"{place}/{kind}") if f.startswith("batch=") and whole(kind, f)) for kind in ("merged", "parts"))
+
+
+def minutes(spark: SparkSession, place: str, keep: str = "7 days") -> DataFrame:
+    """The table in `place`: (minute, event_type, n, total)."""
+    merged, parts = minute_parts(spark, place)
+    paths = [f"{place}/merged/batch={merged[-1]}"] if merged else []
+    paths += [f"{place}/parts/batch={p}" for p in parts if p > max(merged, default=-1)]
+    schema = "minute timestamp, event_type string, n long, total double"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*paths)
+    newest = rows.agg(F.max("minute") - F.expr(f"interval {keep}")).scalar()
+    return rows.where(F.col("minute") > newest).groupBy("minute", "event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def expired(stream: DataFrame, windows: DataFrame, now: str, minutes: int) -> DataFrame:
@@ -87,56 +180,132 @@ def expired(stream: DataFrame, windows: DataFrame, now: str, minutes: int) -> Da
     return rows.withColumn("gone", gone).withColumn("layer", F.when(over, "l2_fact").otherwise(F.col("layer"))).drop("minutes")
 
 
-def applied(stream: DataFrame, memory: DataFrame, name: str, place: str | None = None, buckets: int = 64) -> DataFrame:
+#: Rows of a bucket before buckets are doubled, parts of a bucket before they are merged, batches between looks at the number of rows.
+ROWS, PARTS, LOOK = 50_000, 6, 16
+
+
+def bucket_of(node: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
+
+
+def table_folder(spark: SparkSession, place: str) -> tuple[str, int]:
+    """The folder of the table with the most buckets that is whole, and how many these are."""
+    fs, _ = file_system(spark, place)
+    found = [int(f.split("=")[1]) for f in folders(spark, place) if f.startswith("buckets=")]
+    whole = [n for n in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{place}/buckets={n}/_SUCCESS"))]
+    return (f"{place}/buckets={max(whole)}", max(whole)) if whole else ("", 0)
+
+
+def parts_of(spark: SparkSession, folder: str, buckets: list[int], before: int) -> dict[int, list[int]]:
+    """Versions of each bucket that count before a version: the last whole one (odd numbers) and the changes since (even ones)."""
+    out = {}
+    for b in buckets:
+        found = sorted(v for f in folders(spark, f"{folder}/bucket={b}") if (v := int(f.split("=")[1])) < before)
+        base = max((v for v in found if v % 2), default=found[0] if found else 0)
+        out[b] = [v for v in found if v >= base]
+    return out
+
+
+def newest(spark: SparkSession, folder: str, memory: DataFrame, parts: dict[int, list[int]]) -> DataFrame:
+    """The rows of these parts, each in its last version, with their bucket."""
+    paths = [f"{folder}/bucket={b}/version={v}" for b, versions in parts.items() for v in versions]
+    schema = StructType([*memory.schema.fields]).add("bucket", "integer").add("version", "long")
+    if not paths:
+        return spark.createDataFrame([], schema).drop("version")
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(*paths)
+    last = F.row_number().over(Window.partitionBy("bucket", "node_id").orderBy(F.col("version").desc()))
+    return rows.withColumn("nth", last).where("nth = 1").drop("nth", "version")
+
+
+def put_parts(rows: DataFrame, folder: str, version: int) -> None:
+    """Writes rows with their bucket as parts of a version, replacing those of that version alone."""
+    rows.withColumn("version", F.lit(version)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(folder)
+
+
+def doubled(spark: SparkSession, place: str, memory: DataFrame, version: int, rows: int) -> None:
+    """Writes the table anew with more buckets, once buckets hold over `rows` rows on average: every row is moved about once for each doubling of the table."""
+    folder, buckets = table_folder(spark, place)
+    n = spark.read.parquet(folder).count()
+    if n <= buckets * rows:
+        return
+    more = buckets
+    while n > more * rows / 2:
+        more *= 2
+    every = [int(f.split("=")[1]) for f in folders(spark, folder) if f.startswith("bucket=")]
+    now = newest(spark, folder, memory, parts_of(spark, folder, every, version)).drop("bucket")
+    now.withColumn("bucket", bucket_of("node_id", more)).withColumn("version", F.lit(-1)).repartition("bucket").write.mode("overwrite").partitionBy("bucket", "version").parquet(f"{place}/buckets={more}")
+
+
+def applied(stream: DataFrame, memory: DataFrame, name: str, place: str | None = None, buckets: int = 8, rows: int = ROWS, parts: int = PARTS) -> DataFrame:
     """The memory table after all operations of the stream, applied batch by batch.
 
     Rows lie in buckets by their node_id. A batch reads the buckets that its
-    targets are in and writes the rows that it changes or makes, as its own part
-    of a log; the last part that has a row counts. A batch that is replayed
-    overwrites its part. A job that goes on in a later run names the same place.
-    compacted() makes one part of the log.
+    targets are in, and of each the last whole version and the few changes since;
+    it writes the rows that it changes or makes. A bucket of over `parts` parts
+    is written whole again, and its older parts go with the next batch. Buckets
+    are doubled as the table grows, so one holds about `rows` rows at any size:
+    what a batch reads follows its targets, not the table or its history
+    (`reads` in the place says how many bytes each batch had to read). A batch
+    that is replayed replaces its own parts. A job that goes on in a later run
+    names the same place.
     """
     spark = memory.sparkSession
     place = place or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    bucket = lambda node: F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
-    memory.withColumn("bucket", bucket("node_id")).write.mode("ignore").partitionBy("bucket").parquet(f"{place}/table/batch=-1")
+    if not table_folder(spark, place)[1]:
+        memory.withColumn("bucket", bucket_of("node_id", buckets)).withColumn("version", F.lit(-1)).repartition("bucket").write.mode("overwrite").partitionBy("bucket", "version").parquet(f"{place}/buckets={buckets}")
 
     def put(batch: DataFrame, number: int) -> None:
+        version = 2 * number
+        if number % LOOK == 0:
+            doubled(spark, place, memory, version, rows)
+        folder, n = table_folder(spark, place)
         batch = written(batch, "batch")
-        # a number for each bucket at most
-        near = [r[0] for r in batch.where("target_id is not null").select(bucket("target_id")).distinct().collect()]
-        before = newest(spark, place, memory, number).where(F.col("bucket").isin(near)).join(batch.select(F.col("target_id").alias("node_id")).distinct().hint("merge"), "node_id", "left_semi")
+        # no more numbers than there are targets
+        near = [r[0] for r in batch.where("target_id is not null").select(bucket_of("target_id", n)).distinct().collect()]
+        read = parts_of(spark, folder, near, version)
+        before = newest(spark, folder, memory, read).join(batch.select(F.col("target_id").alias("node_id")).distinct().hint("merge"), "node_id", "left_semi")
         changed, rejected = changed_rows(written(before.select(memory.columns), "targets"), batch)
-        changed.withColumn("bucket", bucket("node_id")).write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/table/batch={number}")
+        changed = written(changed.withColumn("bucket", bucket_of("node_id", n)), "changed")
+        put_parts(changed, folder, version)
         rejected.write.mode("overwrite").parquet(f"{place}/rejected/batch={number}")
+        size = sum(size_of(spark, f"{folder}/bucket={b}/version={v}") for b, versions in read.items() for v in versions)
+        spark.createDataFrame([(sum(map(len, read.values())), size)], "parts long, bytes long").coalesce(1).write.mode("overwrite").parquet(f"{place}/reads/batch={number}")
+        touched = [r[0] for r in changed.select("bucket").distinct().collect()]
+        now = parts_of(spark, folder, touched, version + 1)
+        for b in touched:
+            # what an earlier batch has replaced can't be needed again
+            for f in folders(spark, f"{folder}/bucket={b}"):
+                if int(f.split("=")[1]) < min(parts_of(spark, folder, [b], version)[b], default=-1):
+                    removed(spark, f"{folder}/bucket={b}/{f}")
+        full = {b: v for b, v in now.items() if len(v) > parts}
+        if full:
+            put_parts(newest(spark, folder, memory, full), folder, version + 1)
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
-    return newest(spark, place, memory).select(memory.columns)
+    return current(spark, place, memory)
 
 
-def newest(spark: SparkSession, place: str, memory: DataFrame, before: int | None = None) -> DataFrame:
-    """The rows of the log in `place`, each in its last version, of batches before a number; with their bucket."""
-    rows = spark.read.schema(StructType([*memory.schema.fields]).add("bucket", "integer").add("batch", "long")).parquet(f"{place}/table")
-    rows = rows if before is None else rows.where(F.col("batch") < before)
-    last = F.row_number().over(Window.partitionBy("bucket", "node_id").orderBy(F.col("batch").desc()))
-    return rows.withColumn("nth", last).where("nth = 1").drop("nth", "batch")
+def current(spark: SparkSession, place: str, memory: DataFrame) -> DataFrame:
+    """The table in `place` as it is now."""
+    folder, _ = table_folder(spark, place)
+    every = [int(f.split("=")[1]) for f in folders(spark, folder) if f.startswith("bucket=")]
+    return newest(spark, folder, memory, parts_of(spark, folder, every, 1 << 62)).select(memory.columns)
 
 
-def compacted(spark: SparkSession, place: str, memory: DataFrame) -> str:
-    """A new place with the newest rows as the only part of its log, from which a job may go on."""
-    new = f"{place}-{uuid.uuid4().hex}"
-    newest(spark, place, memory).write.partitionBy("bucket").parquet(f"{new}/table/batch=-1")
-    return new
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
+def drained(stream: DataFrame, name: str, place: str | None = None) -> DataFrame:
     """Runs the stream over all that is there, in append mode into Parquet in the shared folder, and reads the result.
 
+    A job that goes on in a later run names the same place.
+
     Windows that the watermark has not passed at the end stay open in the
     checkpoint, for the next run to close.
     """
     spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    place = place or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+        query = stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")

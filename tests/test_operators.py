@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from palimpsest.functions import expressions as X
 from palimpsest.operators import citations, clusters, entities, fusion, operations, profiles
 from palimpsest.plans import catalog
-from palimpsest.streaming import jobs
 
 
 def cos(a, b):
@@ -159,17 +158,3 @@ def test_weights_and_patches(spark):
 def test_operations_as_a_stream_come_to_the_same_table(spark, sf_dir):
     a, b = (catalog.QUERIES[n](spark, sf_dir) for n in ("ver_apply_ops", "st_ops_apply"))
     assert a.exceptAll(b.select(a.columns)).isEmpty() and b.select(a.columns).exceptAll(a).isEmpty()
-
-
-def test_buffer_goes_on_in_the_next_batch(spark, tmp_path):
-    src, schema = str(tmp_path / "in"), "conv_id long, turn long, role string, text string"
-
-    def run(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        out = jobs.buffered(spark.readStream.schema(schema).parquet(src), 2)
-        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(out.schema).parquet(str(tmp_path / "out"))
-
-    assert run([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "z")]).count() == 0
-    rows = run([(1, 3, "assistant", "d"), (1, 2, "user", "c")]).collect()
-    assert [(r["conv_id"], r["batch"], r["first_turn"], r["lines"]) for r in rows] == [(1, 0, 0, ["[user]: a", "[assistant]: b", "[user]: c"])]
