@@ -52,12 +52,12 @@ _loose_email = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}+(?: ?(?:@|\(at\)|\[at\]) ?
 _loose_hex = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _loose = [
     (1, re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?\. ?| ?\[\.\] ?)[0-9]{1,3}(?: ?\. ?| ?\[\.\] ?)[0-9]{1,3}(?: ?\. ?| ?\[\.\] ?)[0-9]{1,3}(?![0-9])")),
-    (2, re.compile(r"(?<![0-9])[0-9]{4}([ ./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")),
+    (2, re.compile(r"(?<![0-9])[0-9]{4}([ ./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?:\1[0-9]{1,3})?(?![0-9])")),
     (3, re.compile(r"(?<![0-9+])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+.-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")),
     (3, re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")),
 ]
-_hints = {"email": re.compile(r"mail|contact|write|@", re.I), "ip": re.compile(r"\bip\b|host|server|address|addr", re.I), "card": re.compile(r"card|visa|pay|credit|account", re.I), "phone": re.compile(r"phone|call|tel|mobile|fax|dial|\+", re.I)}
+_hints = {"email": re.compile(r"mail|contact|write|@", re.I), "ip": re.compile(r"\bip\b|host|server|address|addr", re.I), "card": re.compile(r"card|visa|pay|credit|account", re.I), "phone": re.compile(r"phone|call|tel|mobile|fax|dial", re.I)}
 _digits_only = re.compile(r"[^0-9]")
 
 
@@ -135,6 +135,9 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
         max((int(g) for g in groups if len(g) < 6), default=-1),
         len(parts[-1]),
         float(parts[-1].isalpha()),
+        float(parts[-1].islower()),
+        float(". " in span),
+        float(len(groups) == 4 and all(len(g) < 4 and int(g) < 256 for g in groups)),
         float(bool(_hints[KINDS[kind]].search(before))),
         float(bool(_hints[KINDS[kind]].search(after))),
         float(before[-1:].isalnum()),
@@ -185,19 +188,64 @@ def decoys(span: str, kind: int, pick: random.Random) -> list[str]:
     return [f"{n(100, 1000)}.{n(100, 1000)}.{n(100, 1000)}", f"{n(1900, 2030)} {n(1900, 2030)} {n(1900, 2030)}", f"{n(100, 1000)}-{n(1000, 10_000)}", f"{n(10, 100)}/{n(100, 1000)}/{n(1900, 2030)}", f"{n(100, 1000)} {n(100, 1000)} {n(100, 1000)}", f"+{n(1, 10)} {n(100, 1000)}.{n(100, 1000)}.{n(1000, 10_000)}.{n(10, 1000)}.{n(10, 100)}"]
 
 
+#: What may stand before personal data, or before what only looks like it.
+LEADS = (
+    ("write to ", "my email is ", "contact: ", "mail "),
+    ("host ", "the server at ", "ip ", "address: "),
+    ("card ", "pay with ", "visa ", "account "),
+    ("call ", "phone: ", "my mobile is ", "tel. "),
+)
+ENDS = ("com", "org", "net", "info", "de", "io", "co.uk")
+#: Made-up spans of each kind that are learnt from beside those of the table.
+SEEDS = 40
+
+
+def word(pick: random.Random, least: int = 2, most: int = 9) -> str:
+    return "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pick.randrange(least, most + 1)))
+
+
+def made_up(kind: int, pick: random.Random) -> str:
+    """A span of the kind that the base pattern takes."""
+    n = lambda a, b: pick.randrange(a, b)
+    if kind == 0:
+        name = pick.choice((word(pick), f"{word(pick)}.{word(pick)}", f"{word(pick)}{n(1, 1000)}", f"{word(pick, 1, 1)}_{word(pick)}"))
+        return f"{name}@{word(pick, 3)}.{pick.choice(ENDS)}"
+    if kind == 1:
+        return ".".join(str(n(0, 256)) for _ in range(4))
+    if kind == 2:
+        digits = "".join(str(n(0, 10)) for _ in range(pick.choice((15, 15, 15, 14, 18))))
+        return next(digits + str(c) for c in range(10) if luhn(digits + str(c)))
+    return f"+{n(1, 100)} ({n(200, 1000)}) {n(200, 1000)}-{n(1000, 10_000)}"
+
+
+def seeds(pick: random.Random, each: int = SEEDS) -> list[str]:
+    """Texts that hold one made-up span each."""
+    sentence = lambda: " ".join(word(pick, 1) for _ in range(6))
+    return [f"{sentence()} {made_up(k, pick)}{pick.choice((' ', ', ', '. '))}{sentence()}" for k in range(len(KINDS)) for _ in range(each)]
+
+
 def examples(text: str, pick: random.Random) -> list[tuple[list[float], int, float]]:
-    """(features, place of the span, target) of proposals for the base spans of a text rewritten, and for decoys in their stead."""
+    """(features, place of the span, target) of proposals for the base spans of a text rewritten, and for decoys in their stead.
+
+    Every form, of the span and of a made-up one, and every decoy stands once in
+    the surroundings as they are, and once behind words that announce its kind.
+    """
     out = []
     for place, (s, k, e) in enumerate(base_spans(text)):
-        span, before, after = text[s:e], text[max(0, s - 2 * CONTEXT) : s], text[e : e + 2 * CONTEXT]
-        at = len(before)
-        for form, behind in [(span, ""), *((f, "") for f in loose_forms(span, k)), *swallowed_forms(span, k, pick)]:
-            near = before + form + behind + after
-            # what is inside of the form is only a part of it
-            out += [(features(near, p, q, r), place, float((p, r) == (at, at + len(form)))) for p, q, r in proposals(near) if q == k and at <= p and r <= at + len(form)]
-        for form in decoys(span, k, pick):
-            near = before + form + after
-            out += [(features(near, p, q, r), place, 0.0) for p, q, r in proposals(near) if p < at + len(form) and r > at]
+        span, after = text[s:e], text[e : e + 2 * CONTEXT]
+        other = made_up(k, pick)
+        right = [(span, ""), *((f, "") for f in loose_forms(span, k)), *((f, "") for f in loose_forms(other, k)), *swallowed_forms(span, k, pick)]
+        wrong = decoys(span, k, pick)
+        for lead in ("", pick.choice(LEADS[k])):
+            before = text[max(0, s - 2 * CONTEXT) : s] + lead
+            at = len(before)
+            for form, behind in right:
+                near = before + form + behind + after
+                # what is inside of the form is only a part of it
+                out += [(features(near, p, q, r), place, float((p, r) == (at, at + len(form)))) for p, q, r in proposals(near) if q == k and at <= p and r <= at + len(form)]
+            for form in wrong:
+                near = before + form + after
+                out += [(features(near, p, q, r), place, 0.0) for p, q, r in proposals(near) if p < at + len(form) and r > at]
     return out
 
 
@@ -258,10 +306,11 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def fitted(df: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> Judge:
-    """Trees from about sample_docs texts that hold a digit or an @, chosen by a hash of them, and at most sample_spans examples, in order of that hash.
+    """Trees from about sample_docs texts that hold a digit or an @, chosen by a 64-bit hash of them, at most sample_spans examples, in order of that hash, and those of made-up spans.
 
-    Copies of a text count as often as they occur. If there is no text, or fewer
-    than 50 examples, nothing is ever added to base spans.
+    A text counts once, however often it comes, and is read whole whatever its
+    length. Null and empty texts, and an empty table, add nothing to the made-up
+    spans.
     """
     marked = in_short_batches(df).select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
 
@@ -270,12 +319,12 @@ def fitted(df: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sa
         return s.map(lambda t: [[*x, place, y] for x, place, y in examples(t, random.Random(len(t)))])
 
     share = min(1.0, sample_docs / max(df.count(), 1))
-    hashed = marked.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
+    hashed = marked.withColumn("h", F.xxhash64("text")).where(F.col("h") <= min(int(share * 2**64), 2**64 - 1) - 2**63).dropDuplicates(["h"])
     rows = hashed.select("h", F.explode(of("text")).alias("e")).orderBy("h", "e").limit(sample_spans).collect()
-    if not rows:
-        return Judge(np.zeros((0, 1)), np.zeros(0))
-    kept = np.array([r["e"] for r in rows], float)
-    spans = np.array([r["h"] for r in rows], np.int64) % 1_000_003 + kept[:, -2].astype(np.int64)
+    pick = random.Random(9)
+    rows = [(r["h"], r["e"]) for r in rows] + [(n, [*x, place, y]) for n, t in enumerate(seeds(pick)) for x, place, y in examples(t, pick)]
+    kept = np.array([e for _, e in rows], float)
+    spans = np.array([h for h, _ in rows], np.int64) % 1_000_003 + kept[:, -2].astype(np.int64)
     return Judge(kept[:, :-2], kept[:, -1], spans)
 
 
@@ -300,8 +349,8 @@ def with_spans(df: DataFrame, text: str = "text", judge: Judge | None = None, re
     """df with n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added) and redacted (null unless asked for).
 
     Null and empty texts have no spans; a null text stays null when redacted.
-    Texts of any length are read whole. A table in which too little is found to
-    fit trees on gets the base spans alone. Columns of these names are replaced.
+    Texts of any length are read whole. Repeated rows have equal spans, and an
+    empty table gives an empty table. Columns of these names are replaced.
     """
     name = fresh(df, "pii")
     out = in_short_batches(df).withColumn(name, found(F.col(text), judge or fitted(df, text), redact))

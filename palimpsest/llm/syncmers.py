@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tables import documents
+from palimpsest.llm.tables import documents, written
+from palimpsest.operators.ordering import running
 
 #: Tokens of an anchor, tokens of an inner substring, anchors of a fingerprint.
 K, S, HASHES = 7, 2, 64
@@ -24,6 +25,8 @@ K, S, HASHES = 7, 2, 64
 RUN = 17
 #: Tokens by which neighbours on a diagonal may be shifted.
 BAND = 16
+#: Types of ids that need no numbers of their own.
+INTEGERS = ("bigint", "int", "smallint", "tinyint")
 #: Documents for each range of ids, about.
 RANGE_DOCS = 4096
 #: Ranges at most, and ids at most that are cut into several ranges.
@@ -126,8 +129,7 @@ def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", extra:
     `extra` are columns made from the column `text`; each moves along with it, as
     <name> and next_<name>.
 
-    Ids are integers or the same as text; other ids count as null. They are cut
-    into ranges of some thousand rows, and each range is sorted by itself, so
+    Ids are integers (compared() numbers others). They are cut into ranges of some thousand rows, and each range is sorted by itself, so
     texts move once. A copy of each range's first row is put at the end of the
     range before, which is all that one range needs of another. Rows that share
     an id follow one another by a hash of their text; an id of very many rows is
@@ -136,8 +138,7 @@ def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", extra:
     its own next.
     """
     extra = extra or {}
-    value = F.col(doc_id) if dict(df.dtypes)[doc_id] in ("bigint", "int", "smallint", "tinyint") else F.expr(f"try_cast(`{doc_id}` as bigint)")
-    rows = df.select(value.cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ids = rows.select("doc_id")
     n = ids.count()
     size = max(RANGE_DOCS, n // RANGES)
@@ -187,10 +188,20 @@ def compared(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     Null and empty texts have the empty fingerprint, of likeness 1 to another
     empty one and 0 to any other. Texts of any length are read whole. Repeated
     rows have equal fingerprints. An empty table gives an empty table. Other
-    columns of df are not read. See with_next for ids and ties.
+    columns of df are not read. Ids may have any type that can be ordered, and
+    come back as they are; those that aren't integers are numbered in their
+    order first. See with_next for ties and null ids.
     """
+    kind = df.schema[doc_id].dataType
+    if kind.simpleString() not in INTEGERS:
+        ids = written(running(df.select(F.col(doc_id).alias("named")).where("named is not null").distinct().withColumn("all", F.lit(0)), ["all"], [F.col("named")], {"place": F.lit(1).cast("long")}, "ids"), "ids")
+        rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+        rows = rows.join(ids.hint("merge"), F.col("id") == F.col("named"), "left").select("place", "text")
+        out = compared(rows, "place", "text", k, s, hashes).withColumnRenamed("doc_id", "at")
+        out = out.join(ids.hint("merge"), F.col("at") == F.col("place"), "left")
+        return out.select(F.col("named").alias("doc_id"), *(c for c in out.columns if c not in ("at", "all", "named", "place")))
     rows = with_next(df, doc_id, text, {"own": sketch(F.col("text"), k, s, hashes)})
-    rows = rows.select("doc_id", "text", edited(F.col("text"), F.col("next_text")).alias("edited"), "own", "next_own")
+    rows = rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "text", edited(F.col("text"), F.col("next_text")).alias("edited"), "own", "next_own")
     rows = rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

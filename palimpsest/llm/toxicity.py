@@ -126,7 +126,7 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), *(F.expr(e).cast("double").alias(f) for e, f in zip(categories.values(), flags)))
     known = known.groupBy("id").agg(*(F.max(f).alias(f) for f in flags)).where(F.coalesce(*flags).isNotNull())
     share = min(1.0, sample_docs / max(labels.count(), 1))
-    known = written(known.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("id"), "id").limit(2 * sample_docs), "labelled")
+    known = written(known.where(F.xxhash64(F.lit(17), "id") <= min(int(share * 2**64), 2**64 - 1) - 2**63).orderBy(F.xxhash64("id"), "id").limit(2 * sample_docs), "labelled")
 
     @F.pandas_udf("array<string>")
     def words(s: pd.Series) -> pd.Series:
