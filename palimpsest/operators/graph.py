@@ -26,13 +26,35 @@ def neighbours(anchors: DataFrame, edges: DataFrame, active: DataFrame) -> DataF
     return out.union(back).groupBy("node").agg(F.min("kind").alias("kind")).join(anchors, "node", "left_anti").join(active.select("node"), "node", "left_semi")
 
 
-def expand(anchors: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(node, hop): all nodes within `hops` edges of an anchor, and the first hop that reaches them."""
-    seen = written(anchors.select("node", F.lit(0).alias("hop")).distinct(), "reached")
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+def first_of(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
+    """The `most` rows of smallest `order` for each value of `by`; partial limits keep a value of many rows from gathering."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("nth") <= most).drop("nth")
+
+
+def expand(anchors: DataFrame, edges: DataFrame, topics: DataFrame, hops: int = 2, cap: int = 50) -> DataFrame:
+    """(query_id, node, hop): what each request reaches within `hops` from its anchors (query_id, node, hop 0), and the first hop that does.
+
+    edges(src, dst) count either way, and two nodes of one topic, in
+    topics(node, topic), are a hop apart. A hop adds the `cap` smallest nodes
+    that are new to a request, and the next one starts from these. Topics stay
+    rows between nodes: a hop goes to the topics of its front, once each, and
+    from there to their members. A node's or topic's members beyond those that
+    could be among the `cap` new ones, whatever the request has seen, are never
+    joined, so a hub costs a request no more than that.
+    """
+    seen = written(anchors.select("query_id", "node", F.lit(0).alias("hop")).distinct(), "reached")
+    largest = seen.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    most = largest + cap * hops
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src is not null and dst is not null").distinct()
+    both = written(first_of(both, "src", "dst", most), "near")
+    tagged = written(topics.select("node", "topic").where("node is not null and topic is not null").distinct(), "topics")
+    members = written(first_of(tagged, "topic", "node", most), "members")
     for hop in range(1, hops + 1):
-        front = seen.where(F.col("hop") == hop - 1).join(both.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node")).distinct()
-        seen = written(seen.unionByName(front.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))), "reached")
+        front = seen.where(F.col("hop") == hop - 1).select("query_id", "node")
+        direct = front.join(both.hint("merge"), F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"))
+        shared = front.join(tagged.hint("merge"), "node").select("query_id", "topic").distinct().join(members.hint("merge"), "topic").select("query_id", "node")
+        new = direct.union(shared).distinct().join(seen.select("query_id", "node").hint("merge"), ["query_id", "node"], "left_anti")
+        seen = written(seen.unionByName(first_of(new, "query_id", "node", cap).withColumn("hop", F.lit(hop))), "reached")
     return seen
 
 

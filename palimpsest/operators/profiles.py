@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.lineage import written
+
 
 def folded(diffs: DataFrame) -> DataFrame:
     """(user_id, key, value): the latest value of each key in diffs(user_id, key, value, seq)."""
@@ -57,22 +59,45 @@ def copied_id(node: Column, target: str) -> Column:
     return F.when(node.isNotNull(), F.sha2(F.concat_ws(":", F.lit(target), node), 256))
 
 
-def cloned(memory: DataFrame, edges: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame]:
-    """The source user's rows and edges once more for the target user, under new ids, with links remapped and access counts at 0.
+def remapped(rows: DataFrame, key: str, column: str, ids: DataFrame) -> DataFrame:
+    """rows with the ids in an array column replaced by those in ids(old, new), in their order; other entries stay, and so do null and empty arrays. `key` tells rows apart."""
+    each = rows.select(key, F.posexplode(column).alias("place", "entry"))
+    known = each.join(ids.hint("merge"), F.col("entry") == F.col("old"), "left")
+    back = known.groupBy(F.col(key).alias("of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("new", "entry").alias("entry")))), lambda x: x["entry"]).alias("entries"))
+    return rows.join(back.hint("merge"), F.col(key) == F.col("of"), "left").withColumn(column, F.coalesce("entries", column)).drop("of", "entries")
+
+
+def replaced(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """rows with the ids in a column replaced by those in ids(old, new); others stay."""
+    return rows.join(ids.hint("merge"), F.col(column) == F.col("old"), "left").withColumn(column, F.coalesce("new", column)).drop("old", "new")
+
+
+def cloned(memory: DataFrame, edges: DataFrame, log: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The source user's rows, edges and log entries once more for the target user: new ids everywhere, access counts at 0.
 
-    New ids follow from the target and the old id, so a second run gives the
-    same. Edges with an end of another user are not copied. The target must
-    have no rows yet.
+    memory(node_id, user_id, supersedes, superseded_by, evidence array,
+    access_count, ...), edges(src, dst), log(id, user_id, memory_id,
+    old_memory_id, supersedes array, ...). New ids follow from the target and
+    the old id, so a second run gives the same. Ids of the source user's rows
+    are replaced wherever they stand, inside arrays in their place; what is no
+    such id (a turn, a row of someone else) stays. Edges with an end of another
+    user are not copied. The target must have no rows yet.
     """
     if not memory.where(F.col("user_id") == target).isEmpty():
         raise ValueError(f"{target} has rows already")
     own = memory.where(F.col("user_id") == source)
-    fixed = {"user_id": F.lit(target), "access_count": F.lit(0)}
-    links = ("node_id", "supersedes", "superseded_by")
-    rows = own.select(*(copied_id(F.col(c), target).alias(c) if c in links else fixed[c].alias(c) if c in fixed else F.col(c) for c in memory.columns))
-    ids = own.select("node_id")
-    kept = edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-    return rows, kept.select(copied_id(F.col("src"), target).alias("src"), copied_id(F.col("dst"), target).alias("dst"))
+    ids = written(own.select(F.col("node_id").alias("old"), copied_id(F.col("node_id"), target).alias("new")).distinct(), "new-ids")
+    rows = remapped(own, "node_id", "evidence", ids)
+    for c in ("supersedes", "superseded_by", "node_id"):
+        rows = replaced(rows, c, ids)
+    rows = rows.withColumn("user_id", F.lit(target)).withColumn("access_count", F.lit(0)).select(memory.columns)
+    ends = ids.select(F.col("old").alias("src"), F.col("new").alias("new_src")), ids.select(F.col("old").alias("dst"), F.col("new").alias("new_dst"))
+    links = edges.join(ends[0].hint("merge"), "src").join(ends[1].hint("merge"), "dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
+    said = remapped(log.where(F.col("user_id") == source), "id", "supersedes", ids)
+    for c in ("memory_id", "old_memory_id"):
+        said = replaced(said, c, ids)
+    said = said.withColumn("user_id", F.lit(target)).withColumn("id", copied_id(F.col("id").cast("string"), target))
+    return rows, links, said.select(log.columns)
 
 
 def purged(memory: DataFrame, topics: DataFrame, edges: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -19,6 +19,87 @@ def scoped(memory: DataFrame, status: str | None = "active", latest: bool | None
     return out.where(F.col("layer").isin(layers)) if layers else out
 
 
+def round_robin(rows: DataFrame, by: str, within: str, order: str, most: int) -> DataFrame:
+    """`most` rows of each value of `by`, with their place `nth`: the first in `order` of each of its values of `within`, then the second ones, and so on.
+
+    No more than `most` rows of a stratum can be among them. Both limits stand
+    right on the windows, so every task keeps `most` rows of a stratum before
+    anything is shuffled, and none gets a stratum's share of the rows.
+    """
+    first = rows.withColumn("round", F.row_number().over(Window.partitionBy(by, within).orderBy(order))).where(F.col("round") <= most)
+    return first.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy("round", order))).where(F.col("nth") <= most).drop("round")
+
+
+def tiered(memory: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(query_id, and the columns of memory): the rows that each scope may see.
+
+    scopes(query_id, keys array, key, users array, agents array, layers array,
+    statuses array, latest, created_after). A scope with keys sees the rows of
+    these isolation_keys; one without, but with a key, those of that key; one
+    with neither those of its users and agents, where no users or no agents
+    means any, but one that names nobody sees nothing. Beyond that empty layers
+    mean any, empty statuses `active` alone, a null latest the latest rows, and
+    rows count that were created after created_after, if it is given. Each tier
+    is an equi-join of its own. memory has isolation_key, user_id, agent_id,
+    layer, status, is_latest, gmt_created.
+    """
+    some = lambda c: F.size(F.coalesce(c, F.array())) > 0
+    rest = ["query_id", "layers", "statuses", "latest", "created_after"]
+    first = scopes.where(some("keys")).select(*rest, F.explode(F.array_distinct("keys")).alias("isolation_key"))
+    second = scopes.where(~some("keys") & F.col("key").isNotNull()).select(*rest, F.col("key").alias("isolation_key"))
+    third = scopes.where(~some("keys") & F.col("key").isNull())
+    by_user = third.where(some("users")).select(*rest, "agents", F.explode(F.array_distinct("users")).alias("user_id"))
+    by_agent = third.where(~some("users") & some("agents")).select(*rest, F.explode(F.array_distinct("agents")).alias("agent_id"))
+    columns = [*rest, *memory.columns]
+    out = memory.join(first.unionByName(second).hint("merge"), "isolation_key").select(columns)
+    out = out.unionByName(memory.join(by_user.hint("merge"), "user_id").where(~some("agents") | F.array_contains("agents", F.col("agent_id"))).select(columns))
+    out = out.unionByName(memory.join(by_agent.hint("merge"), "agent_id").select(columns))
+    statuses = F.when(some("statuses"), F.col("statuses")).otherwise(F.array(F.lit("active")))
+    out = out.where((~some("layers") | F.array_contains("layers", F.col("layer"))) & F.array_contains(statuses, F.col("status")))
+    out = out.where((F.col("is_latest") == F.coalesce("latest", F.lit(True))) & (F.col("created_after").isNull() | (F.col("gmt_created") > F.col("created_after"))))
+    return out.select("query_id", *memory.columns)
+
+
+def visibility(scope: Column, user: Column, workspace: Column, branch: Column) -> Column:
+    """What a context must have for a row of the scope: a struct to be joined by equality; null where nobody sees the row."""
+    at = lambda kind, *parts: F.struct(F.lit(kind).alias("kind"), *((p if p is not None else F.lit("")).alias(n) for p, n in zip([*parts, None, None][:3], ("a", "b", "c"))))
+    known = F.when(scope.isin("user", "global"), at("user", user)).when((scope == "project") & workspace.isNotNull(), at("project", user, workspace)).when((scope == "strict") & workspace.isNotNull() & branch.isNotNull(), at("strict", user, workspace, branch))
+    return F.when(user.isNotNull(), known)
+
+
+def visible(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(query_id, and the columns of rows): the code memories that each context may see.
+
+    rows(user_id, scope, workspace, branch, ...); contexts(query_id, user_id,
+    workspace, branch). A user sees their own rows of scope user and global
+    always, project ones in the same workspace, strict ones in the same
+    workspace and branch, and no others. The three rules are one equi-join: a
+    context has up to three keys, a row has one.
+    """
+    c = F.col
+    keyed = rows.withColumn("seen_by", visibility(c("scope"), c("user_id"), c("workspace"), c("branch"))).where("seen_by is not null")
+    keys = F.array(*(visibility(F.lit(scope), c("user_id"), c("workspace"), c("branch")) for scope in ("user", "project", "strict")))
+    asked = contexts.select("query_id", F.explode(keys).alias("sees")).where("sees is not null")
+    return keyed.join(asked.hint("merge"), c("seen_by") == c("sees")).select("query_id", *rows.columns)
+
+
+def code_hits(contexts: DataFrame, keys: DataFrame, least: float, most: int, over: int = 4) -> DataFrame:
+    """(query_id, node_id, score, rank): the `most` code memories with the best key for each request, of those that it may see.
+
+    keys(node_id, user_id, scope, workspace, branch, embedding) has a row for
+    each key of a memory; contexts also have query_vector. The boundary comes
+    first; then `over` times as many keys are fetched, since several may be of
+    one memory, each memory counts with its best one, those below `least` go,
+    and the rest is cut.
+    """
+    met = visible(keys, contexts).join(contexts.select("query_id", "query_vector").hint("merge"), "query_id")
+    scored = met.select("query_id", "node_id", F.round(cosine(F.col("query_vector"), F.col("embedding")), 6).alias("score"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node_id"))
+    fetched = scored.withColumn("nth", nth).where(F.col("nth") <= most * over)
+    best = fetched.groupBy("query_id", "node_id").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+    return top(best, most).select("query_id", "node_id", "score", "rank")
+
+
 def request_scopes(requests: DataFrame) -> DataFrame:
     """(query_id, isolation_key, error) for requests(query_id, user_id, agents array, rooms array).
 

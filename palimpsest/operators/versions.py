@@ -72,25 +72,32 @@ def judged_operations(memory: DataFrame, operations: DataFrame) -> DataFrame:
     superseded it in between. What depends on the target's own making is
     followed up by doubling, so a chain of n operations takes log n joins.
     """
-    kinds = F.col("op").isin("UPDATE", "SUPERSEDE")
+    aimed = F.coalesce(F.col("op").isin("UPDATE", "SUPERSEDE") & F.col("target_id").isNotNull() & F.col("seq").isNotNull(), F.lit(False))
+    # ADDs, however many, need no target, so they take no part in what follows
+    rest = operations.where(~aimed)
+    wrong = F.when(~F.coalesce(F.col("op").isin("ADD", "UPDATE", "SUPERSEDE"), F.lit(False)), "unknown operation").when((F.col("op") != "ADD") | F.col("seq").isNull(), "target is missing")
+    rest = rest.select(*operations.columns, wrong.alias("reason"), F.lit(None).cast("long").alias("up"), F.when(F.col("op") == "ADD", F.col("new_id")).alias("root"))
     stored = memory.select(F.col("node_id").alias("stored"), F.col("superseded_by").isNotNull().alias("shut"))
     makers = operations.where("op in ('ADD', 'SUPERSEDE')").groupBy(F.col("new_id").alias("made")).agg(F.min("seq").alias("maker"))
-    ops = operations.join(stored.hint("merge"), F.col("target_id") == F.col("stored"), "left").join(makers.hint("merge"), F.col("target_id") == F.col("made"), "left")
-    reason = F.when(~F.col("op").isin("ADD", "UPDATE", "SUPERSEDE"), "unknown operation").when(kinds & F.col("stored").isNull() & (F.col("made").isNull() | (F.col("maker") >= F.col("seq"))), "target is missing").when(kinds & F.col("shut"), "target is superseded already")
-    ops = ops.withColumn("reason", reason)
-    closing = F.min(F.when((F.col("op") == "SUPERSEDE") & F.col("reason").isNull(), F.col("seq"))).over(Window.partitionBy("target_id"))
-    late = kinds & F.col("reason").isNull() & (F.col("seq") > closing)
-    ops = ops.withColumn("reason", F.when(late, "target is superseded already").otherwise(F.col("reason")))
-    up = F.when(kinds & F.col("stored").isNull() & (F.col("maker") < F.col("seq")), F.col("maker"))
-    root = F.when(F.col("op") == "ADD", F.col("new_id")).when(F.col("stored").isNotNull(), F.col("stored"))
-    ops = written(ops.withColumn("up", up).withColumn("root", F.when(up.isNull(), root)).drop("stored", "shut", "made", "maker"), "operations")
-    while not ops.where("up is not null").isEmpty():
+    ops = operations.where(aimed).join(stored.hint("merge"), F.col("target_id") == F.col("stored"), "left").join(makers.hint("merge"), F.col("target_id") == F.col("made"), "left")
+    reason = F.when(F.col("stored").isNull() & (F.col("made").isNull() | (F.col("maker") >= F.col("seq"))), "target is missing").when(F.col("shut"), "target is superseded already")
+    ops = written(ops.withColumn("reason", reason), "aimed-operations")
+    closing = ops.where("op = 'SUPERSEDE' and reason is null").groupBy(F.col("target_id").alias("closed")).agg(F.min("seq").alias("closing"))
+    ops = ops.join(closing.hint("merge"), F.col("target_id") == F.col("closed"), "left")
+    late = F.col("reason").isNull() & (F.col("seq") > F.col("closing"))
+    up = F.when(F.col("stored").isNull() & (F.col("maker") < F.col("seq")), F.col("maker"))
+    ops = ops.select(*operations.columns, F.when(late, "target is superseded already").otherwise(F.col("reason")).alias("reason"), up.cast("long").alias("up"), F.when(up.isNull(), F.col("stored")).alias("root"))
+    ops = written(rest.unionByName(ops), "operations")
+    while True:
+        waiting = ops.where("up is not null")
+        if waiting.isEmpty():
+            return ops.drop("up")
         above = ops.select(F.col("seq").alias("above"), F.col("up").alias("next"), F.col("root").alias("next_root"), F.col("reason").isNull().alias("holds"))
-        both = ops.join(above.hint("merge"), F.col("up") == F.col("above"), "left")
-        fails = F.col("up").isNotNull() & ~F.col("holds")
+        both = waiting.join(above.hint("merge"), F.col("up") == F.col("above"), "left")
+        fails = ~F.col("holds")
         both = both.withColumn("reason", F.when(fails, "target is missing").otherwise(F.col("reason"))).withColumn("root", F.coalesce("root", "next_root"))
-        ops = written(both.withColumn("up", F.when(~fails, F.col("next"))).drop("above", "next", "next_root", "holds"), "operations")
-    return ops.drop("up")
+        both = both.withColumn("up", F.when(~fails, F.col("next"))).select(ops.columns)
+        ops = written(ops.where("up is null").unionByName(both), "operations")
 
 
 def changed_rows(memory: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -113,9 +113,33 @@ def snk_topic_tag(s, d):
 # filters
 
 
-@query("flt_scope", f"WITH {I.MEMORY} SELECT node_id, user_id, layer FROM mem WHERE {ACTIVE} AND layer IN ('l2_fact', 'l4_identity') AND gmt_created > TIMESTAMP '2024-01-01 02:00:00'")
+SCOPES = f"""{I.REQUESTS}, sc AS (SELECT query_id, CASE WHEN query_id % 4 = 0 THEN [user_id || '::a0::s1', user_id || '::a1::s2', 'u3::a2::s0'] ELSE [] END AS keys, CASE WHEN query_id % 4 <= 1 THEN user_id || '::a1::s1' END AS key,
+CASE WHEN query_id % 8 IN (2, 3, 6) THEN [user_id, 'u5'] ELSE [] END AS users, CASE WHEN query_id % 8 IN (2, 7) THEN ['a1'] ELSE [] END AS agents,
+CASE WHEN query_id % 3 = 0 THEN ['l2_fact', 'l4_identity'] ELSE [] END AS layers, CASE WHEN query_id % 5 = 0 THEN ['superseded', 'active'] ELSE [] END AS statuses, CASE WHEN query_id % 7 = 0 THEN false END AS latest, CASE WHEN query_id % 2 = 0 THEN TIMESTAMP '2024-01-01 02:00:00' END AS after_ FROM req),
+ky AS (SELECT *, concat_ws('::', user_id, agent_id, session_id) AS isolation_key FROM mem)"""
+
+
+@query("flt_scope", f"""WITH {I.MEMORY}, {SCOPES} SELECT query_id, node_id, layer FROM sc JOIN ky ON CASE WHEN len(keys) > 0 THEN list_contains(keys, isolation_key) WHEN key IS NOT NULL THEN isolation_key = key
+ELSE len(users) + len(agents) > 0 AND (len(users) = 0 OR list_contains(users, user_id)) AND (len(agents) = 0 OR list_contains(agents, agent_id)) END
+WHERE (len(layers) = 0 OR list_contains(layers, layer)) AND list_contains(CASE WHEN len(statuses) > 0 THEN statuses ELSE ['active'] END, status) AND is_latest = coalesce(latest, true) AND (after_ IS NULL OR gmt_created > after_)""")
 def flt_scope(s, d):
-    return R.scoped(I.memory(s, d), layers=["l2_fact", "l4_identity"]).where(F.col("gmt_created") > F.to_timestamp(F.lit("2024-01-01 02:00:00"))).select("node_id", "user_id", "layer")
+    """Requests of all tiers: by keys, by one key (and keys before it), by users, by users and agents, by agents."""
+    q = F.col("query_id")
+    strings = lambda *x: F.array(*(F.lit(v) if isinstance(v, str) else v for v in x)).cast("array<string>")
+    owned = lambda tail: F.concat("user_id", F.lit(tail))
+    scopes = I.requests(s, d).select(
+        "query_id",
+        F.when(q % 4 == 0, strings(owned("::a0::s1"), owned("::a1::s2"), "u3::a2::s0")).otherwise(strings()).alias("keys"),
+        F.when(q % 4 <= 1, owned("::a1::s1")).alias("key"),
+        F.when((q % 8).isin(2, 3, 6), strings(F.col("user_id"), "u5")).otherwise(strings()).alias("users"),
+        F.when((q % 8).isin(2, 7), strings("a1")).otherwise(strings()).alias("agents"),
+        F.when(q % 3 == 0, strings("l2_fact", "l4_identity")).otherwise(strings()).alias("layers"),
+        F.when(q % 5 == 0, strings("superseded", "active")).otherwise(strings()).alias("statuses"),
+        F.when(q % 7 == 0, F.lit(False)).alias("latest"),
+        F.when(q % 2 == 0, F.to_timestamp(F.lit("2024-01-01 02:00:00"))).alias("created_after"),
+    )
+    rows = I.memory(s, d).withColumn("isolation_key", F.concat_ws("::", "user_id", "agent_id", "session_id"))
+    return R.tiered(rows, scopes).select("query_id", "node_id", "layer")
 
 
 @query("flt_tags_any", f"WITH {I.MEMORY} SELECT node_id FROM mem WHERE list_has_any(tags, ['src1', 'src2', 'fr'])")
@@ -123,11 +147,27 @@ def flt_tags_any(s, d):
     return I.memory(s, d).where(F.arrays_overlap("tags", F.array(F.lit("src1"), F.lit("src2"), F.lit("fr")))).select("node_id")
 
 
-@query("flt_boundary", "SELECT p_partkey FROM part WHERE CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN p_brand = 'Brand#11' ELSE p_brand = 'Brand#11' AND p_size = 7 END")
+CONTEXTS = f"{I.REQUESTS}, cx AS (SELECT query_id, 'u' || query_id % {I.USERS} AS user_id, CASE WHEN query_id % 4 < 3 THEN 'w' || query_id % 3 END AS workspace, CASE WHEN query_id % 5 < 4 THEN 'b' || query_id % 2 END AS branch, query_vector FROM req)"
+PLACES = "CASE {0} % 5 WHEN 0 THEN 'user' WHEN 1 THEN 'global' WHEN 2 THEN 'project' WHEN 3 THEN 'strict' ELSE 'elsewhere' END AS scope, CASE WHEN {0} % 7 > 0 THEN 'w' || {0} % 3 END AS workspace, CASE WHEN {0} % 11 > 0 THEN 'b' || {0} % 2 END AS branch"
+SEEN = "r.user_id = cx.user_id AND (scope IN ('user', 'global') OR (scope = 'project' AND r.workspace = cx.workspace) OR (scope = 'strict' AND r.workspace = cx.workspace AND r.branch = cx.branch))"
+
+
+def contexts(s, d):
+    q = F.col("query_id")
+    return I.requests(s, d).select("query_id", "user_id", F.when(q % 4 < 3, F.concat(F.lit("w"), q % 3)).alias("workspace"), F.when(q % 5 < 4, F.concat(F.lit("b"), q % 2)).alias("branch"), "query_vector")
+
+
+def placed(rows, n):
+    """rows with the scope, workspace and branch that follow from a number."""
+    scope = F.when(n % 5 == 0, "user").when(n % 5 == 1, "global").when(n % 5 == 2, "project").when(n % 5 == 3, "strict").otherwise("elsewhere")
+    return rows.withColumns({"scope": scope, "workspace": F.when(n % 7 > 0, F.concat(F.lit("w"), n % 3)), "branch": F.when(n % 11 > 0, F.concat(F.lit("b"), n % 2))})
+
+
+@query("flt_boundary", f"WITH {CONTEXTS}, r AS (SELECT p_partkey, 'u' || p_partkey % {I.USERS} AS user_id, {PLACES.format('p_partkey')} FROM part) SELECT query_id, p_partkey FROM cx JOIN r ON {SEEN}")
 def flt_boundary(s, d):
-    kind = F.col("p_partkey") % 4
-    same = F.col("p_brand") == "Brand#11"
-    return I.table(s, d, "part").where(F.when(kind <= 1, True).when(kind == 2, same).otherwise(same & (F.col("p_size") == 7))).select("p_partkey")
+    """The parts, as code memories, that each request's context sees."""
+    rows = I.table(s, d, "part").select("p_partkey", F.concat(F.lit("u"), F.col("p_partkey") % I.users(s, d)).alias("user_id"))
+    return R.visible(placed(rows, F.col("p_partkey")), contexts(s, d)).select("query_id", "p_partkey")
 
 
 @query("flt_expired_window", f"WITH {I.MEMORY} SELECT node_id FROM mem LEFT JOIN (VALUES ('l2_fact', 300), ('l1_raw', 60)) w(layer, minutes) USING (layer) WHERE gmt_created < TIMESTAMP '2024-01-01 08:00:00' - coalesce(w.minutes, 200) * INTERVAL 1 MINUTE")
@@ -265,9 +305,16 @@ def jn_neighbours(s, d):
     return G.neighbours(anchors(s, d), edges(s, d), active)
 
 
-@query("jn_kbfs", f"WITH {EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), a AS (SELECT s_suppkey AS node, 0 AS hop FROM supplier WHERE s_suppkey % 25 = 0), h1 AS (SELECT DISTINCT dst AS node, 1 AS hop FROM b JOIN a ON src = node), h2 AS (SELECT DISTINCT dst AS node, 2 AS hop FROM b JOIN h1 ON src = node) SELECT node, min(hop) AS hop FROM (FROM a UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY 1")
+@query("jn_kbfs", f"""WITH {EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), tp AS (SELECT p_partkey AS node, p_brand AS topic FROM part),
+n AS (SELECT src, dst FROM b UNION SELECT x.node, y.node FROM tp x JOIN tp y USING (topic)), a AS (SELECT DISTINCT s_nationkey AS q, s_suppkey AS node FROM supplier),
+h1 AS (SELECT q, node FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY node) AS nth FROM (SELECT DISTINCT q, dst AS node FROM a JOIN n ON src = node EXCEPT FROM a)) WHERE nth <= 20),
+h2 AS (SELECT q, node FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY node) AS nth FROM (SELECT DISTINCT q, dst AS node FROM h1 JOIN n ON src = node EXCEPT FROM a EXCEPT FROM h1)) WHERE nth <= 20)
+SELECT q AS query_id, node, 0 AS hop FROM a UNION ALL SELECT q, node, 1 FROM h1 UNION ALL SELECT q, node, 2 FROM h2""")
 def jn_kbfs(s, d):
-    return G.expand(anchors(s, d), edges(s, d), 2)
+    """A request for each nation, from its suppliers over parts and brands."""
+    start = I.table(s, d, "supplier").select(F.col("s_nationkey").alias("query_id"), F.col("s_suppkey").alias("node"))
+    topics = I.table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("topic"))
+    return G.expand(start, edges(s, d), topics, 2, 20)
 
 
 @query("jn_orphan_refs", f"WITH {I.EVIDENCE} SELECT schema_id, fact_id FROM ev WHERE fact_id IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
@@ -611,11 +658,10 @@ def top_history(s, d):
     return I.operations(s, d).select("memory_id", "id", F.row_number().over(Window.partitionBy("memory_id").orderBy(F.col("created_at").desc(), F.col("id").desc())).alias("nth")).where("nth <= 3")
 
 
-@query("top_sample", f"WITH {JUDGED}, a AS (SELECT *, row_number() OVER (PARTITION BY category, doc_id % 10 ORDER BY md5(doc_id::VARCHAR)) AS round FROM judged), b AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round, md5(doc_id::VARCHAR)) AS nth FROM a) SELECT doc_id, category, nth FROM b WHERE nth <= 20")
+@query("top_sample", f"WITH {JUDGED}, a AS (SELECT *, row_number() OVER (PARTITION BY category, doc_id % 10 ORDER BY md5(doc_id::VARCHAR)) AS round FROM judged), b AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round, md5(doc_id::VARCHAR)) AS nth FROM a) SELECT doc_id, category, nth, CASE WHEN nth <= 12 THEN 'tune' ELSE 'test' END AS phase FROM b WHERE nth <= 20")
 def top_sample(s, d):
-    rows = I.table(s, d, "labels").select("doc_id", (F.col("doc_id") % 5 + 1).alias("category"), F.md5(F.col("doc_id").cast("string")).alias("h"))
-    rows = rows.withColumn("round", F.row_number().over(Window.partitionBy("category", F.col("doc_id") % 10).orderBy("h")))
-    return rows.select("doc_id", "category", F.row_number().over(Window.partitionBy("category").orderBy("round", "h")).alias("nth")).where("nth <= 20")
+    rows = I.table(s, d, "labels").select("doc_id", (F.col("doc_id") % 5 + 1).alias("category"), (F.col("doc_id") % 10).alias("conversation"), F.md5(F.col("doc_id").cast("string")).alias("h"))
+    return R.round_robin(rows, "category", "conversation", "h", 20).select("doc_id", "category", "nth", F.when(F.col("nth") <= 12, "tune").otherwise("test").alias("phase"))
 
 
 @query("set_exact_dedup", "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY lower(trim(text))")
@@ -837,7 +883,7 @@ def st_ops_apply(s, d):
     """The operations of ver_apply_ops as a stream of events."""
     op = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in I.OPS.items()))
     ops = S.events(s, d).withColumn("op", op).where("op in ('ADD', 'UPDATE', 'SUPERSEDE')")
-    target = F.when(F.col("op") != "ADD", F.concat(F.lit("m"), F.col("event_id") % 1000))
+    target = F.when(F.col("op") != "ADD", F.concat(F.lit("m"), F.col("event_id") % I.targets(s, d)))
     day = F.concat_ws("-", F.concat(F.lit("u"), "user_id"), F.date_format("ts", "yyyyMMdd"))
     ops = ops.select(F.col("event_id").alias("seq"), "op", F.concat(F.lit("n"), "event_id").alias("new_id"), target.alias("target_id"), F.concat(F.lit("text "), "event_id").alias("content"), F.array(day).alias("evidence"), F.col("ts").alias("at"))
     return S.applied(ops, stored(s, d), "memory").withColumn("evidence", F.array_join("evidence", ","))

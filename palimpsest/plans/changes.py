@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import expressions as X
@@ -9,6 +10,7 @@ from palimpsest.operators import operations as O
 from palimpsest.operators import profiles as P
 from palimpsest.operators import retrieval as R
 from palimpsest.plans import catalog as A
+from palimpsest.plans.catalog import CONTEXTS, PLACES, SEEN, contexts, placed
 from palimpsest.plans.registry import query
 from palimpsest.sources import inputs as I
 
@@ -96,26 +98,27 @@ def ver_code_keys(s, d):
     return O.replaced_keys(O.code_keys(rows), fresh)
 
 
-KEYS = f"{I.REQUESTS}, ck AS (SELECT vec_id % 50 AS memory, vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings), hit AS (SELECT query_id, memory, max(round(list_cosine_similarity(query_vector, v), 6)) AS score FROM req JOIN ck ON memory % 5 = query_id % 5 GROUP BY 1, 2), top_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory) AS rank FROM hit WHERE score >= 0.1)"
+KEYS = f"""{CONTEXTS}, r AS (SELECT vec_id // 4 AS memory, 'u' || vec_id // 4 % {I.USERS} AS user_id, {PLACES.format("(vec_id // 4)")}, embedding::DOUBLE[] AS v FROM embeddings),
+hit AS (SELECT query_id, memory, round(list_cosine_similarity(query_vector, v), 6) AS score FROM cx JOIN r ON {SEEN}), far AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory) AS nth FROM hit),
+best AS (SELECT query_id, memory, max(score) AS score FROM far WHERE nth <= {{0}} GROUP BY 1, 2), top_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory) AS rank FROM best WHERE score >= {{1}})"""
 
 
-def code_hits(s, d):
-    """Each memory's best key for the requests that may see it."""
-    keys = I.table(s, d, "embeddings").select(((F.col("vec_id") % 50) % 5).alias("scope"), (F.col("vec_id") % 50).alias("node_id"), F.col("embedding").cast("array<double>").alias("v"))
-    asked = I.requests(s, d).select("query_id", (F.col("query_id") % 5).alias("scope"), "query_vector")
-    rows = asked.join(keys, "scope").select("query_id", "node_id", F.round(X.cosine(F.col("query_vector"), F.col("v")), 6).alias("score"))
-    return rows.groupBy("query_id", "node_id").agg(F.max("score").alias("score")).where("score >= 0.1")
+def code_keys(s, d):
+    """Four keys for each code memory."""
+    n = F.floor(F.col("vec_id") / 4)
+    rows = I.table(s, d, "embeddings").select(n.alias("node_id"), F.concat(F.lit("u"), n % I.users(s, d)).alias("user_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return placed(rows, F.col("node_id"))
 
 
-@query("top_code", f"WITH {KEYS} SELECT query_id, memory, score, rank FROM top_ WHERE rank <= 10")
+@query("top_code", f"WITH {KEYS.format(40, 0.05)} SELECT query_id, memory, score, rank FROM top_ WHERE rank <= 10")
 def top_code(s, d):
-    return R.top(code_hits(s, d), 10).select("query_id", F.col("node_id").alias("memory"), "score", "rank")
+    return R.code_hits(contexts(s, d), code_keys(s, d), 0.05, 10).select("query_id", F.col("node_id").alias("memory"), "score", "rank")
 
 
-@query("jn_code_cands", f"WITH {KEYS} SELECT query_id, memory, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory) AS n FROM top_ WHERE rank <= 20) WHERE n <= 5")
+@query("jn_code_cands", f"WITH {KEYS.format(12, -1)} SELECT query_id, memory, rank FROM top_ WHERE rank <= 3")
 def jn_code_cands(s, d):
-    """Four times as many as are wanted, then the best five."""
-    return R.top(code_hits(s, d), 20).where("rank <= 5").select("query_id", F.col("node_id").alias("memory"), "rank")
+    """The three memories nearest to each draft, of the four times as many keys that are nearest."""
+    return R.code_hits(contexts(s, d), code_keys(s, d), -1.0, 3).select("query_id", F.col("node_id").alias("memory"), "rank")
 
 
 @query("top_code_tasks", "SELECT p_brand AS workspace, p_type AS task, nth FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY last DESC) AS nth FROM (SELECT p_brand, p_type, max(p_partkey) AS last FROM part GROUP BY 1, 2)) WHERE nth <= 50")
@@ -263,14 +266,25 @@ def ver_edit(s, d):
     return after.join(history.select("node_id", F.lit(True).alias("h")), "node_id", "left").select("node_id", "content", F.coalesce("h", F.lit(False)).alias("in_history"))
 
 
-@query("ver_clone", "WITH v AS (SELECT o_orderkey::VARCHAR AS node, lag(o_orderkey::VARCHAR) OVER w AS prev, 'u' || o_custkey % 10 AS u FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT sha256('copy:' || node) AS node_id, CASE WHEN prev IS NOT NULL THEN sha256('copy:' || prev) END AS supersedes, prev IS NOT NULL AS has_edge FROM v WHERE u = 'u3'")
+COPIED = """v AS (SELECT o_orderkey::VARCHAR AS node, lag(o_orderkey::VARCHAR) OVER w AS prev, lag(o_orderkey::VARCHAR, 2) OVER w AS older, lead(o_orderkey::VARCHAR) OVER w AS next_, 'u' || o_custkey % 10 AS u, o_custkey FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+c AS (SELECT *, sha256('copy:' || node) AS n1, CASE WHEN prev IS NOT NULL THEN sha256('copy:' || prev) END AS n0, CASE WHEN older IS NOT NULL THEN sha256('copy:' || older) END AS nn, CASE WHEN next_ IS NOT NULL THEN sha256('copy:' || next_) END AS n2 FROM v WHERE u = 'u3')"""
+
+
+@query("ver_clone", f"""WITH {COPIED} SELECT 'row' AS kind, n1 AS id, concat_ws('>', n0, n1, n2) AS links, concat_ws(',', nn, 'D' || o_custkey, n0, n1) AS list FROM c UNION ALL SELECT 'edge', n1, n0, NULL FROM c WHERE n0 IS NOT NULL
+UNION ALL SELECT 'log', sha256('copy:' || 'op' || node), concat_ws('>', n0, n1), concat_ws(',', n0, nn) FROM c""")
 def ver_clone(s, d):
-    """User u3's versions, with an edge from each to the one before, copied to the user `copy`."""
+    """User u3's versions, an edge from each to the one before, and the operations that made them, copied to the user `copy`."""
+    by = Window.partitionBy("owner").orderBy("at", "node")
     text = lambda c: F.col(c).cast("string")
-    rows = I.versions(s, d).select(text("node").alias("node_id"), F.concat(F.lit("u"), F.col("owner") % 10).alias("user_id"), text("supersedes").alias("supersedes"), text("superseded_by").alias("superseded_by"), F.lit(3).alias("access_count"))
+    all_ = I.versions(s, d).withColumn("older", F.lag("node", 2).over(by)).withColumn("user_id", F.concat(F.lit("u"), F.col("owner") % 10))
+    given = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
+    rows = all_.select(text("node").alias("node_id"), "user_id", text("supersedes").alias("supersedes"), text("superseded_by").alias("superseded_by"), given(text("older"), F.concat(F.lit("D"), "owner"), text("supersedes"), text("node")).alias("evidence"), F.lit(3).alias("access_count"))
     edges = rows.where("supersedes is not null").select(F.col("node_id").alias("src"), F.col("supersedes").alias("dst"))
-    new, links = P.cloned(rows, edges, "u3", "copy")
-    return new.join(links.select(F.col("src").alias("node_id"), F.lit(True).alias("e")), "node_id", "left").select("node_id", "supersedes", F.coalesce("e", F.lit(False)).alias("has_edge"))
+    log = all_.select(F.concat(F.lit("op"), text("node")).alias("id"), "user_id", text("node").alias("memory_id"), text("supersedes").alias("old_memory_id"), given(text("supersedes"), text("older")).alias("supersedes"))
+    new, links, said = P.cloned(rows, edges, log, "u3", "copy")
+    out = new.select(F.lit("row").alias("kind"), F.col("node_id").alias("id"), F.concat_ws(">", "supersedes", "node_id", "superseded_by").alias("links"), F.array_join("evidence", ",").alias("list"))
+    out = out.unionByName(links.select(F.lit("edge").alias("kind"), F.col("src").alias("id"), F.col("dst").alias("links"), F.lit(None).cast("string").alias("list")))
+    return out.unionByName(said.select(F.lit("log").alias("kind"), "id", F.concat_ws(">", "old_memory_id", "memory_id").alias("links"), F.array_join("supersedes", ",").alias("list")))
 
 
 @query("snk_graph_purge", f"WITH {I.MEMORY} SELECT num AS node_id, l_suppkey AS fact_id FROM (SELECT DISTINCT num, l_suppkey FROM mem JOIN lineitem ON l_partkey = num) JOIN mem USING (num) WHERE user_id <> 'u1'")

@@ -96,6 +96,15 @@ TURNS = "turns AS (SELECT conv_id, turn, role, text, conv_id || ':turn:' || turn
 OPS = {"click": "ADD", "view": "UPDATE", "purchase": "SUPERSEDE", "error": "DELETE", "signup": "GRAPH_ADD"}
 
 
+#: Rows that operations aim at: each has about 60 at any size.
+TARGETS = "(SELECT greatest(1000, count(*) // 60) FROM events)"
+
+
+def targets(spark: SparkSession, sf_dir: str) -> Column:
+    """TARGETS, as a scalar subquery."""
+    return table(spark, sf_dir, "events").agg(F.greatest(F.lit(1000), F.expr("count(*) div 60"))).scalar()
+
+
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in OPS.items()), F.lit("OTHER"))
     return table(spark, sf_dir, "events").select(
@@ -103,17 +112,17 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("u"), "user_id").alias("user_id"),
         F.concat_ws("-", F.concat(F.lit("u"), "user_id"), F.date_format("ts", "yyyyMMdd")).alias("request_id"),
         op.alias("op"),
-        F.concat(F.lit("m"), F.col("event_id") % 1000).alias("memory_id"),
+        F.concat(F.lit("m"), F.col("event_id") % targets(spark, sf_dir)).alias("memory_id"),
         (F.col("event_id") % 5).cast("int").alias("n_supersedes"),
         F.col("ts").alias("created_at"),
         F.col("value").alias("elapsed_ms"),
     )
 
 
-OPERATIONS = """ops AS (
+OPERATIONS = f"""ops AS (
   SELECT event_id AS id, 'u' || user_id AS user_id, 'u' || user_id || '-' || strftime(ts, '%Y%m%d') AS request_id,
          CASE event_type WHEN 'click' THEN 'ADD' WHEN 'view' THEN 'UPDATE' WHEN 'purchase' THEN 'SUPERSEDE' WHEN 'error' THEN 'DELETE' WHEN 'signup' THEN 'GRAPH_ADD' ELSE 'OTHER' END AS op,
-         'm' || (event_id % 1000) AS memory_id, (event_id % 5)::INT AS n_supersedes, ts AS created_at, value AS elapsed_ms FROM events)"""
+         'm' || (event_id % {TARGETS}) AS memory_id, (event_id % 5)::INT AS n_supersedes, ts AS created_at, value AS elapsed_ms FROM events)"""
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:

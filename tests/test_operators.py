@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against plain versions, and rules of parsing and storing on small tables."""
 
+import datetime
 import math
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import expressions as X
-from palimpsest.operators import citations, clusters, entities, fusion, operations, profiles
+from palimpsest.operators import citations, clusters, entities, fusion, graph, operations, profiles, retrieval, versions
 from palimpsest.plans import catalog
 
 
@@ -140,13 +141,58 @@ def test_references_know_only_what_was_made_before(spark):
     assert got == {1: "schema_1", 2: None, 3: "id2", 4: "id2", 5: "x"}
 
 
-def test_a_copy_needs_an_empty_target(spark):
-    rows = spark.createDataFrame([("a", "u", None, None, 1), ("b", "v", None, None, 1)], "node_id string, user_id string, supersedes string, superseded_by string, access_count int")
-    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+def test_a_copy_needs_an_empty_target_and_holds_no_old_id(spark):
+    rows = spark.createDataFrame([("a", "u", None, "c", ["D1", "b", "c", "a", "a"], 1), ("c", "u", "a", None, None, 2), ("d", "u", None, None, [], 2), ("b", "v", None, None, ["a"], 1)], "node_id string, user_id string, supersedes string, superseded_by string, evidence array<string>, access_count int")
+    edges = spark.createDataFrame([("a", "b"), ("c", "a")], "src string, dst string")
+    log = spark.createDataFrame([("1", "u", "c", "a", ["a", "x", "c"]), ("2", "v", "b", None, ["a"])], "id string, user_id string, memory_id string, old_memory_id string, supersedes array<string>")
     with pytest.raises(ValueError):
-        profiles.cloned(rows, edges, "u", "v")
-    new, links = profiles.cloned(rows, edges, "u", "w")
-    assert [(r["user_id"], r["access_count"]) for r in new.collect()] == [("w", 0)] and links.count() == 0
+        profiles.cloned(rows, edges, log, "u", "v")
+    new, links, said = profiles.cloned(rows, edges, log, "u", "w")
+    name = {k: spark.range(1).select(profiles.copied_id(F.lit(k), "w")).first()[0] for k in "acd1"}
+    got = {r["node_id"]: (r["user_id"], r["supersedes"], r["superseded_by"], r["evidence"], r["access_count"]) for r in new.collect()}
+    assert got == {name["a"]: ("w", None, name["c"], ["D1", "b", name["c"], name["a"], name["a"]], 0), name["c"]: ("w", name["a"], None, None, 0), name["d"]: ("w", None, None, [], 0)}
+    assert [tuple(r) for r in links.collect()] == [(name["c"], name["a"])]
+    assert [tuple(r) for r in said.collect()] == [(name["1"], "w", name["c"], name["a"], [name["a"], "x", name["c"]])]
+
+
+def test_scopes_by_tier(spark):
+    memory = spark.createDataFrame([(i, f"u{i % 2}", f"a{i % 3}", f"u{i % 2}::a{i % 3}", "l2_fact", "active", i != 4, datetime.datetime(2024, 1, 1 + i)) for i in range(6)], "num int, user_id string, agent_id string, isolation_key string, layer string, status string, is_latest boolean, gmt_created timestamp")
+    fields = "query_id int, keys array<string>, key string, users array<string>, agents array<string>, layers array<string>, statuses array<string>, latest boolean, created_after timestamp"
+    scopes = [(1, ["u0::a0", "u0::a0", "u1::a1"], "u0::a2", ["u1"], None, None, None, None, None), (2, None, "u0::a2", ["u1"], None, None, None, None, None), (3, [], None, ["u0"], ["a0", "a2"], [], [], None, datetime.datetime(2024, 1, 2)), (4, [], None, [], ["a1"], None, None, False, None), (5, None, None, None, None, None, None, None, None), (6, ["u0::a1"], None, None, None, ["l1_raw"], None, False, None)]
+    got = sorted((r["query_id"], r["num"]) for r in retrieval.tiered(memory, spark.createDataFrame(scopes, fields)).collect())
+    assert got == [(1, 0), (1, 1), (2, 2), (3, 2), (4, 4)]
+
+
+def test_boundaries(spark):
+    rows = spark.createDataFrame([(1, "u", "user", None, None), (2, "u", "project", "w", None), (3, "u", "strict", "w", "b"), (4, "u", "strict", "w", None), (5, "v", "global", "w", "b"), (6, "u", "other", "w", "b"), (7, None, "user", "w", "b"), (8, "u", None, "w", "b")], "num int, user_id string, scope string, workspace string, branch string")
+    contexts = spark.createDataFrame([(1, "u", "w", "b"), (2, "u", "w", None), (3, "u", None, "b"), (4, "v", "x", "b"), (5, None, "w", "b")], "query_id int, user_id string, workspace string, branch string")
+    got = sorted((r["query_id"], r["num"]) for r in retrieval.visible(rows, contexts).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (4, 5)]
+
+
+def test_expansion_is_cut_at_each_hop(spark):
+    edges = [(0, 10), (10, 20), (20, 0), (3, 0), (10, 10), (None, 4)]
+    topics = [(n, "hub") for n in range(100, 400)] + [(10, "hub"), (0, "t"), (7, "t"), (8, "t")]
+    anchors = [(1, 0), (1, 0), (2, 10), (2, 100)]
+    got = graph.expand(*(spark.createDataFrame(x, s) for x, s in ((anchors, "query_id int, node int"), (edges, "src int, dst int"), (topics, "node int, topic string"))), 2, 3)
+    want = [(1, 0, 0), (1, 3, 1), (1, 7, 1), (1, 8, 1), (2, 10, 0), (2, 100, 0), (2, 0, 1), (2, 20, 1), (2, 101, 1), (2, 3, 2), (2, 7, 2), (2, 8, 2)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_a_sample_limits_before_it_shuffles(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 2).alias("c"), (F.col("id") % 7).alias("w"), F.md5(F.col("id").cast("string")).alias("h"))
+    out = retrieval.round_robin(rows, "c", "w", "h", 20)
+    assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 3
+    assert [r["n"] for r in out.groupBy("c").agg(F.count("*").alias("n")).collect()] == [20, 20]
+    assert all(r["n"] in (2, 3) for r in out.groupBy("c", "w").agg(F.count("*").alias("n")).collect())
+
+
+def test_additions_meet_no_target(spark):
+    memory = spark.createDataFrame([("m", "t", [], None, None, True, None, None)], "node_id string, content string, evidence array<string>, valid_from timestamp, valid_until timestamp, is_latest boolean, supersedes string, superseded_by string")
+    ops = [(i, "ADD", f"n{i}", None, "x", None, datetime.datetime(2024, 1, 1)) for i in range(50)] + [(50, "UPDATE", None, None, "x", None, None), (None, "UPDATE", None, "m", "x", None, None), (51, None, None, "m", "x", None, None), (52, "UPDATE", None, "n3", "y", ["e"], datetime.datetime(2024, 1, 2))]
+    after, rejected = versions.apply_operations(memory, spark.createDataFrame(ops, "seq long, op string, new_id string, target_id string, content string, evidence array<string>, at timestamp"))
+    assert after.count() == 51 and {r["node_id"]: r["content"] for r in after.collect()}["n3"] == "y"
+    assert sorted((str(r["seq"]), r["reason"]) for r in rejected.collect()) == [("50", "target is missing"), ("51", "unknown operation"), ("None", "target is missing")]
 
 
 def test_weights_and_patches(spark):
