@@ -11,23 +11,27 @@ from palimpsest.operators.lineage import written
 HUB, HUBS = 200, 10_000
 
 
-def state(edges: DataFrame) -> tuple:
+#: Links that a task works on, about: rounds over few links shall not be many small tasks.
+TASK = 50_000
+
+
+def state(edges: DataFrame, tasks: int) -> tuple:
     """Number of links and a sum of their hashes, by which rounds are compared, and the most links that a node has."""
-    each = edges.union(edges.select("v", "u")).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    each = edges.union(edges.select("v", "u")).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).coalesce(tasks)
     return tuple(each.agg(F.sum("n") / 2, F.sum("h"), F.max("n")).first())
 
 
-def with_least(edges: DataFrame, least: Column, hub: int | None) -> DataFrame:
+def with_least(edges: DataFrame, least: Column, hub: int | None, tasks: int) -> DataFrame:
     """The links (u, v), each with m, the `least` of those of u.
 
     Nodes of over `hub` links are sent to all tasks, so that their links stay
     where they are; all others are joined.
     """
     if hub is None:
-        return edges.join(edges.groupBy("u").agg(least.alias("m")).hint("merge"), "u")
-    few = written(edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), "least")
+        return edges.join(edges.groupBy("u").agg(least.alias("m")).hint("merge"), "u").coalesce(tasks)
+    few = written(edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")).coalesce(tasks), "least")
     hubs = F.broadcast(few.where(F.col("n") > hub).select("u", "m"))
-    rest = edges.join(hubs.select("u"), "u", "left_anti").join(few.where(F.col("n") <= hub).select("u", "m").hint("merge"), "u")
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(few.where(F.col("n") <= hub).select("u", "m").hint("merge"), "u").coalesce(tasks)
     return rest.unionByName(edges.join(hubs, "u"))
 
 
@@ -42,16 +46,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     edges = written(edges, "links")
-    before = state(edges)
+    tasks = max(8, edges.count() // TASK)
+    before = state(edges, tasks)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
         hub = max(HUB, before[0] // HUBS)
         hub = int(hub) if before[2] > hub else None
-        large = with_least(both, F.least(F.min("v"), F.first("u")), hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        small = with_least(large, F.min("v"), hub)
+        large = with_least(both, F.least(F.min("v"), F.first("u")), hub, tasks).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct().coalesce(tasks)
+        small = with_least(large, F.min("v"), hub, tasks)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = written(small, "links")
-        now = state(edges)
+        edges = written(small.coalesce(tasks), "links")
+        now = state(edges, tasks)
         if now == before:
             break
         before = now
