@@ -250,9 +250,8 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     same = classes.select(F.col("code").alias("a"), F.col("fingerprint").alias("print")).join(prints.hint("merge"), "print").where("a != id").select("a", F.col("id").alias("b"))
     close = written(same.unionByName(near_links(prints.select(F.col("print").alias("code"), "id"), bits, large)), "close-fingerprints")
     repeated = not docs.groupBy("id").count().where("count > 1").isEmpty()
-    links = likeness.alike_links(classes, df, doc_id, text, close, width, like, small, repeated)
-    found = components(links).select(F.col("id").alias("code"), F.col("component_id").alias("own"))
-    named = written(classes.select("code", "id").join(found.hint("merge"), "code", "left").select("code", "id", F.coalesce("own", "code").alias("own")), "named-sets")
+    owns = likeness.alike_owners(classes, df, doc_id, text, close, width, like, small, repeated)
+    named = written(classes.select("code", "id").join(owns.hint("merge"), "code"), "named-sets")
     first = named.groupBy("own").agg(F.min("id").alias("component_id"))
     named = named.join(first.hint("merge"), "own").select("code", "component_id")
     out = docs.select(F.col("id").alias("doc_id"), "code").join(named.hint("merge"), "code").select("doc_id", "component_id")
