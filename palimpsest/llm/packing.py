@@ -21,14 +21,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.pretokens import SURE
 from palimpsest.llm.tables import documents, in_short_batches, resident, written
+from palimpsest.operators.ordering import running
 
 #: Tokens of a sequence.
 ROOM = 4096
+#: Groups of a range of positions, over which its pieces are dealt.
+SPREAD = 8
 #: Pieces that a group has on average.
 GROUP = 2048
 #: Entries of a worker's cache of words; it is emptied when full (it may pass this by the new words of STEP).
@@ -115,15 +118,15 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int = ROOM, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """Rows (doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document's ids and end_id, cut after every `room` ids."""
+def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int = ROOM, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, with_ids: bool = False, position: str | None = None) -> DataFrame:
+    """Rows (doc_id, start, length, ids_crc32, doc_tokens[, position][, ids]): each document's ids and end_id, cut after every `room` ids."""
     end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = resident(("words", vocabulary), lambda: Words(vocabulary))
         for b in batches:
-            docs, starts, lengths, crcs, totals, kept = [], [], [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            docs, starts, lengths, crcs, totals, kept, places = [], [], [], [], [], [], []
+            for row, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 ids = words.ids(t or "") + end
                 n = len(ids) // 4
                 for s in range(0, n, room):
@@ -133,17 +136,21 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int
                     lengths.append(len(piece) // 4)
                     crcs.append(zlib.crc32(piece))
                     totals.append(n)
+                    places.append(row)
                     if with_ids:
                         kept.append(np.frombuffer(piece, np.uint32).astype(np.int32))
             cols = [pa.array(docs, b.schema.field(0).type), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals))]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            if position:
+                cols, names = [*cols, b.column(2).take(pa.array(places, pa.int64()))], [*names, "position"]
             if with_ids:
                 cols, names = [*cols, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = dict(df.dtypes)[doc_id]
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
-    return in_short_batches(df).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", position long" if position else "") + (", ids array<int>" if with_ids else "")
+    own = [F.col(position).cast("long").alias("position")] if position else []
+    return in_short_batches(df).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *own).mapInArrow(cut, schema)
 
 
 def packed(cut: DataFrame, room: int = ROOM, group: int = GROUP, seed: int = 11) -> DataFrame:
@@ -181,14 +188,46 @@ def packed(cut: DataFrame, room: int = ROOM, group: int = GROUP, seed: int = 11)
     return binned.unionByName(whole.select(binned.columns))
 
 
-def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int = ROOM, group: int = GROUP, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def packed_in_order(cut: DataFrame, room: int = ROOM, group: int = GROUP, spread: int = SPREAD, seed: int = 11) -> DataFrame:
+    """As packed, for pieces with a position: sequence_ids follow the positions from one range of about `spread` groups to the next.
+
+    Within a range pieces are dealt over its groups by a hash. Blocks of
+    positions are counted, and their running sums name the ranges, so a range
+    is as long as its pieces are few, and equal rows lie where they stand.
+    """
+    cut = written(cut.withColumn("block", F.floor(F.col("position") / 1024)), "pieces")
+    counts = cut.groupBy("block").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
+    blocks = running(counts, ["all"], [F.col("block")], {"before": F.col("n")}, "blocks")
+    blocks = written(blocks.select("block", F.floor(F.col("before") / (group * spread)).alias("range")), "ranges")
+    part = F.pmod(F.xxhash64(F.lit(seed), "position", "doc_id", "start", "ids_crc32"), F.lit(spread))
+    rows = cut.join(blocks.hint("merge"), "block").withColumn("group", F.col("range") * spread + part).drop("block", "range")
+    full = rows.where(F.col("length") >= room)
+    rest = rows.where(F.col("length") < room)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["position", "start", "ids_crc32"], kind="stable", ignore_index=True)
+        bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), room)
+        return pdf.assign(sequence_id=pdf["group"] * (1 << 32) + bins, offset=offsets).drop(columns="group")
+
+    schema = rest.drop("group").schema.add("sequence_id", "long").add("offset", "long")
+    binned = rest.groupBy("group").applyInPandas(pack, schema)
+    # a whole sequence comes after the bins of its group
+    nth = F.row_number().over(Window.partitionBy("group").orderBy("position", "start", "ids_crc32"))
+    whole = full.withColumn("sequence_id", F.col("group") * (1 << 32) + (1 << 31) + nth).withColumn("offset", F.lit(0).cast("long"))
+    return binned.unionByName(whole.select(binned.columns))
+
+
+def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int = ROOM, group: int = GROUP, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, with_ids: bool = False, position: str | None = None) -> DataFrame:
     """All texts of df as packed pieces of sequences of at most `room` tokens.
 
     A null or empty text is a document of the end token alone. A text of any
     length is cut after each `room` ids, without loss. Rows that share an id are
     packed each on its own. Other columns of df are not read. An empty table
-    gives no pieces.
+    gives no pieces. With a column of positions (numbers from 0, no nulls)
+    sequences follow it, up to a range of some groups.
     """
+    if position:
+        return packed_in_order(pieces(df, doc_id, text, room, vocabulary, end_id, with_ids, position), room, group)
     return packed(pieces(df, doc_id, text, room, vocabulary, end_id, with_ids), room, group)
 
 

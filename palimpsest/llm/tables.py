@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Hashable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.operators.lineage import fresh, shared_dir, written
 
-__all__ = ["alone", "documents", "fresh", "in_short_batches", "resident", "shared_dir", "written"]
+__all__ = ["alone", "documents", "fresh", "in_order", "in_short_batches", "resident", "shared_dir", "written"]
 
 #: Rows that go to a Python worker at a time: texts may be long.
 BATCH = 1000
@@ -33,6 +35,16 @@ def alone() -> None:
     _resident.clear()
 
 
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """df with a column of positions: the order of its rows in the numbered files that it was written to, or that of its partitions if it comes from no file."""
+    try:
+        file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        number = F.coalesce(F.regexp_extract(file, r"part-([0-9]+)", 1).try_cast("long"), F.lit(0))
+        return df.select("*", (number * (1 << 36) + row).alias(name))
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def in_short_batches(df: DataFrame) -> DataFrame:
     """df, in a session that hands at most BATCH rows to Python at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

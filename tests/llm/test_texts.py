@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from palimpsest.llm import catalog, curriculum, language, packing, pii, pretokens, syncmers, toxicity
+from palimpsest.llm import catalog, curriculum, language, packing, pii, pretokens, syncmers, tables, toxicity
 from palimpsest.llm.tables import written
 from palimpsest.llm.trees import BoostedTrees
 
@@ -581,3 +581,34 @@ def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
     assert unicodedata.is_normalized("NFC", "é")
+
+
+def test_sequences_follow_the_order_of_documents(spark, tmp_path):
+    """Written in order, read back and packed: the ranges of sequence_ids and of positions follow one another, and pieces are whole."""
+    docs = [(i, f"word{i} " * (1 + i * 7 % 40)) for i in range(3000)] + [(5000, "long text " * 9000), (5001, None), (None, "")] + [(6000 + i, "same") for i in range(600)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.createDataFrame(docs[::-1], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "two"))
+    back = tables.in_order(spark.read.parquet(str(tmp_path / "one")), "position")
+    assert [r["doc_id"] for r in back.orderBy("position").collect()] == [d for d, _ in docs]
+    cut = packing.pieces(back, position="position")
+    rows = packing.packed_in_order(cut, group=50, spread=4).collect()
+    check_packing(spark, spark.createDataFrame(docs, "doc_id long, text string"), rows)
+    ranges = defaultdict(list)
+    for r in rows:
+        ranges[(r["sequence_id"] >> 32) // 4].append(r["position"])
+    order = sorted(ranges)
+    assert len(order) > 3 and all(max(ranges[a]) < min(ranges[b]) for a, b in zip(order, order[1:]))
+    memory = tables.in_order(spark.createDataFrame(docs[:5], "doc_id long, text string"), "position")
+    assert sorted(r["position"] for r in memory.collect())[0] == 0
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, code string, n_ip int"
+    prose = ["the cat sat on the mat and looked at the old house by the river ", "der hund lief durch den wald und kam nicht mehr nach hause zur\u00fcck ", "le chat est dans la maison et il ne veut pas sortir ce soir "]
+    rows = [(i, f"{prose[i % 3] * 6} {i * i} {prose[(i + 1) % 3] if i % 9 == 0 else ''}", ["en", "de", "fr"][i % 3], "s" if i % 2 else None, 9, "x", 1) for i in range(60)]
+    rows += [rows[0]] * 3 + [(None, prose[0] * 5, "en", "s", 1, "x", 1), (900, None, None, None, None, None, None), (901, "", "en", "s", 0, "x", 1), (902, " 12 ", None, "t", 1, "x", 1)]
+    for name, part in (("full", rows), ("empty", [])):
+        spark.createDataFrame(part, schema).coalesce(2).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert bool(out) == bool(part)
+    assert {r["doc_id"] for r in out} <= {r[0] for r in rows}
