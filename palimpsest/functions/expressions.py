@@ -136,3 +136,26 @@ def since(text: Column) -> Column:
 def map_patch(old: Column, new: Column) -> Column:
     """old with the keys of new set to its values."""
     return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def context_line(rank: Column, layer: Column, observed: Column, relation: Column, start: Column, end: Column, content: Column) -> Column:
+    """`[rank] layer=... observed=... time_relation=... event=a..b | content`; what is null, blank or of no told time is left out."""
+    day = lambda t: F.date_format(t, "yyyy-MM-dd")
+    known = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    over = F.when(day(end) != day(start), F.concat(F.lit(".."), day(end)))
+    told = F.when(~known(relation).isin("unknown", "atemporal"), known(relation))
+    header = F.concat_ws(" ", F.concat(F.lit("layer="), known(layer)), F.concat(F.lit("observed="), day(observed)), F.concat(F.lit("time_relation="), told), F.concat(F.lit("event="), day(start), F.coalesce(over, F.lit(""))))
+    return F.concat(F.lit("["), rank.cast("string"), F.lit("] "), F.when(header != "", F.concat(header, F.lit(" | "))).otherwise(F.lit("")), F.coalesce(F.trim(content), F.lit("")))
+
+
+#: Keys of a profile. Fixed values.
+PROFILE_KEYS = ["name", "age", "location", "occupation", "employer"]
+
+
+def profile_value(key: Column, value: Column) -> Column:
+    """A profile's value as text: yes or no for a truth value, a whole number for an age that is one, trimmed; null for other keys and for blank, `null` and `none`."""
+    text = F.trim(value)
+    low = F.lower(text)
+    age = F.coalesce(F.floor(text.try_cast("double")).cast("string"), text)
+    kept = F.when(low == "true", "yes").when(low == "false", "no").when(key == "age", age).otherwise(text)
+    return F.when(key.isin(PROFILE_KEYS) & ~low.isin("", "null", "none"), kept)

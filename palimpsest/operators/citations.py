@@ -27,9 +27,9 @@ def cited_turns(items: DataFrame, turns: DataFrame) -> DataFrame:
     """
     known = turns.select("session_id", F.col("turn").cast("long").alias("turn"), "turn_id")
     known = known.withColumn("alone", F.count("*").over(Window.partitionBy("session_id")) == 1)
-    named = items.select("session_id", "item", F.explode("source_turn_ids").alias("turn_id")).join(known, ["session_id", "turn_id"])
-    numbered = items.select("session_id", "item", F.explode(F.col("source_turn_indices").cast("array<bigint>")).alias("turn")).join(known, ["session_id", "turn"])
-    lone = items.select("session_id", "item").join(known.where("alone"), "session_id")
+    named = items.select("session_id", "item", F.explode("source_turn_ids").alias("turn_id")).join(known.hint("merge"), ["session_id", "turn_id"])
+    numbered = items.select("session_id", "item", F.explode(F.col("source_turn_indices").cast("array<bigint>")).alias("turn")).join(known.hint("merge"), ["session_id", "turn"])
+    lone = items.select("session_id", "item").join(known.where("alone").hint("merge"), "session_id")
     every = None
     for way, found in enumerate((named, numbered, lone)):
         part = found.select("session_id", "item", "turn_id", "turn", F.lit(way).alias("way"))
@@ -76,11 +76,11 @@ def residence(kv: DataFrame, turns: DataFrame) -> DataFrame:
     """kv(session_id, key, value) without a location that no user turn of the session states as the present home."""
     places = kv.where("key = 'location'").select("session_id", "value").distinct()
     literal = F.regexp_replace("value", r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    said = turns.where("role = 'user'").select("session_id", "text").join(places, "session_id")
+    said = turns.where("role = 'user'").select("session_id", "text").join(places.hint("merge"), "session_id")
     pattern = F.concat(F.lit("(?i)"), F.array_join(F.array(*(F.concat(F.lit("(?:" + a), literal, F.lit(b + ")")) for a, b in (p.split("{value}") for p in RESIDENCE))), "|"))
     stated = said.where(F.regexp_like("text", pattern)).select("session_id", "value").distinct().withColumn("key", F.lit("location"))
     other = kv.where("key <> 'location'")
-    return other.unionByName(kv.where("key = 'location'").join(stated, ["session_id", "key", "value"], "left_semi"))
+    return other.unionByName(kv.where("key = 'location'").join(stated.hint("merge"), ["session_id", "key", "value"], "left_semi"))
 
 
 def tool_calls(turns: DataFrame) -> DataFrame:
@@ -91,4 +91,4 @@ def tool_calls(turns: DataFrame) -> DataFrame:
     """
     calls = turns.select("conv_id", F.explode("calls").alias("c")).select("conv_id", F.col("c.id").alias("call_id"), F.nullif("c.name", F.lit("")).alias("called"), "c.arguments")
     results = turns.where("role = 'tool'").select("conv_id", F.col("tool_call_id").alias("call_id"), "tool_name", F.col("content").alias("result"))
-    return calls.join(results, ["conv_id", "call_id"], "full").select("conv_id", "call_id", F.coalesce("called", "tool_name").alias("name"), "arguments", "result")
+    return calls.join(results.hint("merge"), ["conv_id", "call_id"], "full").select("conv_id", "call_id", F.coalesce("called", "tool_name").alias("name"), "arguments", "result")

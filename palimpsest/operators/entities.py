@@ -67,3 +67,17 @@ def entity_boosts(hits: DataFrame, index: DataFrame, weight: float = 0.5) -> Dat
     rows = hits.join(spread, ["user_id", "entity_id"]).join(index, ["user_id", "entity_id"])
     boost = F.col("similarity") * weight / (1 + 0.001 * (F.col("n") - 1) * (F.col("n") - 1))
     return rows.groupBy("query_id", "node_id").agg(F.max(boost).alias("boost"))
+
+
+def tag_index(index: DataFrame, mentions: DataFrame) -> DataFrame:
+    """index(user_id, tag, embedding) with the tags of mentions(user_id, tag, num, embedding) that it doesn't hold, each with the vector of its first mention. Rows that are there stay as they are, so doing it again changes nothing."""
+    new = mentions.groupBy("user_id", "tag").agg(F.min_by("embedding", "num").alias("embedding"))
+    new = new.join(index.select("user_id", "tag").hint("merge"), ["user_id", "tag"], "left_anti")
+    return index.select("user_id", "tag", "embedding").unionByName(new)
+
+
+def matched_tags(keywords: DataFrame, index: DataFrame, threshold: float = 0.3, most: int = 5) -> DataFrame:
+    """(query_id, tag), once each: for every one of a request's keywords (query_id, user_id, keyword, embedding) the `most` tags of its user nearest to it, at the threshold or above."""
+    scored = keywords.join(index.withColumnRenamed("embedding", "tag_vector").hint("merge"), "user_id").select("query_id", "keyword", "tag", F.round(cosine(F.col("embedding"), F.col("tag_vector")), 6).alias("score"))
+    nth = F.row_number().over(Window.partitionBy("query_id", "keyword").orderBy(F.col("score").desc(), "tag"))
+    return scored.where(F.col("score") >= threshold).withColumn("nth", nth).where(F.col("nth") <= most).select("query_id", "tag").distinct()

@@ -94,6 +94,22 @@ def with_graph(hits: DataFrame, found_cores: DataFrame, bridged: DataFrame) -> D
     return rows.groupBy("query_id", "node_id").agg(F.min("way").alias("way"), F.min_by("score", "way").alias("score"))
 
 
+def tag_bridge(hits: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """(query_id, node_id): the first `most` rows by id that share a tag with one of a request's hits (query_id, user_id, tags); rows has node_id, user_id, tags.
+
+    A request goes to each of its tags once, and a tag gives no more than its
+    first `most` rows, as no others can be among those of the request.
+    """
+    tag = F.explode("tags").alias("tag")
+    wanted = hits.select("query_id", "user_id", tag).where("tag is not null").distinct()
+    bearers = rows.select("node_id", "user_id", tag).where("tag is not null").distinct()
+    nth = F.row_number().over(Window.partitionBy("user_id", "tag").orderBy("node_id"))
+    bearers = bearers.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    met = wanted.join(bearers.hint("merge"), ["user_id", "tag"]).select("query_id", "node_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("node_id"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+
+
 def words_where_no_vector(requests: DataFrame, vector: DataFrame, words: DataFrame) -> DataFrame:
     """Vector hits of requests that have a vector, word hits (score) of the others."""
     without = requests.where(F.col("query_vector").isNull() | (F.size("query_vector") == 0)).select("query_id")

@@ -65,10 +65,31 @@ def add_edges(edges: DataFrame, candidates: DataFrame, nodes: DataFrame) -> Data
     return edges.select("src", "dst").unionByName(good.select("src", "dst")).distinct()
 
 
-def judged_edges(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates (src, dst) with the reason why they can't be edges, or null: self, missing end, other owner."""
-    a = nodes.select(F.col("node").alias("src"), F.col("owner").alias("src_owner"))
-    b = nodes.select(F.col("node").alias("dst"), F.col("owner").alias("dst_owner"))
-    rows = candidates.join(a, "src", "left").join(b, "dst", "left")
+#: Layers between which relations may be made. Fixed values.
+RELATED = ["l6_schema", "l7_intention"]
+
+
+def judged_edges(candidates: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, reason): candidates once each, with the reason why they can't be new relations, or null.
+
+    nodes(node, owner, layer) and edges(src, dst), stored both ways. In this
+    order: both ends are one node, an end is missing, the owners differ, a layer
+    is none of RELATED, or the edge is there already, in either direction. Of
+    two candidates that are each other's reverse the one with the smaller src
+    counts, and the other is there already.
+    """
+    a = nodes.select(F.col("node").alias("src"), F.col("owner").alias("src_owner"), F.col("layer").alias("src_layer"))
+    b = nodes.select(F.col("node").alias("dst"), F.col("owner").alias("dst_owner"), F.col("layer").alias("dst_layer"))
+    once = candidates.select("src", "dst").distinct()
+    there = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().withColumn("there", F.lit(True))
+    twin = once.where("src < dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("twin"))
+    rows = once.join(a.hint("merge"), "src", "left").join(b.hint("merge"), "dst", "left").join(there.hint("merge"), ["src", "dst"], "left").join(twin.hint("merge"), ["src", "dst"], "left")
     reason = F.when(F.col("src") == F.col("dst"), "self").when(F.col("src_owner").isNull() | F.col("dst_owner").isNull(), "missing").when(F.col("src_owner") != F.col("dst_owner"), "isolation")
+    reason = reason.when(~F.coalesce(F.col("src_layer").isin(RELATED) & F.col("dst_layer").isin(RELATED), F.lit(False)), "layer").when(F.col("there") | F.col("twin"), "exists")
     return rows.select("src", "dst", reason.alias("reason"))
+
+
+def related(candidates: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges(src, dst) with the candidates that judged_edges lets pass, both ways. Doing it again changes nothing."""
+    good = judged_edges(candidates, nodes, edges).where("reason is null")
+    return edges.select("src", "dst").unionByName(good.select("src", "dst")).union(good.select("dst", "src"))

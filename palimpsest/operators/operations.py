@@ -113,11 +113,11 @@ def resolved(ops: DataFrame, tokens: list[str]) -> DataFrame:
 
 def judged_evidence(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     """candidates(request_id, owner, fact_id) with the reason against the fact, and whether its whole request is accepted."""
-    rows = candidates.join(facts.select("fact_id", F.col("owner").alias("fact_owner")), "fact_id", "left")
+    rows = candidates.join(facts.select("fact_id", F.col("owner").alias("fact_owner")).hint("merge"), "fact_id", "left")
     why = F.when(F.col("fact_owner").isNull(), "missing").when(F.col("fact_owner") != F.col("owner"), "isolation")
     rows = rows.withColumn("reason", why)
     bad = rows.where("reason is not null").select("request_id", F.lit(True).alias("bad")).distinct()
-    return rows.join(bad, "request_id", "left").select("request_id", "fact_id", "reason", F.col("bad").isNull().alias("accepted"))
+    return rows.join(bad.hint("merge"), "request_id", "left").select("request_id", "fact_id", "reason", F.col("bad").isNull().alias("accepted"))
 
 
 def made_schemas(candidates: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -130,8 +130,8 @@ def made_schemas(candidates: DataFrame, facts: DataFrame) -> tuple[DataFrame, Da
     cites = named.select("request_id", "owner", "node_id", F.explode("facts").alias("fact_id")).distinct()
     checked = judged_evidence(cites, facts)
     good = checked.groupBy("request_id").agg(F.bool_and("accepted").alias("ok")).where("ok").select("request_id")
-    made = named.join(good, "request_id", "left_semi")
-    evidence = cites.join(good, "request_id", "left_semi").select("node_id", "fact_id")
+    made = named.join(good.hint("merge"), "request_id", "left_semi")
+    evidence = cites.join(good.hint("merge"), "request_id", "left_semi").select("node_id", "fact_id")
     topics = made.select("node_id", F.explode("tags").alias("tag"), "owner").select("node_id", F.sha2(F.concat_ws(":", "owner", "tag"), 256).alias("topic_id")).distinct()
     return made.select("node_id", "owner", "content"), evidence, topics, evidence.groupBy("fact_id").agg(F.count("*").alias("n"))
 
@@ -166,7 +166,7 @@ def code_changes(ops: DataFrame, proposed: DataFrame) -> DataFrame:
     draft is used once, by its first ADD, UPDATE with a target, or SKIP. DELETE
     needs a target. Drafts that nothing used are added.
     """
-    rows = ops.join(proposed.select("request_id", "draft", F.lit(True).alias("known")), ["request_id", "draft"], "left")
+    rows = ops.join(proposed.select("request_id", "draft", F.lit(True).alias("known")).hint("merge"), ["request_id", "draft"], "left")
     has = F.coalesce("target", F.lit("")) != ""
     takes = F.coalesce("known", F.lit(False)) & ((F.col("action").isin("ADD", "SKIP")) | ((F.col("action") == "UPDATE") & has))
     turn = F.row_number().over(Window.partitionBy("request_id", "draft", F.col("takes")).orderBy("seq"))
@@ -175,7 +175,7 @@ def code_changes(ops: DataFrame, proposed: DataFrame) -> DataFrame:
     done = rows.where("(takes and turn = 1 and action <> 'SKIP')").select("request_id", "action", "draft", F.when(F.col("action") == "ADD", new_id).otherwise(F.col("target")).alias("memory_id"))
     gone = rows.where((F.col("action") == "DELETE") & has).select("request_id", "action", F.lit(None).cast("int").alias("draft"), F.col("target").alias("memory_id"))
     used = rows.where("takes").select("request_id", "draft").distinct()
-    rest = proposed.select("request_id", "draft").join(used, ["request_id", "draft"], "left_anti").select("request_id", F.lit("ADD").alias("action"), "draft", new_id.alias("memory_id"))
+    rest = proposed.select("request_id", "draft").join(used.hint("merge"), ["request_id", "draft"], "left_anti").select("request_id", F.lit("ADD").alias("action"), "draft", new_id.alias("memory_id"))
     return done.unionByName(gone).unionByName(rest)
 
 
@@ -187,4 +187,4 @@ def code_keys(memories: DataFrame) -> DataFrame:
 
 def replaced_keys(keys: DataFrame, memories: DataFrame) -> DataFrame:
     """Keys with all those of the given memories made new, so that none of an older place is left."""
-    return keys.join(memories.select("memory_id"), "memory_id", "left_anti").select(keys.columns).unionByName(code_keys(memories))
+    return keys.join(memories.select("memory_id").hint("merge"), "memory_id", "left_anti").select(keys.columns).unionByName(code_keys(memories))

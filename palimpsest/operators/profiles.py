@@ -19,18 +19,18 @@ def upserted(diffs: DataFrame, kv: DataFrame) -> DataFrame:
     It supersedes the version `node` of the user's last diff, if there is any.
     """
     old = folded(diffs).withColumnRenamed("value", "old")
-    changed = kv.join(old, ["user_id", "key"], "left").where("old is null or old <> value")
+    changed = kv.join(old.hint("merge"), ["user_id", "key"], "left").where("old is null or old <> value")
     new = changed.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("kv"))
     last = diffs.groupBy("user_id").agg(F.max_by("node", "seq").alias("supersedes"))
     node = F.sha2(F.concat_ws(":", F.lit("profile"), "user_id", F.to_json("kv")), 256)
-    return new.join(last, "user_id", "left").select("user_id", node.alias("node_id"), "supersedes", "kv")
+    return new.join(last.hint("merge"), "user_id", "left").select("user_id", node.alias("node_id"), "supersedes", "kv")
 
 
 def view(diffs: DataFrame) -> DataFrame:
     """(user_id, head, n_versions, kv): each user's present profile and how many versions led to it."""
     values = folded(diffs).groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("kv"))
     chain = diffs.groupBy("user_id").agg(F.max_by("node", "seq").alias("head"), F.countDistinct("node").alias("n_versions"))
-    return chain.join(values, "user_id")
+    return chain.join(values.hint("merge"), "user_id")
 
 
 def inserted(items: DataFrame, layer: str = "l2_fact", relation: str | None = None, owner: str | None = None) -> DataFrame:

@@ -19,6 +19,14 @@ def scoped(memory: DataFrame, status: str | None = "active", latest: bool | None
     return out.where(F.col("layer").isin(layers)) if layers else out
 
 
+def last_minutes(minutes: DataFrame, n: int) -> DataFrame:
+    """(stage, minutes, completed, failed, total, mean) over the last n minutes up to the newest, from sums of minutes (minute, stage, completed, failed, total)."""
+    since = minutes.agg(F.max("minute") - F.expr(f"interval {n} minute")).scalar()
+    sums = minutes.where(F.col("minute") > since).groupBy("stage").agg(F.count("*").alias("minutes"), F.sum("completed").alias("completed"), F.sum("failed").alias("failed"), F.sum("total").alias("total"))
+    done = F.col("completed") + F.col("failed")
+    return sums.select("stage", "minutes", "completed", "failed", F.round("total", 4).alias("total"), F.round(F.col("total") / F.when(done > 0, done), 4).alias("mean"))
+
+
 def round_robin(rows: DataFrame, by: str, within: str, order: str, most: int) -> DataFrame:
     """`most` rows of each value of `by`, with their place `nth`: the first in `order` of each of its values of `within`, then the second ones, and so on.
 

@@ -44,6 +44,19 @@ def collapsed(hits: DataFrame, versions: DataFrame, chain: DataFrame) -> DataFra
     return grouped.join(heads.hint("merge"), "chain").select("query_id", "head", "score", F.row_number().over(order).alias("position"), F.transform("members", lambda m: m["node"]).alias("members"))
 
 
+def candidate_heads(hits: DataFrame, versions: DataFrame, chain: DataFrame, most: int) -> DataFrame:
+    """(query_id, head, score, rank): the `most` best chains of a request's hits (query_id, node, score), each as its head with the best score of its versions.
+
+    versions(node, at, supersedes), chain(node, chain). The head is what no
+    version says to supersede; of several the last by time. Ties by head.
+    """
+    replaced = versions.where("supersedes is not null").select(F.col("supersedes").alias("node")).distinct()
+    heads = versions.join(replaced.hint("merge"), "node", "left_anti").join(chain.hint("merge"), "node").groupBy("chain").agg(F.max(F.struct("at", "node"))["node"].alias("head"))
+    best = hits.join(chain.hint("merge"), "node").groupBy("query_id", "chain").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "head"))
+    return best.join(heads.hint("merge"), "chain").select("query_id", "head", "score", rank.alias("rank")).where(F.col("rank") <= most)
+
+
 def chain_audit(versions: DataFrame, chain: DataFrame) -> DataFrame:
     """One row of counts: links, missing back links, links to nothing, closed rows without successor, and chains (node, chain) with two heads or more."""
     old = versions.select(F.col("node").alias("old"), F.col("superseded_by").alias("back"))

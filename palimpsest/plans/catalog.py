@@ -15,6 +15,7 @@ from palimpsest.operators import retrieval as R
 from palimpsest.operators import similarity as Y
 from palimpsest.operators import versions as V
 from palimpsest.operators.components import components
+from palimpsest.operators.evaluation import evaluation, recalls
 from palimpsest.operators.intervals import as_of
 from palimpsest.operators.lineage import shared_dir, written
 from palimpsest.operators.orderstats import order_statistics
@@ -234,17 +235,35 @@ def prj_strip_tools(s, d):
     return I.turns(s, d).where("role <> 'tool' and not (role = 'assistant' and trim(text) = '')").select("turn_id", "role")
 
 
-@query("prj_context_line", f"WITH {VEC} SELECT query_id, '[' || row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) || '] layer=' || v.layer || ' observed=' || strftime(gmt_created, '%Y-%m-%d') || ' | ' || content AS line FROM vec v JOIN mem USING (node_id)")
+TIMED = "tm AS (SELECT node_id, CASE num % 5 WHEN 0 THEN 'future' WHEN 1 THEN 'past' WHEN 2 THEN 'unknown' WHEN 3 THEN 'atemporal' END AS relation, CASE WHEN num % 3 > 0 THEN gmt_created END AS event_start, CASE WHEN num % 2 > 0 THEN gmt_created + (num % 4) * INTERVAL 1 DAY END AS event_end FROM mem)"
+
+
+@query("prj_context_line", f"""WITH {VEC}, {TIMED} SELECT query_id, '[' || row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) || '] ' || concat_ws(' ', 'layer=' || v.layer, 'observed=' || strftime(gmt_created, '%Y-%m-%d'), CASE WHEN relation NOT IN ('unknown', 'atemporal') THEN 'time_relation=' || relation END,
+'event=' || strftime(event_start, '%Y-%m-%d') || CASE WHEN event_end IS NOT NULL AND strftime(event_end, '%Y-%m-%d') <> strftime(event_start, '%Y-%m-%d') THEN '..' || strftime(event_end, '%Y-%m-%d') ELSE '' END) || ' | ' || trim(content) AS line FROM vec v JOIN mem USING (node_id) JOIN tm USING (node_id)""")
 def prj_context_line(s, d):
-    rows = R.ranked(vector(s, d)).join(I.memory(s, d).select("node_id", "gmt_created", "content"), "node_id")
-    return rows.select("query_id", F.concat(F.lit("["), "rank", F.lit("] layer="), "layer", F.lit(" observed="), F.date_format("gmt_created", "yyyy-MM-dd"), F.lit(" | "), "content").alias("line"))
+    """Each fifth row is of the future, the past, or of no told time; two in three have an event, some over several days."""
+    n = F.col("num")
+    memory = I.memory(s, d).select(
+        "node_id",
+        "gmt_created",
+        "content",
+        F.when(n % 5 == 0, "future").when(n % 5 == 1, "past").when(n % 5 == 2, "unknown").when(n % 5 == 3, "atemporal").alias("temporal_relation"),
+        F.when(n % 3 > 0, F.col("gmt_created")).alias("event_start"),
+        F.when(n % 2 > 0, F.timestamp_seconds(F.unix_timestamp("gmt_created") + n % 4 * 86400)).alias("event_end"),
+    )
+    rows = R.ranked(vector(s, d)).join(memory.hint("merge"), "node_id")
+    return rows.select("query_id", X.context_line(*map(F.col, ("rank", "layer", "gmt_created", "temporal_relation", "event_start", "event_end", "content"))).alias("line"))
 
 
-@query("prj_kv_clean", "SELECT c_custkey, k AS key, v AS value FROM (SELECT c_custkey, unnest(['name', 'location', 'other']) AS k, unnest([c_name, CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE 'n' || c_nationkey END, 'x']) AS v FROM customer) WHERE k IN ('name', 'age', 'location', 'occupation', 'employer') AND lower(trim(v)) NOT IN ('', 'null', 'none')")
+@query("prj_kv_clean", f"""WITH k AS (SELECT c_custkey, unnest(['name', 'location', 'other', 'age', 'occupation', 'employer']) AS key, unnest([c_name, CASE WHEN c_custkey % 5 = 0 THEN ' None ' ELSE 'n' || c_nationkey END, 'x', CASE WHEN c_custkey % 7 = 0 THEN 'about ten' WHEN c_custkey % 7 = 1 THEN c_custkey % 90 || '.0' ELSE ' ' || c_custkey % 90 END, CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'False' END, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '  ' END]) AS v FROM customer)
+SELECT c_custkey, key, CASE WHEN lower(trim(v)) = 'true' THEN 'yes' WHEN lower(trim(v)) = 'false' THEN 'no' WHEN key = 'age' THEN coalesce(floor(TRY_CAST(trim(v) AS DOUBLE))::BIGINT::VARCHAR, trim(v)) ELSE trim(v) END AS value FROM k WHERE key IN ('name', 'age', 'location', 'occupation', 'employer') AND lower(trim(v)) NOT IN ('', 'null', 'none')""")
 def prj_kv_clean(s, d):
-    where = F.when(F.col("c_custkey") % 5 == 0, "none").otherwise(F.concat(F.lit("n"), "c_nationkey"))
-    rows = I.table(s, d, "customer").select("c_custkey", F.explode(F.create_map(F.lit("name"), "c_name", F.lit("location"), where, F.lit("other"), F.lit("x"))))
-    return rows.where(F.col("key").isin("name", "age", "location", "occupation", "employer") & ~F.lower(F.trim("value")).isin("", "null", "none"))
+    n = F.col("c_custkey")
+    where = F.when(n % 5 == 0, " None ").otherwise(F.concat(F.lit("n"), "c_nationkey"))
+    age = F.when(n % 7 == 0, "about ten").when(n % 7 == 1, F.concat((n % 90).cast("string"), F.lit(".0"))).otherwise(F.concat(F.lit(" "), (n % 90).cast("string")))
+    pairs = {"name": F.col("c_name"), "location": where, "other": F.lit("x"), "age": age, "occupation": F.when(n % 2 == 0, "true").otherwise("False"), "employer": F.when(n % 3 != 0, "  ")}
+    rows = I.table(s, d, "customer").select("c_custkey", F.explode(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()))).alias("kv")).select("c_custkey", "kv.*")
+    return rows.withColumn("value", X.profile_value(F.col("key"), F.col("value"))).where("value is not null")
 
 
 @query("prj_profile_text", "SELECT c_custkey, 'The user''s name is ' || c_name || ', location is n' || c_nationkey || '.' AS text FROM customer")
@@ -322,10 +341,28 @@ def jn_orphan_refs(s, d):
     return I.evidence(s, d).join(I.table(s, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("fact_id")), "fact_id", "left_semi").select("schema_id", "fact_id")
 
 
-@query("jn_edge_valid", "WITH n AS (SELECT c_custkey AS node, c_nationkey AS owner FROM customer), c AS (SELECT o_custkey AS src, o_orderkey % 2000 AS dst FROM orders) SELECT c.src, c.dst, CASE WHEN c.src = c.dst THEN 'self' WHEN a.owner IS NULL OR b.owner IS NULL THEN 'missing' WHEN a.owner <> b.owner THEN 'isolation' END AS reason FROM c LEFT JOIN n a ON a.node = c.src LEFT JOIN n b ON b.node = c.dst")
+LINKS = """n AS (SELECT c_custkey AS node, c_nationkey % 3 AS owner, CASE c_custkey % 5 WHEN 0 THEN 'l2_fact' WHEN 1 THEN 'l7_intention' ELSE 'l6_schema' END AS layer FROM customer),
+c AS (SELECT DISTINCT o_custkey AS src, o_orderkey % 2000 AS dst FROM orders), e AS (SELECT src, dst FROM (SELECT o_custkey AS src, o_orderkey % 2000 AS dst FROM orders WHERE o_orderstatus = 'F') UNION SELECT dst, src FROM (SELECT o_custkey AS src, o_orderkey % 2000 AS dst FROM orders WHERE o_orderstatus = 'F')),
+jd AS (SELECT c.src, c.dst, CASE WHEN c.src = c.dst THEN 'self' WHEN a.owner IS NULL OR b.owner IS NULL THEN 'missing' WHEN a.owner <> b.owner THEN 'isolation' WHEN NOT (a.layer IN ('l6_schema', 'l7_intention') AND b.layer IN ('l6_schema', 'l7_intention')) THEN 'layer' WHEN EXISTS (FROM e WHERE e.src = c.src AND e.dst = c.dst) OR (c.src > c.dst AND EXISTS (FROM c x WHERE x.src = c.dst AND x.dst = c.src)) THEN 'exists' END AS reason FROM c LEFT JOIN n a ON a.node = c.src LEFT JOIN n b ON b.node = c.dst)"""
+
+
+def links(s, d):
+    """Candidates, nodes and known edges: an order leads from its customer to another one; those of finished orders are known."""
+    n = F.col("c_custkey")
+    nodes = I.table(s, d, "customer").select(n.alias("node"), (F.col("c_nationkey") % 3).alias("owner"), F.when(n % 5 == 0, "l2_fact").when(n % 5 == 1, "l7_intention").otherwise("l6_schema").alias("layer"))
+    made = I.table(s, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 2000).alias("dst"), "o_orderstatus")
+    known = made.where("o_orderstatus = 'F'").select("src", "dst")
+    return made.select("src", "dst"), nodes, known.union(known.select("dst", "src")).distinct()
+
+
+@query("jn_edge_valid", f"WITH {LINKS} SELECT src, dst, reason FROM jd")
 def jn_edge_valid(s, d):
-    nodes = I.table(s, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("owner"))
-    return G.judged_edges(I.table(s, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 2000).alias("dst")), nodes)
+    return G.judged_edges(*links(s, d))
+
+
+@query("jn_edge_insert", f"WITH {LINKS} SELECT src, dst FROM e UNION ALL SELECT src, dst FROM jd WHERE reason IS NULL UNION ALL SELECT dst, src FROM jd WHERE reason IS NULL")
+def jn_edge_insert(s, d):
+    return G.related(*links(s, d))
 
 
 @query("grf_components", "WITH RECURSIVE l AS (SELECT c_custkey AS a, c_custkey + 3 AS b FROM customer WHERE c_custkey % 10 < 5), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(n, m) AS (SELECT a, a FROM u UNION SELECT r.n, u.b FROM r JOIN u ON u.a = r.m) SELECT n AS id, min(m) AS component_id FROM r GROUP BY 1")
@@ -365,9 +402,13 @@ def agg_latency(s, d):
     return ranks.join(sums.hint("merge"), F.col("op") == F.col("of")).select("op", "n", "total", "mean", "least", "most", "p50", F.when(n >= 20, F.col("high")).otherwise(F.col("most")).alias("p95"))
 
 
-@query("agg_minute_metrics", "SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("agg_minute_metrics", "WITH m AS (SELECT date_trunc('minute', ts) AS minute, 'stage' || user_id % 3 AS stage, count_if(event_type <> 'error') AS completed, count_if(event_type = 'error') AS failed, sum(value) AS total FROM events GROUP BY 1, 2), l AS (SELECT * FROM m WHERE minute > (SELECT max(minute) FROM m) - INTERVAL 2000 MINUTE) SELECT stage, count(*) AS minutes, sum(completed)::BIGINT AS completed, sum(failed)::BIGINT AS failed, round(sum(total), 4) AS total, round(sum(total) / nullif(sum(completed + failed), 0), 4) AS mean FROM l GROUP BY 1")
 def agg_minute_metrics(s, d):
-    return I.table(s, d, "events").groupBy(F.date_trunc("minute", "ts").alias("minute"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """The last 2000 minutes by stage; a stage's mean is over all that it completed or failed."""
+    rows = I.table(s, d, "events").withColumn("stage", F.concat(F.lit("stage"), F.col("user_id") % 3))
+    failed = F.col("event_type") == "error"
+    minutes = rows.groupBy(F.date_trunc("minute", "ts").alias("minute"), "stage").agg(F.count_if(~failed).alias("completed"), F.count_if(failed).alias("failed"), F.sum("value").alias("total"))
+    return R.last_minutes(minutes, 2000)
 
 
 @query("agg_tags", f"WITH {I.MEMORY} SELECT user_id, list_sort(list(DISTINCT t.tag)) AS tags FROM mem, unnest(tags) t(tag) WHERE t.tag IS NOT NULL GROUP BY 1")
@@ -415,11 +456,21 @@ def agg_counts(s, d):
 JUDGED = "judged AS (SELECT doc_id, doc_id % 5 + 1 AS category, quality = 1 AS correct, (doc_id % 12) + 1 AS rank FROM labels)"
 
 
-@query("agg_eval", f"WITH {JUDGED} SELECT category, count(*) AS n, round(avg(correct::INT), 4) AS accuracy, round(avg((rank <= 1)::INT) FILTER (category <> 5), 4) AS hit1, round(avg((rank <= 5)::INT) FILTER (category <> 5), 4) AS hit5, round(avg((rank <= 10)::INT) FILTER (category <> 5), 4) AS hit10 FROM judged GROUP BY GROUPING SETS ((), (category))")
+GOLD = """gd AS (SELECT doc_id AS q, doc_id % 5 + 1 AS category, quality = 1 AS correct, unnest(range(doc_id % 3 + 1)) AS e FROM labels),
+ht AS (SELECT doc_id AS q, t.r AS rank, (doc_id * 7 + t.r * t.r) % 9 AS e FROM labels, unnest(range(1, 13)) t(r)),
+mt AS (SELECT gd.q, e, min(rank) AS rank FROM gd LEFT JOIN ht USING (q, e) GROUP BY 1, 2),
+rc AS (SELECT q, avg((coalesce(rank, 99) <= 1)::INT) AS r1, avg((coalesce(rank, 99) <= 5)::INT) AS r5, avg((coalesce(rank, 99) <= 10)::INT) AS r10 FROM mt GROUP BY 1)"""
+
+
+@query("agg_eval", f"WITH {GOLD}, j AS (SELECT doc_id AS q, doc_id % 5 + 1 AS category, quality = 1 AS correct, CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 / 3.0 END AS coverage, doc_id % 90 * 1.5 AS ms FROM labels) SELECT category, count(*) AS n, round(avg(coalesce(correct, false)::INT), 4) AS accuracy, " + ", ".join(f"round(avg((coalesce(r{k}, 0) > 0)::INT) FILTER (category <> 5), 4) AS hit{k}, round(avg((r{k} >= 1)::INT) FILTER (category <> 5), 4) AS exact{k}, round(avg(r{k}) FILTER (category <> 5), 4) AS recall{k}" for k in (1, 5, 10)) + ", round(avg(coverage), 4) AS coverage, round(avg(coalesce(ms, 0)), 2) AS mean_ms FROM j LEFT JOIN rc USING (q) GROUP BY GROUPING SETS ((), (category))")
 def agg_eval(s, d):
-    rows = I.table(s, d, "labels").select((F.col("doc_id") % 5 + 1).alias("category"), (F.col("quality") == 1).cast("int").alias("correct"), (F.col("doc_id") % 12 + 1).alias("rank")).withColumn("answerable", F.col("category") != 5)
-    hit = lambda k: F.round(F.avg(F.when(F.col("answerable"), (F.col("rank") <= k).cast("int"))), 4).alias(f"hit{k}")
-    return rows.rollup("category").agg(F.count("*").alias("n"), F.round(F.avg("correct"), 4).alias("accuracy"), hit(1), hit(5), hit(10))
+    """One to three pieces of gold evidence for a question, and twelve hits."""
+    q = F.col("doc_id")
+    labels = I.table(s, d, "labels")
+    gold = labels.select(q.alias("question_id"), F.explode(F.sequence(F.lit(0).cast("long"), q % 3)).alias("evidence"))
+    hits = labels.select(q.alias("question_id"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("rank")).withColumn("evidence", (F.col("question_id") * 7 + F.col("rank") * F.col("rank")) % 9)
+    judged = labels.select(q.alias("question_id"), (q % 5 + 1).alias("category"), (F.col("quality") == 1).alias("correct"), F.when(q % 4 > 0, q % 4 / 3).alias("coverage"), (q % 90 * 1.5).alias("elapsed_ms"))
+    return evaluation(judged.join(recalls(gold, hits).hint("merge"), "question_id", "left"))
 
 
 @query("agg_recall_buckets", f"WITH {JUDGED}, b AS (SELECT CASE WHEN rank <= 4 THEN 'full' WHEN rank <= 8 THEN 'partial' ELSE 'none' END AS bucket, count(*) AS n, avg(correct::INT) AS p FROM judged GROUP BY 1) SELECT bucket, n, round(p, 6) AS accuracy, round(avg(p) OVER (), 6) AS macro, round((p + 1.9208 / n - 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS low, round((p + 1.9208 / n + 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS high FROM b")

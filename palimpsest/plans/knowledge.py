@@ -57,17 +57,27 @@ def ddp_batch(s, d):
     return Y.similar_groups(points(s, d), 0.2, by=("user_id", "label")).withColumnRenamed("group", "kept")
 
 
-@query("clu_skip", f"WITH {POINTS} SELECT user_id, CASE WHEN count_if(label < 2) = 0 THEN 'no_facts' WHEN count_if(label < 2) < 4 THEN 'no_clusters' END AS reason FROM pt GROUP BY 1")
+#: Facts (labels below 8), and the dense regions among them.
+FACTS = f"""{POINTS}, fa AS (SELECT * FROM pt WHERE label < 8), fb AS MATERIALIZED (SELECT a.num AS a, b.num AS b FROM fa a JOIN fa b ON a.user_id = b.user_id AND a.num <> b.num WHERE round(list_cosine_similarity(a.embedding, b.embedding), 9) >= 0.22),
+core AS MATERIALIZED (SELECT a AS num FROM fb GROUP BY 1 HAVING count(*) + 1 >= 4), cl AS (SELECT num FROM core UNION SELECT a FROM fb WHERE b IN (FROM core))"""
+
+
+def clustered(s, d):
+    """Facts, and those of them that lie in a cluster."""
+    facts = points(s, d).where("label < 8")
+    pairs = Y.similar_pairs(facts, 0.22 - 1e-8).where(F.round("score", 9) >= 0.22)
+    return facts, K.dense(facts, pairs.select("a", "b"), 4)
+
+
+@query("clu_skip", f"WITH {FACTS} SELECT user_id, CASE WHEN count_if(label < 8) = 0 THEN 'no_facts' WHEN count(cl.num) = 0 THEN 'no_clusters' END AS reason FROM pt LEFT JOIN cl USING (num) GROUP BY 1")
 def clu_skip(s, d):
-    facts = F.count_if(F.col("label") < 2)
-    return points(s, d).groupBy("user_id").agg(F.when(facts == 0, "no_facts").when(facts < 4, "no_clusters").alias("reason"))
+    facts, found = clustered(s, d)
+    return K.skipped(points(s, d).select("user_id").distinct(), facts, found)
 
 
-@query("set_unclustered", f"WITH {POINTS}, r AS (SELECT num, user_id, row_number() OVER (PARTITION BY user_id ORDER BY num) AS nth FROM pt WHERE label > 4) SELECT num, user_id, nth FROM r WHERE nth <= 15")
+@query("set_unclustered", f"WITH {FACTS}, r AS (SELECT num, user_id, row_number() OVER (PARTITION BY user_id ORDER BY num) AS nth FROM fa WHERE num NOT IN (FROM cl)) SELECT num, user_id, nth FROM r WHERE nth <= 15")
 def set_unclustered(s, d):
-    rows = points(s, d)
-    left = rows.join(rows.where("label <= 4").select("num"), "num", "left_anti")
-    return left.select("num", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("num")).alias("nth")).where("nth <= 15")
+    return K.unclustered(*clustered(s, d), 15)
 
 
 @query(
@@ -210,6 +220,21 @@ def rk_entity_boost(s, d):
 TAGS = "tg AS (SELECT DISTINCT user_id, t.tag FROM mem, unnest(tags) t(tag) WHERE t.tag IS NOT NULL)"
 
 
-@query("tag_index", f"WITH {I.MEMORY}, {TAGS} SELECT user_id, tag FROM tg")
+#: A tag's vector is that of the first row of its user that bears it. Every third tag is in the index already, with no vector of its own.
+INDEXED = "tx AS (SELECT user_id, t.tag, arg_min(embedding, num) AS embedding FROM mem, unnest(tags) t(tag) WHERE t.tag IS NOT NULL GROUP BY 1, 2), ti AS (SELECT user_id, tag, CASE WHEN length(tag) % 3 > 0 THEN embedding END AS embedding FROM tx)"
+
+
+def tags_known(s, d):
+    """The index before: every third length of a tag, without vectors."""
+    rows = I.memory(s, d).select("user_id", F.explode("tags").alias("tag")).where("tag is not null and length(tag) % 3 = 0").distinct()
+    return rows.withColumn("embedding", F.lit(None).cast("array<double>"))
+
+
+def indexed(s, d):
+    rows = I.memory(s, d).select("user_id", "num", "embedding", F.explode("tags").alias("tag")).where("tag is not null")
+    return E.tag_index(tags_known(s, d), rows)
+
+
+@query("tag_index", f"WITH {I.MEMORY}, {INDEXED} SELECT user_id, tag, len(embedding) AS dims, round(embedding[1], 8) AS first FROM ti")
 def tag_index(s, d):
-    return I.memory(s, d).select("user_id", F.explode("tags").alias("tag")).where("tag is not null").distinct()
+    return indexed(s, d).select("user_id", "tag", F.size("embedding").alias("dims"), F.round(F.get("embedding", F.lit(0)), 8).alias("first")).withColumn("dims", F.when(F.col("dims") >= 0, F.col("dims")))

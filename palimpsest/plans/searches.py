@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import expressions as X
+from palimpsest.operators import entities as E
 from palimpsest.operators import fusion as U
 from palimpsest.operators import retrieval as R
+from palimpsest.operators import versions as V
 from palimpsest.plans import catalog as A
 from palimpsest.plans import knowledge as N
 from palimpsest.plans.registry import query
@@ -33,12 +35,17 @@ def rk_reconcile_cands(s, d):
     return U.mixed_pool(R.top(A.vector(s, d), 20), U.pool_bm25(I.requests(s, d), pool(s, d)), 0.15, 5).select("query_id", "node_id", "score", "rank")
 
 
-@query("ver_cand_chains", f"WITH {A.VEC}, x AS (SELECT query_id, 'm' || (num - num % 5) AS head, max(score) AS score FROM vec JOIN mem USING (node_id) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, head) AS rank FROM x) SELECT query_id, head, score, rank FROM r WHERE rank <= 4")
+CHAINS = f"""{A.VEC}, nu AS (SELECT {I.USERS} AS n), ch AS (SELECT num, user_id, gmt_created AS created, CASE WHEN num // n % 4 IN (1, 2) THEN num - n END AS supersedes FROM mem, nu),
+up(num, root) AS (SELECT num, num FROM ch WHERE supersedes IS NULL UNION ALL SELECT ch.num, up.root FROM ch JOIN up ON ch.supersedes = up.num),
+hd AS (SELECT root, max(num) AS head FROM up JOIN ch USING (num) WHERE num NOT IN (SELECT supersedes FROM ch WHERE supersedes IS NOT NULL) GROUP BY 1)"""
+
+
+@query("ver_cand_chains", f"WITH RECURSIVE {CHAINS}, x AS (SELECT query_id, head, max(score) AS score FROM vec JOIN mem USING (node_id) JOIN up USING (num) JOIN hd USING (root) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, head) AS rank FROM x) SELECT query_id, head, score, rank FROM r WHERE rank <= 8")
 def ver_cand_chains(s, d):
-    """Five rows in succession are one chain here, headed by its first."""
-    heads = I.memory(s, d).select("node_id", F.concat(F.lit("m"), F.col("num") - F.col("num") % 5).alias("head"))
-    best = A.vector(s, d).join(heads, "node_id").groupBy("query_id", "head").agg(F.max("score").alias("score"))
-    return R.top(best.withColumnRenamed("head", "node_id"), 4).select("query_id", F.col("node_id").alias("head"), "score", "rank")
+    """Candidates as heads of their version chains, each with the best score of its chain: twice the four that are wanted."""
+    rows = A.chained(s, d).select(F.col("num").alias("node"), F.col("created").alias("at"), "supersedes")
+    hits = A.vector(s, d).join(I.memory(s, d).select("node_id", F.col("num").alias("node")).hint("merge"), "node_id").select("query_id", "node", "score")
+    return V.candidate_heads(hits, rows, V.chains(rows), 8)
 
 
 BOOSTED = f"{A.HYBRID}, {N.BOOST.replace(I.REQUESTS + ', ', '')}"
@@ -103,13 +110,23 @@ def tags(s, d):
     """The tags nearest to a request; a tag's vector is that of the first row of its user that bears it."""
     rows = I.memory(s, d).select("user_id", "num", "embedding", F.explode("tags").alias("node_id")).where("node_id is not null")
     vectors = rows.groupBy("user_id", "node_id").agg(F.min_by("embedding", "num").alias("embedding"))
-    hits = R.vector_hits(I.requests(s, d), vectors, -1.0).withColumn("score", F.round("score", 6)).where("score >= 0.1")
+    hits = R.vector_hits(I.requests(s, d), vectors.hint("merge"), -1.0).withColumn("score", F.round("score", 6)).where("score >= 0.1")
     return R.top(hits, 5).select("query_id", F.col("node_id").alias("tag"))
 
 
-@query("top_tags", f"WITH {I.MEMORY}, {I.REQUESTS}, {TAGV} SELECT DISTINCT query_id, tag FROM tm")
+# a keyword's vector is one of the table, by a hash of the keyword
+ASKED_WORDS = f"""kw AS (SELECT DISTINCT query_id, user_id, w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n) AS nth FROM (SELECT query_id, user_id, t.w, min(t.n) AS n FROM req, unnest(regexp_extract_all(lower(query_text), '{A.TERMS}')) WITH ORDINALITY t(w, n) WHERE CASE WHEN regexp_matches(t.w, '^[a-z0-9]') THEN length(t.w) >= 3 AND t.w NOT IN ({A.STOP}) ELSE length(t.w) >= 2 END GROUP BY 1, 2, 3)) WHERE nth <= 10),
+kv AS (SELECT query_id, user_id, w, embedding::DOUBLE[] AS v FROM kw JOIN embeddings ON vec_id = ('0x' || substr(md5(w), 1, 7))::BIGINT % (SELECT count(*) FROM embeddings))"""
+
+
+@query("top_tags", f"WITH {I.MEMORY}, {I.REQUESTS}, {N.INDEXED}, {ASKED_WORDS} SELECT DISTINCT query_id, tag FROM (SELECT query_id, tag, row_number() OVER (PARTITION BY query_id, w ORDER BY score DESC, tag) AS n FROM (SELECT query_id, w, tag, round(list_cosine_similarity(v, ti.embedding), 6) AS score FROM kv JOIN ti USING (user_id)) WHERE score >= 0.1) WHERE n <= 5")
 def top_tags(s, d):
-    return tags(s, d).distinct()
+    """Five tags for each of a request's keywords."""
+    vectors = I.table(s, d, "embeddings")
+    words = I.requests(s, d).select("query_id", "user_id", F.explode(X.keywords(F.col("query_text"))).alias("keyword"))
+    at = F.conv(F.substring(F.md5("keyword"), 1, 7), 16, 10).cast("long") % vectors.agg(F.count("*")).scalar()
+    words = words.withColumn("at", at).join(vectors.select(F.col("vec_id").alias("at"), F.col("embedding").cast("array<double>").alias("embedding")).hint("merge"), "at")
+    return E.matched_tags(words, N.indexed(s, d), 0.1)
 
 
 WEIGHTS = "CASE channel WHEN 'vec' THEN " + " ".join(["CASE i"] + [f"WHEN '{k}' THEN {w['vec']}" for k, w in U.INTENT_WEIGHTS.items()] + ["END"]) + " WHEN 'tag' THEN " + " ".join(["CASE i"] + [f"WHEN '{k}' THEN {w['tag']}" for k, w in U.INTENT_WEIGHTS.items()] + ["END"]) + " ELSE " + " ".join(["CASE i"] + [f"WHEN '{k}' THEN {w['bm25']}" for k, w in U.INTENT_WEIGHTS.items()] + ["END"]) + " END"
@@ -152,13 +169,13 @@ def rk_profile_two_way(s, d):
     return U.two_way(forward.select("query_id", node("num"), "score"), reverse.select("query_id", node("schema_id"), F.round("score", 6).alias("score"))).select("query_id", "node_id", F.round("score", 6).alias("score"))
 
 
-@query("rk_core_append", f"WITH {A.VEC}, w AS (SELECT query_id, node_id, score, 0 AS way FROM vec UNION ALL SELECT query_id, 'm' || l_suppkey, 0.95, 1 FROM vec JOIN mem USING (node_id) JOIN lineitem ON l_partkey = num UNION ALL SELECT query_id, m2.node_id, 0.7, 2 FROM vec JOIN mem m1 USING (node_id) JOIN mem m2 ON m2.user_id = m1.user_id AND m2.tags[1] = m1.tags[1]) SELECT query_id, node_id, min(way) AS way, arg_min(score, way) AS score FROM w GROUP BY 1, 2")
+@query("rk_core_append", f"WITH {A.VEC}, br AS (SELECT DISTINCT query_id, m2.node_id FROM vec JOIN mem m1 USING (node_id) JOIN mem m2 ON m2.user_id = m1.user_id AND list_has_any(m2.tags, m1.tags)), w AS (SELECT query_id, node_id, score, 0 AS way FROM vec UNION ALL SELECT query_id, 'm' || l_suppkey, 0.95, 1 FROM vec JOIN mem USING (node_id) JOIN lineitem ON l_partkey = num UNION ALL SELECT query_id, node_id, 0.7, 2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY node_id) AS n FROM br) WHERE n <= 60) SELECT query_id, node_id, min(way) AS way, arg_min(score, way) AS score FROM w GROUP BY 1, 2")
 def rk_core_append(s, d):
-    rows = I.memory(s, d).select("node_id", "num", "user_id", F.col("tags")[0].alias("tag"))
-    hits = A.vector(s, d).join(rows, "node_id")
-    cores = hits.join(I.table(s, d, "lineitem").select(F.col("l_partkey").alias("num"), F.concat(F.lit("m"), "l_suppkey").alias("core")).distinct(), "num").select("query_id", F.col("core").alias("node_id")).distinct()
-    bridged = hits.select("query_id", "user_id", "tag").distinct().join(rows.select("node_id", "user_id", "tag"), ["user_id", "tag"]).select("query_id", "node_id").distinct()
-    return U.with_graph(hits, cores, bridged)
+    """Cores of the hits, and up to 60 rows that share a tag with one."""
+    rows = I.memory(s, d).select("node_id", "num", "user_id", "tags")
+    hits = A.vector(s, d).join(rows.hint("merge"), "node_id")
+    cores = hits.join(I.table(s, d, "lineitem").select(F.col("l_partkey").alias("num"), F.concat(F.lit("m"), "l_suppkey").alias("core")).distinct().hint("merge"), "num").select("query_id", F.col("core").alias("node_id")).distinct()
+    return U.with_graph(hits, cores, U.tag_bridge(hits, rows, 60))
 
 
 @query("rk_bm25_fallback", f"WITH {A.HYBRID} SELECT query_id, node_id, score FROM vec WHERE query_id % 3 <> 0 UNION ALL SELECT query_id, node_id, round({A.SIG}, 6) FROM bm WHERE query_id % 3 = 0")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import expressions as X
-from palimpsest.operators import citations, clusters, entities, fusion, graph, operations, profiles, retrieval, versions
+from palimpsest.operators import citations, clusters, entities, evaluation, fusion, graph, operations, profiles, retrieval, versions
 from palimpsest.plans import catalog
 
 
@@ -204,3 +204,39 @@ def test_weights_and_patches(spark):
 def test_operations_as_a_stream_come_to_the_same_table(spark, sf_dir):
     a, b = (catalog.QUERIES[n](spark, sf_dir) for n in ("ver_apply_ops", "st_ops_apply"))
     assert a.exceptAll(b.select(a.columns)).isEmpty() and b.select(a.columns).exceptAll(a).isEmpty()
+
+
+def test_recall_exact_hits_and_means(spark):
+    gold = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "a"), (3, None)], "question_id int, evidence string")
+    hits = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 7, "b"), (2, 11, "a"), (4, 1, "z")], "question_id int, rank int, evidence string")
+    got = {r["question_id"]: r.asDict() for r in evaluation.recalls(gold, hits).collect()}
+    assert set(got) == {1, 2} and [got[1][c] for c in ("hit_1", "exact_1", "recall_1", "exact_5", "recall_10", "exact_10")] == [True, False, 0.5, False, 1.0, True] and not got[2]["hit_10"]
+    rows = [(1, True, None, 10.0, True, True, 1.0), (1, None, 0.5, None, None, None, None), (5, False, 1.0, 20.0, True, True, 1.0)]
+    fields = "category int, correct boolean, coverage double, elapsed_ms double, hit_1 boolean, exact_1 boolean, recall_1 double"
+    out = {r["category"]: tuple(r)[1:] for r in evaluation.evaluation(spark.createDataFrame(rows, fields), (1,)).collect()}
+    assert out == {None: (3, 0.3333, 0.5, 1.0, 1.0, 0.75, 10.0), 1: (2, 0.5, 0.5, 1.0, 1.0, 0.5, 5.0), 5: (1, 0.0, None, None, None, 1.0, 20.0)}
+
+
+def test_relations_and_tags_again_change_nothing(spark):
+    nodes = spark.createDataFrame([(1, "u", "l6_schema"), (2, "u", "l7_intention"), (3, "u", "l2_fact"), (4, "v", "l6_schema"), (5, "u", None)], "node int, owner string, layer string")
+    candidates = spark.createDataFrame([(1, 2), (2, 1), (1, 1), (1, 3), (1, 4), (1, 9), (5, 1), (1, 2)], "src int, dst int")
+    none = spark.createDataFrame([], "src int, dst int")
+    reasons = {(r["src"], r["dst"]): r["reason"] for r in graph.judged_edges(candidates, nodes, none).collect()}
+    assert reasons == {(1, 2): None, (2, 1): "exists", (1, 1): "self", (1, 3): "layer", (1, 4): "isolation", (1, 9): "missing", (5, 1): "layer"}
+    once = graph.related(candidates, nodes, none)
+    assert sorted(map(tuple, once.collect())) == [(1, 2), (2, 1)] == sorted(map(tuple, graph.related(candidates, nodes, once).collect()))
+    index = spark.createDataFrame([("u", "a", None)], "user_id string, tag string, embedding array<double>")
+    mentions = spark.createDataFrame([("u", "a", 1, [1.0]), ("u", "b", 2, [3.0]), ("u", "b", 1, [2.0])], "user_id string, tag string, num int, embedding array<double>")
+    first = entities.tag_index(index, mentions)
+    want = [("u", "a", None), ("u", "b", [2.0])]
+    assert sorted(map(tuple, first.collect())) == want == sorted(map(tuple, entities.tag_index(first, mentions).collect()))
+
+
+def test_context_lines_and_profile_values(spark):
+    rows = [(1, "l2_fact", datetime.datetime(2023, 5, 25), "future", datetime.datetime(2023, 6, 1), datetime.datetime(2023, 8, 31), " x "), (2, " ", None, "atemporal", None, datetime.datetime(2023, 8, 31), None), (3, None, None, None, datetime.datetime(2023, 6, 1), datetime.datetime(2023, 6, 1, 5), "y")]
+    df = spark.createDataFrame(rows, "rank int, layer string, observed timestamp, relation string, a timestamp, b timestamp, content string")
+    got = [r[0] for r in df.orderBy("rank").select(X.context_line(*map(F.col, df.columns))).collect()]
+    assert got == ["[1] layer=l2_fact observed=2023-05-25 time_relation=future event=2023-06-01..2023-08-31 | x", "[2] ", "[3] event=2023-06-01 | y"]
+    kv = [("age", " 41.0 "), ("age", "old"), ("name", "True"), ("name", " None "), ("job", "x"), ("employer", None), ("occupation", " cook ")]
+    got = [r[0] for r in spark.createDataFrame(kv, "k string, v string").select(X.profile_value(F.col("k"), F.col("v"))).collect()]
+    assert got == ["41", "old", "yes", None, None, None, "cook"]
