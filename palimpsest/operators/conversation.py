@@ -48,9 +48,33 @@ def character_buckets(turns: DataFrame) -> DataFrame:
 
 
 def user_rounds(turns: DataFrame) -> DataFrame:
-    """A row for each user turn with how many turns follow it before the next."""
+    """(conv_id, nth, asked, n_answers, tools, has_result): a row for each user turn, from 0, with what follows it before the next.
+
+    turns(conv_id, turn, role, text, tools array: names of the tools that a turn
+    calls, or of the one whose result it is). tools has each name once, in the
+    order of first use; has_result tells whether a turn of role `tool` follows.
+    Turns before the first user turn are a row of their own that asks nothing.
+    """
     rows = turns.withColumn("round", F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn")))
-    return rows.where("round > 0").groupBy("conv_id", "round").agg(F.max(F.when(F.col("role") == "user", F.col("text"))).alias("asked"), F.count_if(F.col("role") != "user").alias("n_answers"))
+    user = F.col("role") == "user"
+    found = rows.groupBy("conv_id", "round").agg(F.coalesce(F.max(F.when(user, F.trim("text"))), F.lit("")).alias("asked"), F.count_if(~user).alias("n_answers"), F.max(F.col("role") == "tool").alias("has_result"))
+    used = rows.select("conv_id", "round", "turn", F.posexplode("tools").alias("place", "tool")).groupBy("conv_id", "round", "tool").agg(F.min(F.struct("turn", "place")).alias("first"))
+    # a round has no more entries than there are tools
+    lists = used.groupBy("conv_id", "round").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "tool"))), lambda x: x["tool"]).alias("tools"))
+    out = found.join(lists.hint("merge"), ["conv_id", "round"], "left")
+    nth = F.col("round") - F.min("round").over(Window.partitionBy("conv_id"))
+    return out.select("conv_id", nth.alias("nth"), "asked", "n_answers", F.coalesce("tools", F.array().cast("array<string>")).alias("tools"), "has_result")
+
+
+def counts(memory: DataFrame, history: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, name, n): rows of memory(isolation_key, user_id) by key, by user and in all (`store`), of history(key) by key, and the nodes of edges(src, dst) (`graph`)."""
+    none = F.lit(None).cast("string")
+    by = lambda df, kind, c: df.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    every = by(memory, "key", "isolation_key").unionByName(by(memory, "user", "user_id")).unionByName(by(history, "history", "key"))
+    nodes = edges.select("src").union(edges.select("dst")).distinct()
+    for kind, df in (("store", memory), ("graph", nodes)):
+        every = every.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), none.alias("name"), "n"))
+    return every
 
 
 def ready_batches(turns: DataFrame, size: int) -> DataFrame:

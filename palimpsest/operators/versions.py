@@ -9,10 +9,33 @@ from palimpsest.operators.components import components
 from palimpsest.operators.lineage import written
 
 
-def upsert(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
-    """Rows of delta replace those of base with their key. Of several in delta the last by `seq` counts."""
+def upsert(base: DataFrame, delta: DataFrame, key: str, needs: str | None = None) -> DataFrame:
+    """Rows of delta replace those of base with their key. Of several in delta the last by `seq` counts; those whose array `needs` is null or empty are skipped."""
+    delta = delta if needs is None else delta.where(F.size(F.coalesce(needs, F.array())) > 0)
     last = delta.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.col("seq").desc()))).where("nth = 1").drop("nth", "seq")
-    return base.join(last.select(key), key, "left_anti").unionByName(last.select(base.columns))
+    return base.join(last.select(key).hint("merge"), key, "left_anti").unionByName(last.select(base.columns))
+
+
+def without(rows: DataFrame, deletions: DataFrame) -> DataFrame:
+    """rows(node_id, isolation_key, user_id, agent_id, session_id, ...) that no deletion (the same five) names.
+
+    A deletion with a node_id deletes that row, one with an isolation_key the
+    rows of that key (both, if it has both), and one with a user_id the user's
+    rows, only those of its agent_id and of its session_id if it names them. One
+    that names nothing, or an agent or session without a user, deletes nothing.
+    """
+    gone = written(deletions.select("node_id", "isolation_key", "user_id", "agent_id", "session_id").distinct(), "deletions")
+    given = lambda c: F.col(c).isNotNull()
+    out = rows
+    for c in ("node_id", "isolation_key"):
+        out = out.join(gone.where(given(c)).select(c).distinct().hint("merge"), c, "left_anti")
+    scopes = ("user_id",), ("user_id", "agent_id"), ("user_id", "session_id"), ("user_id", "agent_id", "session_id")
+    for columns in scopes:
+        named = given("user_id")
+        for c in ("agent_id", "session_id"):
+            named &= given(c) if c in columns else ~given(c)
+        out = out.join(gone.where(named).select(*columns).distinct().hint("merge"), list(columns), "left_anti")
+    return out.select(rows.columns)
 
 
 def patch(base: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -21,6 +21,7 @@ from palimpsest.operators.lineage import shared_dir, written
 from palimpsest.operators.orderstats import order_statistics
 from palimpsest.plans.registry import QUERIES, SQL, query  # noqa: F401
 from palimpsest.sources import inputs as I
+from palimpsest.sources.rows import regular
 from palimpsest.streaming import jobs as S
 
 THRESHOLD, K = 0.15, 10
@@ -57,14 +58,40 @@ def words(s, d) -> DataFrame:
 # sources and sinks
 
 
-@query("src_memory", f"WITH {I.MEMORY} SELECT node_id, user_id, layer, status, is_latest, gmt_created, access_count, valid_until, len(embedding) AS dims FROM mem")
+NAMES = ["Profile", " l5_schema", "l6_intention", "dialogue", "l2_fact", "nothing", "L3_SUMMARY", "raw"]
+RAW = f"""{I.MEMORY}, al AS (SELECT unnest({[*I.ALIASES, *I.LAYERS]}) AS old, unnest({[*I.ALIASES.values(), *I.LAYERS]}) AS layer),
+rw AS (SELECT num, node_id, CASE WHEN num % 9 < 8 THEN {NAMES}[num % 9 + 1] END AS old, CASE num % 4 WHEN 0 THEN ' Archived' WHEN 1 THEN 'gone' WHEN 2 THEN status END AS status, CASE WHEN num % 3 = 0 THEN gmt_created - INTERVAL 1 DAY END AS memory_at, CASE WHEN num % 2 = 0 THEN gmt_created - INTERVAL 2 DAY END AS created_at,
+CASE WHEN num % 5 = 0 THEN gmt_created END AS observed_at, CASE num % 6 WHEN 0 THEN 'Future ' WHEN 1 THEN 'someday' WHEN 2 THEN ' ' WHEN 3 THEN 'past' END AS relation, CASE num % 7 WHEN 0 THEN 'high' WHEN 1 THEN '1.5' WHEN 2 THEN '-1' WHEN 3 THEN NULL ELSE '0.25' END AS confidence, CASE WHEN num % 8 = 0 THEN gmt_created + INTERVAL 1 DAY END AS valid_from, gmt_created, CASE WHEN num % 2 = 0 THEN is_latest END AS is_latest, CASE WHEN num % 3 > 0 THEN access_count END AS access_count FROM mem)"""
+
+
+@query("src_memory", f"""WITH {RAW}, rl AS (SELECT rw.*, coalesce(al.layer, 'l1_raw') AS name, coalesce(memory_at, created_at) AS at_ FROM rw LEFT JOIN al ON al.old = lower(trim(rw.old)))
+SELECT node_id, name AS layer, CASE WHEN lower(trim(status)) IN ('active', 'superseded', 'archived', 'deleted') THEN lower(trim(status)) ELSE 'active' END AS status, at_ AS memory_at, coalesce(observed_at, CASE WHEN name IN ('l2_fact', 'l7_intention') THEN at_ END) AS observed_at,
+CASE WHEN lower(trim(relation)) IN ('past', 'present', 'future', 'recurring', 'atemporal', 'unknown') THEN lower(trim(relation)) WHEN trim(relation) <> '' THEN 'unknown' END AS temporal_relation, CASE WHEN TRY_CAST(confidence AS DOUBLE) IS NOT NULL THEN greatest(0, least(1, TRY_CAST(confidence AS DOUBLE))) END AS confidence, coalesce(valid_from, gmt_created) AS valid_from, coalesce(is_latest, true) AS is_latest, coalesce(access_count, 0) AS access_count FROM rl""")
 def src_memory(s, d):
-    return I.memory(s, d).select("node_id", "user_id", X.layer_name(F.col("layer")).alias("layer"), "status", "is_latest", "gmt_created", "access_count", "valid_until", F.size("embedding").alias("dims"))
+    """Rows with older layer names, odd states, missing times and values out of bounds."""
+    n, created = F.col("num"), F.col("gmt_created")
+    before = lambda days: F.timestamp_seconds(F.unix_timestamp("gmt_created") - days * 86400)
+    raw = I.memory(s, d).select(
+        "node_id",
+        F.when(n % 9 < 8, F.get(F.array(*map(F.lit, NAMES)), (n % 9).cast("int"))).alias("layer"),
+        F.when(n % 4 == 0, " Archived").when(n % 4 == 1, "gone").when(n % 4 == 2, F.col("status")).alias("status"),
+        F.when(n % 3 == 0, before(1)).alias("memory_at"),
+        F.when(n % 2 == 0, before(2)).alias("created_at"),
+        F.when(n % 5 == 0, created).alias("observed_at"),
+        F.when(n % 6 == 0, "Future ").when(n % 6 == 1, "someday").when(n % 6 == 2, " ").when(n % 6 == 3, "past").alias("temporal_relation"),
+        F.when(n % 7 == 0, "high").when(n % 7 == 1, "1.5").when(n % 7 == 2, "-1").when(n % 7 > 3, "0.25").alias("normalization_confidence"),
+        F.when(n % 8 == 0, before(-1)).alias("valid_from"),
+        "gmt_created",
+        F.when(n % 2 == 0, F.col("is_latest")).alias("is_latest"),
+        F.when(n % 3 > 0, F.col("access_count")).alias("access_count"),
+    )
+    return regular(raw).withColumnRenamed("normalization_confidence", "confidence").drop("gmt_created")
 
 
-@query("src_payload", f"WITH {I.MEMORY} SELECT node_id, concat_ws('::', user_id, agent_id, session_id) AS isolation_key, lower(content || ' ' || array_to_string(tags, ' ')) AS search_text FROM mem")
+@query("src_payload", f"WITH {I.MEMORY}, w AS (SELECT *, content || ' ' || array_to_string(tags, ' ') AS said FROM mem) SELECT node_id, concat_ws('::', user_id, agent_id, session_id) AS isolation_key, coalesce(array_to_string(list_filter(regexp_extract_all(lower(said), '{TERMS}'), lambda t: CASE WHEN regexp_matches(t, '^[a-z0-9]') THEN t NOT IN ({STOP}) ELSE length(t) >= 2 END), ' '), '') AS search_text FROM w")
 def src_payload(s, d):
-    return I.memory(s, d).select("node_id", F.concat_ws("::", "user_id", "agent_id", "session_id").alias("isolation_key"), F.lower(F.concat_ws(" ", "content", F.array_join("tags", " "))).alias("search_text"))
+    said = F.concat_ws(" ", "content", F.array_join("tags", " "))
+    return I.memory(s, d).select("node_id", F.concat_ws("::", "user_id", "agent_id", "session_id").alias("isolation_key"), X.normal_words(said).alias("search_text"))
 
 
 @query("src_list", f"WITH {I.MEMORY} SELECT node_id, user_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY gmt_created DESC, node_id) AS nth FROM mem WHERE status = 'active' AND layer = 'l2_fact') WHERE nth <= 5")
@@ -79,10 +106,16 @@ def src_datetime(s, d):
     return I.table(s, d, "orders").select("o_orderkey", F.try_to_timestamp(F.regexp_replace(said, " on ", " "), F.lit("h:mm a d MMMM, yyyy")).alias("parsed"))
 
 
-@query("snk_upsert", "SELECT o_custkey AS id, arg_max(o_totalprice, o_orderkey) AS total FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("snk_upsert", f"WITH {I.MEMORY}, dl AS (SELECT num + k.k * 1000000 AS id, 'new ' || k.k || ' ' || num AS content, num * 2 + k.k AS seq, CASE (num + k.k) % 4 WHEN 0 THEN NULL WHEN 1 THEN [] ELSE embedding END AS e FROM mem, (SELECT unnest([0, 0, 1]) AS k) k UNION ALL SELECT num, 'last ' || num, num * 2 + 9, embedding FROM mem WHERE num % 5 = 0), up AS (SELECT id, arg_max(content, seq) AS content FROM dl WHERE len(e) > 0 GROUP BY 1) SELECT id, content FROM up UNION ALL SELECT num, content FROM mem WHERE num NOT IN (SELECT id FROM up)")
 def snk_upsert(s, d):
-    base = I.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("total"))
-    return V.upsert(base, I.table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("total"), F.col("o_orderkey").alias("seq")), "id")
+    """Each row once more, and as a new one, some of them without a vector; every fifth a third time."""
+    rows = I.memory(s, d).select(F.col("num").alias("id"), "content", "embedding")
+    delta = rows.withColumn("k", F.explode(F.array(F.lit(0), F.lit(0), F.lit(1))))
+    part = (F.col("id") + F.col("k")) % 4
+    vector = F.when(part == 0, None).when(part == 1, F.array().cast("array<double>")).otherwise(F.col("embedding"))
+    delta = delta.select((F.col("id") + F.col("k") * 1000000).alias("id"), F.concat_ws(" ", F.lit("new"), "k", "id").alias("content"), vector.alias("embedding"), (F.col("id") * 2 + F.col("k")).alias("seq"))
+    again = rows.where("id % 5 = 0").select("id", F.concat_ws(" ", F.lit("last"), "id").alias("content"), "embedding", (F.col("id") * 2 + 9).alias("seq"))
+    return V.upsert(rows, delta.unionByName(again), "id", needs="embedding").select("id", "content")
 
 
 @query("snk_patch", "SELECT c.c_custkey, coalesce(n.c_acctbal, c.c_acctbal) AS c_acctbal, c.c_mktsegment FROM customer c LEFT JOIN (SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0) n USING (c_custkey)")
@@ -91,11 +124,17 @@ def snk_patch(s, d):
     return V.patch(base, base.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), "c_custkey", ["c_acctbal"])
 
 
-@query("snk_delete", f"WITH {I.MEMORY} SELECT node_id FROM mem WHERE NOT (user_id = 'u3' AND agent_id = 'a1')")
+@query("snk_delete", f"""WITH {I.MEMORY}, kd AS (SELECT *, concat_ws('::', user_id, agent_id, session_id) AS isolation_key FROM mem), dl AS (SELECT item_id AS i, 'm' || item_id * 3 AS m, 'u' || item_id % 20 AS u, 'a' || item_id % 3 AS a, 's' || item_id % 7 AS s FROM benchmark)
+SELECT node_id FROM kd WHERE node_id NOT IN (SELECT m FROM dl WHERE i % 4 = 0) AND isolation_key NOT IN (SELECT concat_ws('::', u, a, s) FROM dl WHERE i % 12 = 1) AND user_id NOT IN (SELECT u FROM dl WHERE i % 20 = 6) AND (user_id, agent_id) NOT IN (SELECT (u, a) FROM dl WHERE i % 20 = 3) AND (user_id, agent_id, session_id) NOT IN (SELECT (u, a, s) FROM dl WHERE i % 20 = 7)""")
 def snk_delete(s, d):
-    rows = I.memory(s, d).select("node_id", "user_id", "agent_id")
-    gone = rows.where("user_id = 'u3' AND agent_id = 'a1'").select("user_id", "agent_id").distinct()
-    return rows.join(gone, ["user_id", "agent_id"], "left_anti").select("node_id")
+    """Deletions of all forms at once: by id, by key, by user, by user and agent, and by session."""
+    i = F.col("item_id")
+    user, agent, session = F.concat(F.lit("u"), i % 20), F.concat(F.lit("a"), i % 3), F.concat(F.lit("s"), i % 7)
+    owned = (i % 20).isin(3, 6, 7)
+    ids = I.table(s, d, "benchmark").select(F.when(i % 4 == 0, F.concat(F.lit("m"), i * 3)).alias("node_id"), F.when(i % 12 == 1, F.concat_ws("::", user, agent, session)).alias("isolation_key"), F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("agent_id"), F.lit(None).cast("string").alias("session_id"))
+    scopes = I.table(s, d, "benchmark").where(owned).select(F.lit(None).cast("string").alias("node_id"), F.lit(None).cast("string").alias("isolation_key"), user.alias("user_id"), F.when((i % 20).isin(3, 7), agent).alias("agent_id"), F.when(i % 20 == 7, session).alias("session_id"))
+    rows = I.memory(s, d).select("node_id", "user_id", "agent_id", "session_id").withColumn("isolation_key", F.concat_ws("::", "user_id", "agent_id", "session_id"))
+    return V.without(rows, ids.unionByName(scopes)).select("node_id")
 
 
 @query("snk_edge_add", "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey IN (SELECT p_partkey FROM part WHERE p_size > 10) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10) UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey <= 20")
@@ -443,14 +482,28 @@ def agg_char_buckets(s, d):
     return C.character_buckets(I.turns(s, d))
 
 
-@query("agg_turn_summary", f"WITH {I.TURNS}, r AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS round FROM turns) SELECT conv_id, round, max(text) FILTER (role = 'user') AS asked, count_if(role <> 'user') AS n_answers FROM r WHERE round > 0 GROUP BY 1, 2")
+TOOLED = f"{I.TURNS}, tt AS (SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 'user' WHEN length(text) % 4 = 1 THEN 'tool' ELSE role END AS role, CASE WHEN role = 'user' THEN [] WHEN length(text) % 4 = 1 THEN ['t' || length(text) % 3] WHEN length(text) % 2 = 0 THEN ['c' || length(text) % 3, 't' || length(text) % 5, 'c' || length(text) % 3] ELSE [] END AS tools FROM turns)"
+
+
+@query("agg_turn_summary", f"""WITH {TOOLED}, r AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS round FROM tt), b AS (SELECT *, round - min(round) OVER (PARTITION BY conv_id) AS nth FROM r),
+u AS (SELECT conv_id, nth, t.tool, min((b.turn, t.at_)) AS first FROM b, unnest(tools) WITH ORDINALITY t(tool, at_) GROUP BY 1, 2, 3), l AS (SELECT conv_id, nth, string_agg(tool, ',' ORDER BY first) AS tools FROM u GROUP BY 1, 2)
+SELECT conv_id, nth::BIGINT AS nth, coalesce(max(trim(text)) FILTER (role = 'user'), '') AS asked, count_if(role <> 'user') AS n_answers, coalesce(max(l.tools), '') AS tools, bool_or(role = 'tool') AS has_result FROM b LEFT JOIN l USING (conv_id, nth) GROUP BY 1, 2""")
 def agg_turn_summary(s, d):
-    return C.user_rounds(I.turns(s, d))
+    """Turns with calls and results of tools, by the lengths of their texts."""
+    n, user = F.length("text"), F.col("role") == "user"
+    named = lambda kind, k: F.concat(F.lit(kind), n % k)
+    none = F.array().cast("array<string>")
+    tools = F.when(user, none).when(n % 4 == 1, F.array(named("t", 3))).when(n % 2 == 0, F.array(named("c", 3), named("t", 5), named("c", 3))).otherwise(none)
+    rows = I.turns(s, d).select("conv_id", "turn", "text", tools.alias("tools"), F.when(~user & (n % 4 == 1), "tool").otherwise(F.col("role")).alias("role"))
+    return C.user_rounds(rows).withColumn("tools", F.array_join("tools", ","))
 
 
-@query("agg_counts", f"WITH {I.MEMORY} SELECT concat_ws('::', user_id, agent_id, session_id) AS isolation_key, count(*) AS n FROM mem GROUP BY 1")
+@query("agg_counts", f"""WITH {I.MEMORY}, {I.OPERATIONS}, {EDGES} SELECT 'key' AS kind, concat_ws('::', user_id, agent_id, session_id) AS name, count(*) AS n FROM mem GROUP BY 2 UNION ALL SELECT 'user', user_id, count(*) FROM mem GROUP BY 2 UNION ALL SELECT 'store', NULL, count(*) FROM mem
+UNION ALL SELECT 'history', memory_id, count(*) FROM ops GROUP BY 2 UNION ALL SELECT 'graph', NULL, count(*) FROM (SELECT src AS n FROM e UNION SELECT dst FROM e)""")
 def agg_counts(s, d):
-    return I.memory(s, d).groupBy(F.concat_ws("::", "user_id", "agent_id", "session_id").alias("isolation_key")).agg(F.count("*").alias("n"))
+    """Rows by isolation key, by user and in all, operations by memory, and nodes of the graph."""
+    rows = I.memory(s, d).withColumn("isolation_key", F.concat_ws("::", "user_id", "agent_id", "session_id"))
+    return C.counts(rows, I.operations(s, d).select(F.col("memory_id").alias("key")), edges(s, d))
 
 
 JUDGED = "judged AS (SELECT doc_id, doc_id % 5 + 1 AS category, quality = 1 AS correct, (doc_id % 12) + 1 AS rank FROM labels)"
