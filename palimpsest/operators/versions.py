@@ -94,7 +94,7 @@ def chain_audit(versions: DataFrame, chain: DataFrame) -> DataFrame:
     # a head is what no other version says to supersede
     replaced = versions.where(linked).select(F.col("supersedes").alias("node")).distinct()
     heads = versions.select("node").join(replaced.hint("merge"), "node", "left_anti").join(chain.hint("merge"), "node").groupBy("chain").count()
-    return counts.withColumn("two_heads", F.lit(heads.where(F.col("count") > 1).count()))
+    return counts.withColumn("two_heads", heads.where(F.col("count") > 1).agg(F.count("*")).scalar())
 
 
 MEMORY_COLUMNS = ["node_id", "content", "evidence", "valid_from", "valid_until", "is_latest", "supersedes", "superseded_by"]

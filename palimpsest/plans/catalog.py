@@ -749,7 +749,7 @@ def set_gold_intersect(s, d):
 def top_list(s, d):
     memory_at = F.when(F.col("num") % 4 == 0, F.col("gmt_created") - F.expr("interval 1 day"))
     rows = I.memory(s, d).where("status = 'active' and layer <> 'l1_raw'").select("node_id", F.coalesce(memory_at, "gmt_created").alias("listed_at"))
-    return rows.orderBy(F.col("listed_at").desc(), "node_id").offset(10).limit(20).withColumn("total", F.lit(rows.count()).cast("long"))
+    return rows.orderBy(F.col("listed_at").desc(), "node_id").offset(10).limit(20).withColumn("total", rows.agg(F.count("*")).scalar())
 
 
 @query("top_code_list", "SELECT p_brand, p_partkey, nth FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS nth FROM part) WHERE nth <= 5")
@@ -813,14 +813,15 @@ def arr_centroid(s, d):
 
 @query("ver_chains", f"WITH {I.VERSIONS} SELECT node, min(node) OVER (PARTITION BY owner) AS chain FROM ver")
 def ver_chains(s, d):
-    return V.chains(I.versions(s, d))
+    return V.chains(written(I.versions(s, d), "versions"))
 
 
-@query("ver_collapse", f"WITH {I.VERSIONS}, hits AS (SELECT node % 5 AS query_id, node, (node % 97) / 97.0 AS score FROM ver WHERE node % 9 <> 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM hits), heads AS (SELECT owner, node AS head FROM ver WHERE superseded_by IS NULL), g AS (SELECT query_id, head, max(score) AS score, min(rank) AS first, array_to_string(list(node ORDER BY at_ DESC, node DESC), ',') AS members FROM ranked JOIN ver USING (node) JOIN heads USING (owner) GROUP BY 1, 2) SELECT query_id, head, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY first) AS position, members FROM g")
+@query("ver_collapse", f"WITH {I.VERSIONS}, hits AS (SELECT node % (SELECT greatest(5, count(*) // 200) FROM orders) AS query_id, node, (node % 97) / 97.0 AS score FROM ver WHERE node % 9 <> 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM hits), heads AS (SELECT owner, node AS head FROM ver WHERE superseded_by IS NULL), g AS (SELECT query_id, head, max(score) AS score, min(rank) AS first, array_to_string(list(node ORDER BY at_ DESC, node DESC), ',') AS members FROM ranked JOIN ver USING (node) JOIN heads USING (owner) GROUP BY 1, 2) SELECT query_id, head, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY first) AS position, members FROM g")
 def ver_collapse(s, d):
     """Hits on versions that are no raw turns."""
     ver = written(I.versions(s, d), "versions")
-    hits = ver.where("node % 9 <> 0").select((F.col("node") % 5).alias("query_id"), "node", ((F.col("node") % 97) / 97.0).alias("score"))
+    requests = I.users(s, d, "orders", 5)
+    hits = ver.where("node % 9 <> 0").select((F.col("node") % requests).alias("query_id"), "node", ((F.col("node") % 97) / 97.0).alias("score"))
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node")))
     return V.collapsed(hits, ver, V.chains(ver)).select("query_id", "head", F.round("score", 6).alias("score"), "position", F.array_join("members", ",").alias("members"))
 
