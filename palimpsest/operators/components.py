@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.lineage import written
+from palimpsest.operators.lineage import dropped, written
 
 #: A node is a hub with over HUB links, and over a HUBS-th of all: there are at most 2 * HUBS of them.
 HUB, HUBS = 200, 10_000
@@ -55,7 +55,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = with_least(both, F.least(F.min("v"), F.first("u")), hub, tasks).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct().coalesce(tasks)
         small = with_least(large, F.min("v"), hub, tasks)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = written(small.coalesce(tasks), "links")
+        last, edges = edges, written(small.coalesce(tasks), "links")
+        dropped(last)
         now = state(edges, tasks)
         if now == before:
             break

@@ -83,3 +83,10 @@ def settings(spark: SparkSession, **values: str):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what written() has written, once nothing that is still to be computed reads it."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            removed(df.sparkSession, folder)
