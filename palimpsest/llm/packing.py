@@ -26,12 +26,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.pretokens import SURE
 from palimpsest.llm.tables import documents, in_short_batches, resident, written
-from palimpsest.operators.ordering import running
 
 #: Tokens of a sequence.
 ROOM = 4096
 #: Groups of a range of positions, over which its pieces are dealt.
-SPREAD = 8
+SPREAD = 2
 #: Pieces that a group has on average.
 GROUP = 2048
 #: Entries of a worker's cache of words; it is emptied when full (it may pass this by the new words of STEP).
@@ -189,31 +188,28 @@ def packed(cut: DataFrame, room: int = ROOM, group: int = GROUP, seed: int = 11)
 
 
 def packed_in_order(cut: DataFrame, room: int = ROOM, group: int = GROUP, spread: int = SPREAD, seed: int = 11) -> DataFrame:
-    """As packed, for pieces with a position: sequence_ids follow the positions from one range of about `spread` groups to the next.
+    """As packed, for pieces with a position: sequence_ids follow the positions from one range of spread * group of them to the next.
 
-    Within a range pieces are dealt over its groups by a hash. Blocks of
-    positions are counted, and their running sums name the ranges, so a range
-    is as long as its pieces are few, and equal rows lie where they stand.
+    Within a range pieces are dealt over `spread` groups by a hash. A document
+    has one piece at most that isn't full, so a group has about `group` of them,
+    and equal rows lie where they stand. Positions are below 2^46.
     """
-    cut = written(cut.withColumn("block", F.floor(F.col("position") / 1024)), "pieces")
-    counts = cut.groupBy("block").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
-    blocks = running(counts, ["all"], [F.col("block")], {"before": F.col("n")}, "blocks")
-    blocks = written(blocks.select("block", F.floor(F.col("before") / (group * spread)).alias("range")), "ranges")
-    part = F.pmod(F.xxhash64(F.lit(seed), "position", "doc_id", "start", "ids_crc32"), F.lit(spread))
-    rows = cut.join(blocks.hint("merge"), "block").withColumn("group", F.col("range") * spread + part).drop("block", "range")
+    range_ = F.floor(F.col("position") / (group * spread))
+    rows = cut.withColumn("group", (range_ * spread + F.pmod(F.xxhash64(F.lit(seed), "position", "doc_id", "start", "ids_crc32"), F.lit(spread))).cast("long"))
+    rows = written(rows, "pieces")
     full = rows.where(F.col("length") >= room)
     rest = rows.where(F.col("length") < room)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["position", "start", "ids_crc32"], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), room)
-        return pdf.assign(sequence_id=pdf["group"] * (1 << 32) + bins, offset=offsets).drop(columns="group")
+        return pdf.assign(sequence_id=pdf["group"] * (1 << 28) + bins, offset=offsets).drop(columns="group")
 
     schema = rest.drop("group").schema.add("sequence_id", "long").add("offset", "long")
     binned = rest.groupBy("group").applyInPandas(pack, schema)
     # a whole sequence comes after the bins of its group
     nth = F.row_number().over(Window.partitionBy("group").orderBy("position", "start", "ids_crc32"))
-    whole = full.withColumn("sequence_id", F.col("group") * (1 << 32) + (1 << 31) + nth).withColumn("offset", F.lit(0).cast("long"))
+    whole = full.withColumn("sequence_id", F.col("group") * (1 << 28) + (1 << 27) + nth).withColumn("offset", F.lit(0).cast("long"))
     return binned.unionByName(whole.select(binned.columns))
 
 
@@ -224,7 +220,7 @@ def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
     length is cut after each `room` ids, without loss. Rows that share an id are
     packed each on its own. Other columns of df are not read. An empty table
     gives no pieces. With a column of positions (numbers from 0, no nulls)
-    sequences follow it, up to a range of some groups.
+    sequences follow it, up to a range of SPREAD groups.
     """
     if position:
         return packed_in_order(pieces(df, doc_id, text, room, vocabulary, end_id, with_ids, position), room, group)

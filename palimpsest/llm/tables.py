@@ -37,12 +37,14 @@ def alone() -> None:
 
 def in_order(df: DataFrame, name: str) -> DataFrame:
     """df with a column of positions: the order of its rows in the numbered files that it was written to, or that of its partitions if it comes from no file."""
+    # files are told from one another by the bits above the 26th
     try:
         file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
         number = F.coalesce(F.regexp_extract(file, r"part-([0-9]+)", 1).try_cast("long"), F.lit(0))
-        return df.select("*", (number * (1 << 36) + row).alias(name))
+        return df.select("*", (number * (1 << 26) + row).alias(name))
     except AnalysisException:
-        return df.withColumn(name, F.monotonically_increasing_id())
+        every = F.monotonically_increasing_id()
+        return df.withColumn(name, every).withColumn(name, F.shiftright(name, 33) * (1 << 26) + F.col(name).bitwiseAND((1 << 33) - 1))
 
 
 def in_short_batches(df: DataFrame) -> DataFrame:
