@@ -18,6 +18,6 @@ def larger(sf_dir, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["grf_collisions", "grf_core_merge", "grf_inherit"])
+@pytest.mark.parametrize("name", ["grf_collisions", "grf_core_merge", "grf_inherit", "top_beh"])
 def test_owners_of_schemas_grow_as_the_sql_says(spark, larger, name):
     assert oracle.difference(oracle.connect(larger), catalog.QUERIES[name](spark, larger), catalog.SQL[name]) is None
