@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.expressions import owner
+from palimpsest.operators.lineage import written
 
 ONE = "op string, content string, layer string, owner string, memory_id string, memory_ids array<string>, tags array<string>, reason string, source_indices array<int>, state_transition boolean"
 OPS = f"array<struct<{ONE}, ops array<struct<{ONE}>>>>"
@@ -126,14 +127,18 @@ def made_schemas(candidates: DataFrame, facts: DataFrame) -> tuple[DataFrame, Da
     A request counts as a whole: all its facts exist and are its owner's, and
     there is at least one.
     """
-    named = candidates.withColumn("node_id", F.sha2(F.concat_ws(":", F.lit("schema"), "owner", "request_id"), 256))
-    cites = named.select("request_id", "owner", "node_id", F.explode("facts").alias("fact_id")).distinct()
-    checked = judged_evidence(cites, facts)
-    good = checked.groupBy("request_id").agg(F.bool_and("accepted").alias("ok")).where("ok").select("request_id")
-    made = named.join(good.hint("merge"), "request_id", "left_semi")
-    evidence = cites.join(good.hint("merge"), "request_id", "left_semi").select("node_id", "fact_id")
-    topics = made.select("node_id", F.explode("tags").alias("tag"), "owner").select("node_id", F.sha2(F.concat_ws(":", "owner", "tag"), 256).alias("topic_id")).distinct()
-    return made.select("node_id", "owner", "content"), evidence, topics, evidence.groupBy("fact_id").agg(F.count("*").alias("n"))
+    candidates = written(candidates.select("request_id", "owner", "content", "facts", "tags"), "candidates")
+    cites = candidates.select("request_id", "owner", F.explode(F.array_distinct("facts")).alias("fact_id"))
+    rows = cites.join(facts.select("fact_id", F.col("owner").alias("fact_owner")).hint("merge"), "fact_id", "left")
+    good = F.col("fact_owner").isNotNull() & F.coalesce(F.col("fact_owner") == F.col("owner"), F.lit(True))
+    rows = rows.withColumn("ok", F.bool_and(good).over(Window.partitionBy("request_id"))).where("ok and request_id is not null")
+    accepted = written(rows.select("request_id", "owner", "fact_id").distinct(), "accepted")
+    made = written(candidates.drop("facts").join(accepted.select("request_id").distinct().hint("merge"), "request_id", "left_semi"), "made")
+    # names are hashed after what shuffles them
+    name, node_id = F.concat_ws(":", F.lit("schema"), "owner", "request_id"), F.sha2("name", 256).alias("node_id")
+    evidence = accepted.select(name.alias("name"), "fact_id").select(node_id, "fact_id")
+    topics = made.select(name.alias("name"), "owner", F.explode("tags").alias("tag")).select("name", F.concat_ws(":", "owner", "tag").alias("topic")).distinct().select(node_id, F.sha2("topic", 256).alias("topic_id"))
+    return made.select(name.alias("name"), "owner", "content").select(node_id, "owner", "content"), evidence, topics, evidence.groupBy("fact_id").agg(F.count("*").alias("n"))
 
 
 def segments(ops: DataFrame) -> DataFrame:
