@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.expressions import owner
-from palimpsest.operators.lineage import written
+from palimpsest.operators.lineage import parts, written
 
 ONE = "op string, content string, layer string, owner string, memory_id string, memory_ids array<string>, tags array<string>, reason string, source_indices array<int>, state_transition boolean"
 OPS = f"array<struct<{ONE}, ops array<struct<{ONE}>>>>"
@@ -154,13 +154,15 @@ def enriched(ops: DataFrame, items: DataFrame, fields: list[str]) -> DataFrame:
     operation names; without any, those of the same content; without any, the
     request's only item.
     """
+    n = parts(items)
+    items, ops = items.repartition(n, "request_id"), ops.repartition(n, "request_id", "seq")
     known = items.select("request_id", "item", F.col("content").alias("item_content"), *(F.col(f).alias(f"i_{f}") for f in fields), (F.count("*").over(Window.partitionBy("request_id")) == 1).alias("alone"))
     own = ops.select("request_id", "seq", "content", F.coalesce("source_indices", F.array().cast("array<int>")).alias("sources"))
-    met = own.join(known.hint("shuffle_hash"), "request_id")
+    met = own.repartition(n, "request_id").join(known.hint("merge"), "request_id")
     way = F.when(F.array_contains("sources", F.col("item").cast("int")), 0).when(F.col("item_content") == F.col("content"), 1).when(F.col("alone"), 2)
     met = met.withColumn("way", way).where("way is not null").withColumn("best", F.min("way").over(Window.partitionBy("request_id", "seq"))).where("way = best")
     agreed = met.groupBy("request_id", "seq").agg(*(F.when(F.min(f"i_{f}") == F.max(f"i_{f}"), F.min(f"i_{f}")).alias(f"i_{f}") for f in fields))
-    out = ops.join(agreed.hint("shuffle_hash"), ["request_id", "seq"], "left")
+    out = ops.join(agreed.repartition(n, "request_id", "seq").hint("merge"), ["request_id", "seq"], "left")
     return out.select(*(F.coalesce(c, f"i_{c}").alias(c) if c in fields else F.col(c) for c in ops.columns))
 
 
