@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import chat, hamming, simhash
+from palimpsest.llm import chat, hamming, likeness, simhash
 from palimpsest.operators.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, code string, bucket string"
@@ -210,3 +210,26 @@ def test_streamed_buckets_are_whole(spark, monkeypatch):
     df = spark.createDataFrame([(simhash.signed(c), i) for i, c in codes.items()], "code long, id long")
     found = {r["id"]: r["component_id"] for r in components(simhash.near_links(df, 2)).collect()}
     assert {i: found.get(i, i) for i in codes} == plain_components(codes)
+
+
+def test_unlike_copies_of_a_text_are_not_held_against_its_whole_group(spark, monkeypatch):
+    rng = random.Random(11)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(120):  # every second one has too many words of its own to be alike to any other
+        words = list(base)
+        for at in rng.sample(range(10, 150, 15), 5 if i % 2 else i % 3):
+            words[at] = f"own{i}x{at}"
+        texts.append(" ".join(words))
+    made, written = [], likeness.written
+
+    def counted(df, name):
+        out = written(df, name)
+        made.extend([out.count()] if name == "possible-pairs" else [])
+        return out
+
+    monkeypatch.setattr(likeness, "written", counted)
+    found = simhash.near_copies(spark.createDataFrame(rows_of(*texts), SCHEMA), small=16)
+    want, _ = plain_likeness(dict(enumerate(texts)))
+    assert len(set(want.values())) == 61
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+    assert sum(made) <= 4 * len(texts), made
