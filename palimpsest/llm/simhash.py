@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.components import components
+from palimpsest.operators.lineage import dropped
 from palimpsest.llm import likeness
 from palimpsest.llm.tables import alone, documents, fresh, in_short_batches, written
 
@@ -245,16 +246,19 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     docs = written(likeness.prefixes(df.where(F.col(doc_id).isNotNull()), doc_id, text, width, like), "prefixes")
     # equal sets stand for all their copies from here on
     classes = written(docs.groupBy("code").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("fingerprint").alias("fingerprint")), "distinct-sets")
-    prints = classes.groupBy(F.col("fingerprint").alias("print")).agg(F.min("code").alias("id"))
+    ids = written(docs.select("id", "code"), "codes-of-ids")
+    dropped(docs)
+    firsts = written(classes.select("code", "id", "fingerprint"), "first-ids")
+    prints = firsts.groupBy(F.col("fingerprint").alias("print")).agg(F.min("code").alias("id"))
     prints = written(prints, "distinct-fingerprints")
-    same = classes.select(F.col("code").alias("a"), F.col("fingerprint").alias("print")).join(prints.hint("merge"), "print").where("a != id").select("a", F.col("id").alias("b"))
+    same = firsts.select(F.col("code").alias("a"), F.col("fingerprint").alias("print")).join(prints.hint("merge"), "print").where("a != id").select("a", F.col("id").alias("b"))
     close = written(same.unionByName(near_links(prints.select(F.col("print").alias("code"), "id"), bits, large)), "close-fingerprints")
-    repeated = not docs.groupBy("id").count().where("count > 1").isEmpty()
-    owns = likeness.alike_owners(classes, df, doc_id, text, close, width, like, small, repeated)
-    named = written(classes.select("code", "id").join(owns.hint("merge"), "code"), "named-sets")
+    repeated = not ids.groupBy("id").count().where("count > 1").isEmpty()
+    owns = likeness.alike_owners(classes, firsts, df, doc_id, text, close, width, like, small, repeated)
+    named = written(firsts.select("code", "id").join(owns.hint("merge"), "code"), "named-sets")
     first = named.groupBy("own").agg(F.min("id").alias("component_id"))
     named = named.join(first.hint("merge"), "own").select("code", "component_id")
-    out = docs.select(F.col("id").alias("doc_id"), "code").join(named.hint("merge"), "code").select("doc_id", "component_id")
+    out = ids.select(F.col("id").alias("doc_id"), "code").join(named.hint("merge"), "code").select("doc_id", "component_id")
     none = F.lit(None).cast(dict(df.dtypes)[doc_id])
     return out.unionByName(df.where(F.col(doc_id).isNull()).select(none.alias("doc_id"), none.alias("component_id")))
 
