@@ -1,12 +1,15 @@
 """What a job leaves on disk while it runs."""
 
 import os
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
+from test_cores import plain_cores
 
 from palimpsest.llm import likeness, simhash
-from palimpsest.operators import lineage
+from palimpsest.operators import clusters, lineage
 
 
 def shuffled(spark):
@@ -49,3 +52,20 @@ def test_tables_of_all_prefixes_are_deleted_once_read(spark, monkeypatch):
 def test_nothing_reads_a_deleted_table_where_nothing_is_alike(spark):
     df = spark.createDataFrame([(i, " ".join(f"own{i}x{j}" for j in range(20))) for i in range(30)], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()} == {i: i for i in range(30)}
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_cores_keep_no_table_twice(spark, monkeypatch, few):
+    monkeypatch.setattr(clusters, "FEW", few, raising=False)
+    monkeypatch.setattr(clusters, "STEPS", 15)
+    rng, shared = random.Random(2), lineage.shared_dir(spark)
+    nodes = [*range(10), 3, None]
+    edges = [(rng.choice([*range(40), None]), rng.choice([*range(60), None])) for _ in range(120)]
+    for hops in (1, 2, 3):
+        before = set(os.listdir(shared))
+        found = clusters.cores(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges * 2, "src long, dst long"), hops)
+        left = [x.rpartition("-")[0] for x in set(os.listdir(shared)) - before]
+        got = found.collect()
+        want = plain_cores(nodes, edges, hops)
+        assert len(got) == len(want) and {(r["node"], r["core"]): r["hop"] for r in got} == want
+        assert left.count("edges") == (hops == 1) and left.count("onward") == left.count("steps") == hops - 1
